@@ -53,6 +53,12 @@ class ItemSets:
     def take(self, keep: np.ndarray) -> ItemSets:
         return ItemSets(self.flat[keep[self.owner]], self.sizes[keep])
 
+    def pick(self, which: np.ndarray) -> ItemSets:
+        """The sets of the given indexes, repeats allowed."""
+        sizes = self.sizes[which]
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return ItemSets(self.flat[np.repeat(self.starts[which], sizes) + inside], sizes)
+
     def blobs(self) -> pa.Array:
         """Each set as little-endian bytes."""
         offsets = np.append(self.starts, len(self.flat)).astype(np.int32) * 8
@@ -99,8 +105,14 @@ def item_sets(texts: list[str | None], memory: _Hashes) -> ItemSets:
             flat += found
     values = np.array(flat, np.uint64)
     owner = np.repeat(np.arange(len(texts)), lengths)
-    order = np.lexsort((values, owner))
-    return ItemSets(values[order], lengths)
+    return ItemSets(values[by_owner(values, owner, len(texts))], lengths)
+
+
+def by_owner(values: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+    """The order by owner, then value: a plain sort, then a radix sort of small integers."""
+    order = np.argsort(values)
+    small = owner[order].astype(np.uint16 if owners <= 65536 else np.int64)
+    return order[np.argsort(small, kind="stable")]
 
 
 def new_memory() -> dict:

@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.functions.itemsets import ItemSets, item_sets, most_differences, new_memory
+from lumenloom.functions.itemsets import ItemSets, by_owner, item_sets, most_differences, new_memory
 from lumenloom.session import materialize
 
 #: What a list knows of a member: the set's hash, its sketch and size, and a tag for the caller.
 MEMBER = np.dtype([("h", "<i8"), ("a", "<u8"), ("b", "<u8"), ("n", "<u2"), ("tag", "<u2")])
 #: Members a task compares as one list; longer lists go through the grid.
 LIST_LIMIT = 20_000
+#: Rows of a block; lists of at least so many members are compared block by block.
+BLOCK = 48
 #: Pairs compared in one vectorised step.
 PAIR_STEP = 400_000
 
@@ -122,12 +124,13 @@ def _lists(keys: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys[starts].view(np.int64)), blob], names=["key", "blob"])
 
 
-def meet(lists: DataFrame, permille: int, admit: Callable | None = None) -> DataFrame:
+def meet(lists: DataFrame, permille: int, admit: Callable | None = None, side: Callable | None = None) -> DataFrame:
     """(a, b): distinct pairs of set hashes (a < b) that some list brings together and the sketches let pass.
 
-    ``admit(left, right)`` may rule out pairs of members by a mask. Pairs still need ``verify``.
+    ``side(members)`` marks the members of the second of two sides; then only pairs across the sides are
+    formed, first side left. ``admit(left, right)`` may rule out pairs by a mask. Pairs still need ``verify``.
     """
-    compare = _comparer(permille, admit, LIST_LIMIT)
+    compare = _comparer(permille, admit, side, LIST_LIMIT)
     shape = "a bigint, b bigint, key bigint, blob binary"
     met = materialize(lists.repartition("key").sortWithinPartitions("key").mapInArrow(compare, shape), "met")
     pairs = met.where(F.col("key").isNull()).select("a", "b")
@@ -135,7 +138,7 @@ def meet(lists: DataFrame, permille: int, admit: Callable | None = None) -> Data
     blocks = long.groupBy("key").agg(F.ceil(F.sum(F.length("blob")) / (MEMBER.itemsize * LIST_LIMIT // 2)).cast("bigint").alias("blocks"))
     if not blocks.isEmpty():
         cells = long.join(blocks, "key").mapInArrow(_grid, "key bigint, blob binary")
-        rest = cells.repartition("key").sortWithinPartitions("key").mapInArrow(_comparer(permille, admit, None), shape)
+        rest = cells.repartition("key").sortWithinPartitions("key").mapInArrow(_comparer(permille, admit, side, None), shape)
         pairs = pairs.unionByName(rest.select("a", "b"))
     return pairs.distinct()
 
@@ -157,7 +160,7 @@ def _grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         yield _lists(np.full(len(mine), c, np.uint64), mine)
 
 
-def _comparer(permille: int, admit: Callable | None, limit: int | None) -> Callable:
+def _comparer(permille: int, admit: Callable | None, side: Callable | None, limit: int | None) -> Callable:
     shape = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("blob", pa.binary())])
 
     def passing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -166,22 +169,67 @@ def _comparer(permille: int, admit: Callable | None, limit: int | None) -> Calla
         ok = (left["h"] != right["h"]) & ((apart <= most_differences(a, b, permille)) | (np.maximum(a, b) == 65535))
         return ok & admit(left, right) if admit else ok
 
-    def pairs_of(member: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """All pairs inside the groups that begin at ``starts``, some at a time."""
-        rank = np.arange(len(member)) - np.repeat(starts, np.diff(np.append(starts, len(member))))
+    def arranged(member: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The pairs of each group, a member that lies in a list twice taken once."""
+        second = side(member) if side else np.zeros(len(member), bool)
+        order = np.lexsort((member["tag"], member["h"], second, group))
+        member, group, second = member[order], group[order], second[order]
+        new = np.append(True, (member["h"][1:] != member["h"][:-1]) | (group[1:] != group[:-1]) | (member["tag"][1:] != member["tag"][:-1]))
+        member, group, second = member[new], group[new], second[new]
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        length = np.diff(np.append(starts, len(member)))
+        if admit is None and side is None and (length >= BLOCK).any():
+            for at, n in zip(starts[length >= BLOCK].tolist(), length[length >= BLOCK].tolist(), strict=True):
+                yield from blocks_of(member[at : at + n])
+            small = np.repeat(length < BLOCK, length)
+            if not small.any():
+                return
+            member, second, length = member[small], second[small], length[length < BLOCK]
+            starts = np.cumsum(length) - length
+        if side:
+            partners = np.where(second, np.repeat(np.add.reduceat(~second, starts), length), 0)
+        else:
+            partners = np.arange(len(member)) - np.repeat(starts, length)
+        yield from pairs_of(member, np.repeat(starts, length), partners)
+
+    def blocks_of(member: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """All pairs of one longer list, block by block in the order of size, as far as sizes go together."""
+        member = member[np.argsort(member["n"], kind="stable")]
+        n, a, b, h = (np.ascontiguousarray(member[x]) for x in ("n", "a", "b", "h"))
+        reach = np.searchsorted(n, np.where(n == 65535, 65535, n.astype(np.int64) * 1000 // permille), "right")
+        most = most_differences(0, np.arange(2 * int(n[-1]) + 1), permille).astype(np.uint16)
+        left, right = [], []
+        for at in range(0, len(n), BLOCK):
+            to = min(at + BLOCK, len(n))
+            end = int(reach[to - 1])
+            allowed = most[n[at:to, None].astype(np.int32) + n[None, at:end]]
+            apart = np.bitwise_count(a[at:to, None] ^ a[None, at:end])
+            apart += np.bitwise_count(b[at:to, None] ^ b[None, at:end])
+            i, j = np.nonzero((apart <= allowed) | (n[None, at:end] == 65535))
+            keep = j > i
+            left.append(h[at + i[keep]])
+            right.append(h[at + j[keep]])
+        x, y = np.concatenate(left), np.concatenate(right)
+        if len(x):
+            yield found(x[x != y], y[x != y])
+
+    def found(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64()), pa.nulls(len(both), pa.binary())], schema=shape)
+
+    def pairs_of(member: np.ndarray, first: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Member i with the members first[i] to first[i] + rank[i] - 1, some at a time."""
         total = np.cumsum(rank)
         at = 0
         while at < len(member):
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIR_STEP, "right")))
             n = rank[at:to]
             right = np.repeat(np.arange(at, to), n)
-            left = right - (np.arange(len(right)) - np.repeat(np.cumsum(n) - n, n)) - 1
+            left = np.repeat(first[at:to], n) + np.arange(len(right)) - np.repeat(np.cumsum(n) - n, n)
             x, y = member[left], member[right]
             keep = passing(x, y)
             if keep.any():
-                x, y = x["h"][keep], y["h"][keep]
-                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64()), pa.nulls(len(both), pa.binary())], schema=shape)
+                yield found(x["h"][keep], y["h"][keep])
             at = to
 
     def overflow(key: int, member: np.ndarray) -> pa.RecordBatch:
@@ -192,9 +240,9 @@ def _comparer(permille: int, admit: Callable | None, limit: int | None) -> Calla
 
         def close() -> Iterator[pa.RecordBatch]:
             if held and not spilled:
-                member = _distinct(np.concatenate(held))
+                member = np.concatenate(held)
                 if len(member) > 1:
-                    yield from pairs_of(member, np.zeros(1, np.int64))
+                    yield from arranged(member, np.zeros(len(member), np.int64))
 
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -223,23 +271,12 @@ def _comparer(permille: int, admit: Callable | None, limit: int | None) -> Calla
                     size[size > limit] = 0
                 keep = size[group] > 1
                 if keep.any():
-                    inner, group = inner[keep], group[keep]
-                    order = np.lexsort((inner["tag"], inner["h"], group))
-                    inner, group = inner[order], group[order]
-                    new = np.append(True, (inner["h"][1:] != inner["h"][:-1]) | (group[1:] != group[:-1]) | (inner["tag"][1:] != inner["tag"][:-1]))
-                    inner, group = inner[new], group[new]
-                    yield from pairs_of(inner, np.flatnonzero(np.append(True, group[1:] != group[:-1])))
+                    yield from arranged(inner[keep], group[keep])
         yield from close()
 
     return run
 
 
-def _distinct(member: np.ndarray) -> np.ndarray:
-    order = np.lexsort((member["tag"], member["h"]))
-    member = member[order]
-    return member[np.append(True, (member["h"][1:] != member["h"][:-1]) | (member["tag"][1:] != member["tag"][:-1]))]
-
-
 def shrink(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 22) -> DataFrame:
     """Rows whose key may be in ``wanted`` (one bigint column): a bitmap of ``bits`` bits, whatever the
     number of keys, spares the others the shuffle of the exact join that follows."""
@@ -278,7 +315,7 @@ def exact(pairs: DataFrame, permille: int) -> DataFrame:
             # an item of pair i shows up twice exactly if both sets of the pair hold it
             owner = np.concatenate([x.owner, y.owner])
             value = np.concatenate([x.flat, y.flat])
-            order = np.lexsort((value, owner))
+            order = by_owner(value, owner, batch.num_rows)
             owner, value = owner[order], value[order]
             twice = (owner[1:] == owner[:-1]) & (value[1:] == value[:-1])
             shared = np.bincount(owner[1:][twice], minlength=batch.num_rows).astype(np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import near_dup
+from lumenloom.llm import cross_split, format_dups, mixing, near_dup, quota_sample
 from lumenloom.session import read_table
 
 
@@ -16,9 +16,82 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.where("member_id <> group_id").select(F.col("group_id").alias("group_row_id"), F.col("member_id").alias("row_id"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = cross_split.cross_split_pairs(read_table(spark, folder, "metadata_10"), "row_id", "text", "split")
+    return pairs.select(F.least("eval_id", "train_id").alias("row_id_a"), F.greatest("eval_id", "train_id").alias("row_id_b"))
+
+
+def p2_overlap_report(spark: SparkSession, folder: str) -> DataFrame:
+    records = read_table(spark, folder, "metadata_10")
+    pairs = cross_split.cross_split_pairs(records, "row_id", "text", "split")
+    return cross_split.overlap_report(pairs, records, "row_id", "split", "source")
+
+
+def _train(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "metadata_10").where("split = 'train'")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    report = quota_sample.quota_report(_train(spark, folder), "row_id", read_table(spark, folder, "sample_plan"))
+    return report.where("exhausted").select("plan_id", "axis", "code")
+
+
+def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return quota_sample.quota_sample(_train(spark, folder), "row_id", read_table(spark, folder, "sample_plan")).withColumnRenamed("id", "row_id")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    report = mixing.mix_report(_train(spark, folder), "row_id", "text", "source", read_table(spark, folder, "mix_plan"))
+    return report.where("out_of_reach").select("mix_id", "source")
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    report = mixing.mix_report(_train(spark, folder), "row_id", "text", "source", read_table(spark, folder, "mix_plan"))
+    return report.select("mix_id", "source", "budget", "wanted", "have")
+
+
+def p5_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sample(_train(spark, folder), "row_id", "text", "source", read_table(spark, folder, "mix_plan")).withColumnRenamed("id", "row_id")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    copies = format_dups.format_copies(read_table(spark, folder, "metadata_10"), "row_id", "text", "source")
+    return copies.where("id <> first_id").select(F.col("first_id").alias("first_row_id"), F.col("id").alias("row_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {
+        f.__name__: f
+        for f in (p1_found, p2_found, p2_overlap_report, p3_found, p3_sample, p5_found, p5_report, p5_mix, p6_found)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_report": P5_REPORT}
+
+
+P3_FOUND = """
+WITH train AS (SELECT * FROM metadata_10 WHERE split = 'train'),
+codes AS (
+  SELECT 'subject' AS axis, upper(trim(subject)) AS code FROM train
+  UNION ALL SELECT 'style', upper(trim(style)) FROM train
+  UNION ALL SELECT 'camera', upper(trim(camera)) FROM train),
+counts AS (SELECT axis, code, count(*) AS n FROM codes GROUP BY axis, code)
+SELECT p.plan_id, p.axis, p.code
+FROM sample_plan p LEFT JOIN counts c ON c.axis = p.axis AND c.code = upper(trim(p.code))
+WHERE coalesce(c.n, 0) * 1000 < p.target_permille * (p.sample_permille * (SELECT count(*) FROM train) // 1000)
+"""
+
+_MIX = """
+WITH train AS (
+  SELECT regexp_replace(lower(source), '[^\\p{L}\\p{N}]', '', 'g') AS name, length(text) AS size
+  FROM metadata_10 WHERE split = 'train' AND text IS NOT NULL),
+have AS (SELECT name, sum(size)::BIGINT AS have FROM train GROUP BY name),
+total AS (SELECT sum(size)::BIGINT AS total FROM train),
+plan AS (
+  SELECT p.*, (p.budget_permille * t.total // 1000)::BIGINT AS budget, coalesce(h.have, 0)::BIGINT AS have
+  FROM mix_plan p CROSS JOIN total t
+  LEFT JOIN have h ON h.name = regexp_replace(lower(p.source), '[^\\p{L}\\p{N}]', '', 'g'))
+"""
+P5_FOUND = _MIX + "SELECT mix_id, source FROM plan WHERE have * max_repeats * 1000 < target_permille * budget"
+P5_REPORT = _MIX + "SELECT mix_id, source, budget, target_permille * budget // 1000 AS wanted, have FROM plan"

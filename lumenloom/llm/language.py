@@ -229,8 +229,10 @@ def train(samples: DataFrame, labelled: DataFrame | None, rows_per_language: int
     if labelled is None or not rows_per_language:
         return model
     window = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(11), "id"), "id")
-    drawn = labelled.where(F.col("lang").isin(list(found))).withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= rows_per_language)
-    rows = drawn.select("lang", "text").where("text is not null").collect()
+    usable = labelled.where(F.col("lang").isin(list(found)) & F.col("text").isNotNull() & F.col("id").isNotNull())
+    ranked = usable.select("id", "lang").withColumn("_rank", F.row_number().over(window))
+    drawn = ranked.where(F.col("_rank") <= rows_per_language).select("id").distinct()  # languages * rows_per_language at most
+    rows = usable.join(F.broadcast(drawn), "id").select("lang", "text").collect()
     judged = Judged([r[1] for r in rows], Words(model))
     at = {language: i for i, language in enumerate(model.languages)}
     for i, (language, text) in enumerate(rows):

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import cross_split, format_dups, mixing, near_dup, quota_sample
+from lumenloom.functions.text import bare
+from lumenloom.llm import cross_split, format_dups, language, mixing, near_dup, packing, quota_sample, tokens
 from lumenloom.session import read_table
 
 
@@ -40,6 +41,24 @@ def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
     return quota_sample.quota_sample(_train(spark, folder), "row_id", read_table(spark, folder, "sample_plan")).withColumnRenamed("id", "row_id")
 
 
+def _language_model(spark: SparkSession, folder: str) -> language.Model:
+    samples = read_table(spark, folder, "lang_samples").select("lang", F.col("sample_text").alias("text"))
+    forms = read_table(spark, folder, "lang_forms").select("label_form", F.col("lang").alias("named"))
+    records = read_table(spark, folder, "metadata_10").select(F.col("row_id").alias("id"), F.col("lang").alias("label_form"), "text")
+    labelled = records.join(F.broadcast(forms), "label_form").select("id", F.col("named").alias("lang"), "text")
+    return language.train(samples, labelled)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    cases = language.label_cases(read_table(spark, folder, "metadata_10"), "row_id", "text", "lang", read_table(spark, folder, "lang_forms"), _language_model(spark, folder))
+    return cases.withColumnRenamed("id", "row_id")
+
+
+def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
+    found = language.language_segments(read_table(spark, folder, "metadata_10"), "row_id", "text", _language_model(spark, folder))
+    return found.withColumnRenamed("id", "row_id")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     report = mixing.mix_report(_train(spark, folder), "row_id", "text", "source", read_table(spark, folder, "mix_plan"))
     return report.where("out_of_reach").select("mix_id", "source")
@@ -59,10 +78,32 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return copies.where("id <> first_id").select(F.col("first_id").alias("first_row_id"), F.col("id").alias("row_id"))
 
 
+def p7_cube(spark: SparkSession, folder: str) -> DataFrame:
+    forms = read_table(spark, folder, "lang_forms").select(F.col("label_form").alias("lang"), F.col("lang").alias("named"))
+    records = read_table(spark, folder, "metadata_10").select("row_id", "text", "source", "subject", "lang")
+    records = records.join(F.broadcast(forms), "lang", "left")  # a fixed list of labels
+    slices = {"source": bare(F.col("source")), "lang": F.col("named"), "subject": quota_sample.code(F.col("subject"))}
+    return tokens.token_cube(records, "row_id", "text", slices)
+
+
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode(read_table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack_documents(read_table(spark, folder, "documents"), "doc_id", "text", read_table(spark, folder, "pack_specs"), only="window_4k")
+    return packed.where("pieces > 1").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
+    specs = read_table(spark, folder, "pack_specs")
+    return packing.fill_report(packing.pack_documents(read_table(spark, folder, "documents"), "doc_id", "text", specs), specs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p2_found, p2_overlap_report, p3_found, p3_sample, p5_found, p5_report, p5_mix, p6_found)
+        for f in (p1_found, p2_found, p2_overlap_report, p3_found, p3_sample, p4_found, p4_segments, p5_found, p5_report, p5_mix, p6_found, p7_cube, p8_ids, p9_found, p9_fill)
     }
 
 

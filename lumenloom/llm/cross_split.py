@@ -8,7 +8,7 @@ longest common subsequence of two records is their set of shared items, so
 
 with c(a, b) the fewest items that records of a and b items must share. An evaluation sequence of a
 items is cut into k + 1 contiguous segments, k = a - c(a, b) being the most of its items that a
-training record of b items may lack: one segment stays whole. It is matched as a subsequence of the
+training record of b items may lack (once per class of sizes b): one segment stays whole. It is matched as a subsequence of the
 training record, so items inserted there don't break it. Infrequent items are segments of their own;
 of the others every segment has two items or more and is looked up by its first two, the last one
 takes the rest. Matches count at allowed positions only (displaced by no more than the deletions and
@@ -35,8 +35,10 @@ from lumenloom.session import materialize
 EVAL, TRAIN = 1, 2
 #: Evaluation records of a block: bounds the broadcast index (about 1 KB a record) whatever the table.
 BLOCK_RECORDS = 32_768
-#: Slots of a block's index, a power of two.
+#: Slots of a block's index, a power of two, and the bits (as a power) of the bitmap before it.
 SLOTS = 1 << 22
+BITMAP_BITS = 25
+_CLASS_STARTS = np.unique(np.concatenate([np.arange(0, 20), (20 * 1.1 ** np.arange(120)).astype(np.int64)]))
 #: Training records, and candidate entries, that a worker handles at once.
 TRAIN_STEP = 2_000
 STEP = 300_000
@@ -64,21 +66,24 @@ class Order:
         return ItemSets(sets.flat[order], sets.sizes), rank[order] < 0
 
 
-def size_bands(size: int, permille: int) -> list[tuple[int, int]]:
-    """The partner sizes that can be alike, in a few ranges: the fewer a range lacks, the fewer segments it needs."""
-    least, most = -(-size * permille // 1000), size * 1000 // permille
-    middle = (least + size) // 2
-    return [(lo, hi) for lo, hi in ((least, middle), (middle + 1, size), (size + 1, most)) if lo <= hi]
+def size_class(size: np.ndarray) -> np.ndarray:
+    """Sizes in classes of a constant ratio; a segmentation is made for one class of partner sizes."""
+    return np.searchsorted(_CLASS_STARTS, size, "right") - 1
 
 
-def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+def pair_key(first: np.ndarray, second: np.ndarray, partner: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = (first * np.uint64(0xD1342543DE82EF95)) ^ (second * np.uint64(0x9E3779B97F4A7C15))
+        x = (first * np.uint64(0xD1342543DE82EF95)) ^ (second * np.uint64(0x9E3779B97F4A7C15)) ^ (partner.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
         return x ^ (x >> np.uint64(31))
 
 
-def single_key(item: np.ndarray) -> np.ndarray:
-    return pair_key(item, np.full_like(item, 0x5bd1e995))
+def single_key(item: np.ndarray, partner: np.ndarray) -> np.ndarray:
+    return pair_key(item, np.full_like(item, 0x5BD1E995), partner)
+
+
+def ramp(n: np.ndarray) -> np.ndarray:
+    """0 .. n[i] - 1 for each i, put together."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 class Block:
@@ -87,26 +92,36 @@ class Block:
     def __init__(self, hashes: np.ndarray, sets: ItemSets, order: Order, permille: int):
         sequences, rare = order.sequences(sets)
         self.hashes, self.sequences, self.sketch = hashes, sequences, sets.sketch()
-        keys, owners, places, least, most = [], [], [], [], []
-        for i, size in enumerate(sets.sizes.tolist()):
-            at = int(sequences.starts[i])
-            own = sequences.flat[at : at + size]
-            alone = int(rare[at : at + size].sum())
-            for lo, hi in size_bands(size, permille):
-                parts = size - int(required_overlap(size, lo, permille)) + 1
-                singles = min(alone, parts)
-                begins = alone + 2 * np.arange(parts - singles)
-                keys += [single_key(own[:singles]), pair_key(own[begins], own[begins + 1])]
-                owners.append(np.full(parts, i, np.int32))
-                places += [np.arange(singles), begins]
-                least.append(np.full(parts, lo, np.int32))
-                most.append(np.full(parts, hi, np.int32))
+        sizes = sets.sizes
+        alone = np.bincount(sets.owner, rare, len(sizes)).astype(np.int64)
+        least, most = -(-sizes * permille // 1000), sizes * 1000 // permille
+        keys, owners, places = [], [], []
+        for partner in range(int(size_class(least).min()), int(size_class(most).max()) + 1):
+            low = np.maximum(least, _CLASS_STARTS[partner])
+            who = np.flatnonzero((low <= most) & (low < _CLASS_STARTS[partner + 1]))
+            # the smallest partner of the class may lack the most
+            parts = sizes[who] - required_overlap(sizes[who], low[who], permille) + 1
+            singles = np.minimum(alone[who], parts)
+            pairs = parts - singles
+            for n, begin, key in ((singles, 0, single_key), (pairs, 1, pair_key)):
+                owner = np.repeat(who, n)
+                place = alone[owner] + 2 * ramp(n) if begin else ramp(n)
+                at = sequences.starts[owner] + place
+                same = np.full(len(at), partner)
+                keys.append(key(sequences.flat[at], sequences.flat[at + 1], same) if begin else key(sequences.flat[at], same))
+                owners.append(owner)
+                places.append(place)
         key = np.concatenate(keys)
         slot = (key & np.uint64(SLOTS - 1)).astype(np.int64)
         by = np.argsort(slot, kind="stable")
-        self.key, self.owner = key[by], np.concatenate(owners)[by]
-        self.place, self.least, self.most = (np.concatenate(x).astype(np.int32)[by] for x in (places, least, most))
+        self.key, self.owner, self.place = key[by], np.concatenate(owners)[by].astype(np.int32), np.concatenate(places)[by].astype(np.int32)
         self.offsets = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=SLOTS))]).astype(np.int32)
+        bit = key >> np.uint64(64 - BITMAP_BITS)
+        self.bitmap = np.packbits(np.bincount(bit.astype(np.int64), minlength=1 << BITMAP_BITS) > 0, bitorder="little")
+
+    def may_hold(self, key: np.ndarray) -> np.ndarray:
+        bit = key >> np.uint64(64 - BITMAP_BITS)
+        return np.flatnonzero((self.bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
 
 
 def match(block: Block, hashes: np.ndarray, sets: ItemSets, order: Order, permille: int) -> Iterator[tuple[np.ndarray, np.ndarray, ItemSets]]:
@@ -114,24 +129,28 @@ def match(block: Block, hashes: np.ndarray, sets: ItemSets, order: Order, permil
     sketch = sets.sketch()
     sequences, rare = order.sequences(sets)
     size_of = sets.sizes[sequences.owner]
+    class_of = size_class(sets.sizes)[sequences.owner]
     place = np.arange(len(sequences.flat)) - sequences.starts[sequences.owner]
     longest = int(sets.sizes.max(initial=0))
-    gap_of = size_of - -(-size_of * permille // 1000)  # items that the training record has and its partner lacks
+    spare = size_of - -(-size_of * permille // 1000)  # items that the training record has and its partner lacks
+    # a pair's first item stands behind the infrequent items, before the segments' end in the longest partner
+    behind = np.repeat(np.bincount(sequences.owner, rare, len(sets.sizes)).astype(np.int64), sets.sizes)
+    open_ = ~rare & (behind <= spare)
     seen: list[np.ndarray] = []
     for gap in range(-1, longest - 1):
         if gap < 0:
-            at = np.flatnonzero(rare)
-            key = single_key(sequences.flat[at])
+            at = np.flatnonzero(rare & (place <= spare))
+            key = single_key(sequences.flat[at], class_of[at])
         else:
-            at = np.flatnonzero(~rare & (gap <= gap_of) & (place + gap + 1 < size_of))
+            at = np.flatnonzero(open_ & (gap <= spare) & (place + gap + 1 < size_of))
             if not len(at):
                 break
-            key = pair_key(sequences.flat[at], sequences.flat[at + gap + 1])
+            key = pair_key(sequences.flat[at], sequences.flat[at + gap + 1], class_of[at])
+        hit = block.may_hold(key)
+        at, key = at[hit], key[hit]
         slot = (key & np.uint64(SLOTS - 1)).astype(np.int64)
         start = block.offsets[slot]
         n = block.offsets[slot + 1] - start
-        hit = np.flatnonzero(n)
-        at, key, start, n = at[hit], key[hit], start[hit], n[hit]
         total = np.cumsum(n)
         done = 0
         while done < len(at):
@@ -139,18 +158,17 @@ def match(block: Block, hashes: np.ndarray, sets: ItemSets, order: Order, permil
             m = n[done:to]
             each = np.repeat(np.arange(done, to), m)
             entry = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(m) - m, m)
-            own = at[each]
-            other = size_of[own]
-            keep = np.flatnonzero((block.key[entry] == key[each]) & (block.least[entry] <= other) & (other <= block.most[entry]))
-            entry, own, other = entry[keep], own[keep], other[keep]
+            keep = np.flatnonzero(block.key[entry] == key[each])
+            entry, own = entry[keep], at[each[keep]]
             e, t = block.owner[entry], sequences.owner[own]
-            size = block.sequences.sizes[e]
+            size, other = block.sequences.sizes[e], size_of[own]
             most = most_differences(size, other, permille)
+            shared = (size + other - most) >> 1
             # displaced to the right by at most the insertions, to the left by at most the deletions
             moved = place[own] - block.place[entry]
-            shared = (size + other - most) >> 1
-            ok = (moved <= other - shared) & (-moved <= size - shared)
-            ok &= np.bitwise_count(block.sketch[e, 0] ^ sketch[t, 0]) + np.bitwise_count(block.sketch[e, 1] ^ sketch[t, 1]) <= most
+            near = np.flatnonzero((moved <= other - shared) & (-moved <= size - shared))
+            e, t, most = e[near], t[near], most[near]
+            ok = np.bitwise_count(block.sketch[e, 0] ^ sketch[t, 0]) + np.bitwise_count(block.sketch[e, 1] ^ sketch[t, 1]) <= most
             ok &= block.hashes[e] != hashes[t]
             if ok.any():
                 seen.append(np.unique(e[ok].astype(np.int64) << 32 | t[ok]))

@@ -47,6 +47,17 @@ class ItemSets:
 
     def __init__(self, flat: np.ndarray, sizes: np.ndarray):
         self.flat, self.sizes = flat, sizes
+        self._index()
+
+    def __getstate__(self):
+        return self.flat, self.sizes
+
+    def __setstate__(self, state):
+        self.flat, self.sizes = state
+        self._index()
+
+    def _index(self) -> None:
+        sizes = self.sizes
         self.starts = np.cumsum(sizes) - sizes
         self.owner = np.repeat(np.arange(len(sizes)), sizes)
 

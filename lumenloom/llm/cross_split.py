@@ -35,8 +35,8 @@ from lumenloom.session import materialize
 EVAL, TRAIN = 1, 2
 #: Evaluation records of a block: bounds the broadcast index (about 1 KB a record) whatever the table.
 BLOCK_RECORDS = 32_768
-#: Slots of a block's index, a power of two, and the bits (as a power) of the bitmap before it.
-SLOTS = 1 << 22
+#: Slots of a block's index, and bits of the bitmap before it, as powers of two.
+SLOT_BITS = 21
 BITMAP_BITS = 25
 _CLASS_STARTS = np.unique(np.concatenate([np.arange(0, 20), (20 * 1.1 ** np.arange(120)).astype(np.int64)]))
 #: Training records, and candidate entries, that a worker handles at once.
@@ -86,12 +86,18 @@ def ramp(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
+def slot_and_tag(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a key lies in the index, and 32 further bits to know it by (a wrong match fails the check that follows)."""
+    return (key & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int32), (key >> np.uint64(SLOT_BITS)).astype(np.uint32)
+
+
 class Block:
     """The segment index of a block of evaluation records."""
 
     def __init__(self, hashes: np.ndarray, sets: ItemSets, order: Order, permille: int):
         sequences, rare = order.sequences(sets)
-        self.hashes, self.sequences, self.sketch = hashes, sequences, sets.sketch()
+        self.hashes, self.sequences = hashes, sequences
+        self.sketch = [np.ascontiguousarray(x) for x in sets.sketch().T]
         sizes = sets.sizes
         alone = np.bincount(sets.owner, rare, len(sizes)).astype(np.int64)
         least, most = -(-sizes * permille // 1000), sizes * 1000 // permille
@@ -112,10 +118,10 @@ class Block:
                 owners.append(owner)
                 places.append(place)
         key = np.concatenate(keys)
-        slot = (key & np.uint64(SLOTS - 1)).astype(np.int64)
+        slot, tag = slot_and_tag(key)
         by = np.argsort(slot, kind="stable")
-        self.key, self.owner, self.place = key[by], np.concatenate(owners)[by].astype(np.int32), np.concatenate(places)[by].astype(np.int32)
-        self.offsets = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=SLOTS))]).astype(np.int32)
+        self.tag, self.owner, self.place = tag[by], np.concatenate(owners)[by].astype(np.int32), np.concatenate(places)[by].astype(np.int32)
+        self.offsets = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=1 << SLOT_BITS))]).astype(np.int32)
         bit = key >> np.uint64(64 - BITMAP_BITS)
         self.bitmap = np.packbits(np.bincount(bit.astype(np.int64), minlength=1 << BITMAP_BITS) > 0, bitorder="little")
 
@@ -126,11 +132,13 @@ class Block:
 
 def match(block: Block, hashes: np.ndarray, sets: ItemSets, order: Order, permille: int) -> Iterator[tuple[np.ndarray, np.ndarray, ItemSets]]:
     """(evaluation index, training index, training sequences) of distinct candidates, some at a time."""
-    sketch = sets.sketch()
+    sketch = [np.ascontiguousarray(x) for x in sets.sketch().T]
     sequences, rare = order.sequences(sets)
-    size_of = sets.sizes[sequences.owner]
-    class_of = size_class(sets.sizes)[sequences.owner]
-    place = np.arange(len(sequences.flat)) - sequences.starts[sequences.owner]
+    owner = sequences.owner.astype(np.int32)
+    size_of = sets.sizes[owner].astype(np.int32)
+    eval_sizes = block.sequences.sizes.astype(np.int32)
+    class_of = size_class(sets.sizes)[owner]
+    place = (np.arange(len(sequences.flat)) - sequences.starts[owner]).astype(np.int32)
     longest = int(sets.sizes.max(initial=0))
     spare = size_of - -(-size_of * permille // 1000)  # items that the training record has and its partner lacks
     # a pair's first item stands behind the infrequent items, before the segments' end in the longest partner
@@ -148,7 +156,7 @@ def match(block: Block, hashes: np.ndarray, sets: ItemSets, order: Order, permil
             key = pair_key(sequences.flat[at], sequences.flat[at + gap + 1], class_of[at])
         hit = block.may_hold(key)
         at, key = at[hit], key[hit]
-        slot = (key & np.uint64(SLOTS - 1)).astype(np.int64)
+        slot, tag = slot_and_tag(key)
         start = block.offsets[slot]
         n = block.offsets[slot + 1] - start
         total = np.cumsum(n)
@@ -156,20 +164,22 @@ def match(block: Block, hashes: np.ndarray, sets: ItemSets, order: Order, permil
         while done < len(at):
             to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + STEP, "right")))
             m = n[done:to]
-            each = np.repeat(np.arange(done, to), m)
-            entry = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(m) - m, m)
-            keep = np.flatnonzero(block.key[entry] == key[each])
+            each = np.repeat(np.arange(done, to, dtype=np.int32), m)
+            entry = np.repeat(start[done:to] - np.cumsum(m, dtype=np.int32) + m, m) + np.arange(len(each), dtype=np.int32)
+            keep = np.flatnonzero(block.tag[entry] == tag[each])
             entry, own = entry[keep], at[each[keep]]
-            e, t = block.owner[entry], sequences.owner[own]
-            size, other = block.sequences.sizes[e], size_of[own]
+            e, t = block.owner[entry], owner[own]
+            size, other = eval_sizes[e], size_of[own]
             most = most_differences(size, other, permille)
             shared = (size + other - most) >> 1
             # displaced to the right by at most the insertions, to the left by at most the deletions
             moved = place[own] - block.place[entry]
             near = np.flatnonzero((moved <= other - shared) & (-moved <= size - shared))
             e, t, most = e[near], t[near], most[near]
-            ok = np.bitwise_count(block.sketch[e, 0] ^ sketch[t, 0]) + np.bitwise_count(block.sketch[e, 1] ^ sketch[t, 1]) <= most
-            ok &= block.hashes[e] != hashes[t]
+            apart = np.bitwise_count(block.sketch[0][e] ^ sketch[0][t])
+            ok = np.flatnonzero(apart <= most)
+            e, t, apart, most = e[ok], t[ok], apart[ok], most[ok]
+            ok = (apart + np.bitwise_count(block.sketch[1][e] ^ sketch[1][t]) <= most) & (block.hashes[e] != hashes[t])
             if ok.any():
                 seen.append(np.unique(e[ok].astype(np.int64) << 32 | t[ok]))
             done = to

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenloom.functions.text import bare
-from lumenloom.llm import cross_split, format_dups, language, mixing, near_dup, packing, quota_sample, tokens
+from lumenloom.llm import cross_split, format_dups, language, mixing, mojibake, near_dup, packing, quota_sample, tokens
 from lumenloom.session import read_table
 
 
@@ -100,10 +100,24 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(packing.pack_documents(read_table(spark, folder, "documents"), "doc_id", "text", specs), specs)
 
 
+def _repaired(spark: SparkSession, folder: str) -> DataFrame:
+    # a fixed table of clean texts, a few hundred rows
+    samples = [r[0] for r in read_table(spark, folder, "lang_samples").select("sample_text").where("sample_text is not null").orderBy("sample_id").collect()]
+    return mojibake.repair(read_table(spark, folder, "documents"), "doc_id", "text", samples).withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _repaired(spark, folder).select("doc_id")
+
+
+def p10_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return _repaired(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p2_found, p2_overlap_report, p3_found, p3_sample, p4_found, p4_segments, p5_found, p5_report, p5_mix, p6_found, p7_cube, p8_ids, p9_found, p9_fill)
+        for f in (p1_found, p2_found, p2_overlap_report, p3_found, p3_sample, p4_found, p4_segments, p5_found, p5_report, p5_mix, p6_found, p7_cube, p8_ids, p9_found, p9_fill, p10_found, p10_repaired)
     }
 
 

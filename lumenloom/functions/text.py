@@ -1,11 +1,164 @@
-"""Text functions as column expressions."""
+"""Text functions as column expressions: they stay in the JVM and fuse into the scan's stage.
+
+White space is the ASCII kind, as in both Java's and RE2's ``\\s``. A null text gives null unless said.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+HAN = r"[\x{4e00}-\x{9fff}]"
+
+# Phrases that mark stock-photo boilerplate.
+BOILERPLATE = ("stock photo", "getty images", "shutterstock", "alamy", "dreamstime", "istock", "adobe stock", "123rf")
+
 
 def bare(text: Column) -> Column:
     """Lower case, everything but letters and digits dropped."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def words(text: Column) -> Column:
+    """The white-space separated words."""
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def word_count(text: Column) -> Column:
+    return F.size(words(text)).cast("bigint")
+
+
+def han_share(text: Column) -> Column:
+    kept = F.length(F.regexp_replace(text, r"[^\x{4e00}-\x{9fff}]", ""))
+    return kept / F.greatest(F.length(text), F.lit(1))
+
+
+def is_han(text: Column) -> Column:
+    """More than three tenths Chinese characters."""
+    return han_share(text) > 0.3
+
+
+def has_han(text: Column) -> Column:
+    return text.rlike(HAN)
+
+
+def url_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("https?://")).cast("bigint")
+
+
+def any_of(text: Column, phrases: Iterable[str]) -> Column:
+    """Whether the lower-cased text holds one of the phrases, anywhere: one alternation, one pass."""
+    return F.lower(text).rlike("|".join(re.escape(p) for p in phrases))
+
+
+def letter_share(text: Column) -> Column:
+    """Letters and white space among all characters."""
+    kept = F.length(F.regexp_replace(text, r"[^\p{L}\s]", ""))
+    return kept / F.greatest(F.length(text), F.lit(1))
+
+
+def without_flags(text: Column) -> Column:
+    """Trailing generator flags (``--ar 16:9``) dropped, trimmed."""
+    return strip(F.regexp_replace(text, r"\s*--\w+\s+\S*", ""))
+
+
+def tokens(text: Column, lang: Column) -> Column:
+    """Lower-cased words; for zh, character triples of the text without white space (a shorter text is one)."""
+    tight = F.regexp_replace(text, r"\s+", "")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(tight) - 2)), lambda i: F.substring(tight, i, F.lit(3)))
+    return F.when(lang == "zh", grams).otherwise(words(F.lower(text)))
+
+
+CAPTION = r"(?is)^(?:the|this)\s+image\s+(?:displays?|shows?|features?|captures?|depicts?|presents?|is)\s+(.*)$"
+
+
+def caption_sentence(text: Column) -> Column:
+    """The first sentence of a descriptive caption without its opening; null for any other text."""
+    rest = F.regexp_extract(strip(text), CAPTION, 1)
+    dot, line = F.instr(rest, ". "), F.instr(rest, ".\n")
+    cut = F.when(dot > 1, F.substring(rest, F.lit(1), dot - 1)).when(line > 1, F.substring(rest, F.lit(1), line - 1)).otherwise(rest)
+    return F.when(strip(text).rlike(CAPTION), strip(cut))
+
+
+def first_match(text: Column, rules: dict[str, list[str]], default: str) -> Column:
+    """The first code, in the rules' order, one of whose keywords stands anywhere in the lower-cased text."""
+    out = F.lit(default)
+    for code, keywords in reversed(list(rules.items())):
+        out = F.when(any_of(text, keywords), F.lit(code)).otherwise(out)
+    return out
+
+
+def matched(text: Column, keywords: list[str]) -> Column:
+    """The keywords that stand in the lower-cased text."""
+    return F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(F.lower(text), k))
+
+
+def proper_nouns(text: Column) -> Column:
+    """Words of one capital and small ASCII letters."""
+    return F.size(F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[A-Z][a-z]+$"))).cast("bigint")
+
+
+def numbers(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[0-9]+$"))).cast("bigint")
+
+
+def listed_words(text: Column, listed: list[str]) -> Column:
+    """How many lower-cased words are on the list, punctuation attached counting as part of the word."""
+    return F.size(F.filter(words(F.lower(text)), lambda w: F.array_contains(F.array(*[F.lit(x) for x in listed]), w))).cast("bigint")
+
+
+def generated_lines(text: Column) -> Column:
+    """The lines of a generated answer: trimmed, blank lines and comments dropped, list numbers removed."""
+    lines = F.transform(F.split(text, "\n"), strip)
+    kept = F.filter(lines, lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
+    return F.transform(kept, lambda x: F.regexp_replace(x, r"^\d+[\.\)\-]\s*", ""))
+
+
+def slug(text: Column, most: int = 60) -> Column:
+    made = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "-")
+    made = F.substring(F.regexp_replace(made, "^-+|-+$", ""), 1, most)
+    return F.coalesce(F.nullif(F.regexp_replace(made, "^-+|-+$", ""), F.lit("")), F.lit("prompt"))
+
+
+def preview(text: Column, most: int = 80) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+
+
+def padded(number: Column, width: int) -> Column:
+    return F.lpad(number.cast("string"), width, "0")
+
+
+def numeric_suffix(name: Column) -> Column:
+    """The number after the first dash of ``checkpoint-123``; null if there is none."""
+    return F.nullif(F.regexp_extract(name, r"^[^-]*-(\d{1,9})$", 1), F.lit("")).cast("int")
+
+
+def gigabytes(size: Column) -> Column:
+    return F.format_string("%.2f GB", size / F.lit(float(2**30)))
+
+
+def fit_length(ids: Column, length: int, pad: int = 0) -> Column:
+    """An array cut or padded to ``length``."""
+    return F.slice(F.concat(ids, F.array_repeat(F.lit(pad), length)), 1, length)
+
+
+def chat(prompt: Column) -> Column:
+    """The user turn of a chat template."""
+    return F.concat(F.lit("<|im_start|>user\n"), prompt, F.lit("<|im_end|>\n<|im_start|>assistant\n"))
+
+
+def hash_order(key: Column, seed: int = 42) -> Column:
+    """A reproducible random order, the same in any engine with md5."""
+    return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
+
+
+def hash_uniform(key: Column, seed: int = 42) -> Column:
+    """A reproducible uniform number in [0, 1) from the first seven hex digits of the hash order."""
+    return F.conv(F.substring(hash_order(key, seed), 1, 7), 16, 10).cast("bigint") / F.lit(268435456.0)

@@ -144,6 +144,8 @@ def match(block: Block, hashes: np.ndarray, sets: ItemSets, order: Order, permil
     # a pair's first item stands behind the infrequent items, before the segments' end in the longest partner
     behind = np.repeat(np.bincount(sequences.owner, rare, len(sets.sizes)).astype(np.int64), sets.sizes)
     open_ = ~rare & (behind <= spare)
+    sums = np.arange(int(eval_sizes.max(initial=0)) + longest + 1)
+    allowed = most_differences(sums, 0, permille).astype(np.int32)  # it depends on the sum of both sizes
     seen: list[np.ndarray] = []
     for gap in range(-1, longest - 1):
         if gap < 0:
@@ -164,22 +166,20 @@ def match(block: Block, hashes: np.ndarray, sets: ItemSets, order: Order, permil
         while done < len(at):
             to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + STEP, "right")))
             m = n[done:to]
-            each = np.repeat(np.arange(done, to, dtype=np.int32), m)
-            entry = np.repeat(start[done:to] - np.cumsum(m, dtype=np.int32) + m, m) + np.arange(len(each), dtype=np.int32)
-            keep = np.flatnonzero(block.tag[entry] == tag[each])
-            entry, own = entry[keep], at[each[keep]]
-            e, t = block.owner[entry], owner[own]
-            size, other = eval_sizes[e], size_of[own]
-            most = most_differences(size, other, permille)
-            shared = (size + other - most) >> 1
+            entry = np.repeat(start[done:to] - np.cumsum(m, dtype=np.int32) + m, m) + np.arange(m.sum(), dtype=np.int32)
+            e = block.owner[entry]
+            who = owner[at[done:to]]
+            # first the sketches, with the differences that the two sizes allow: few entries are left
+            apart = np.bitwise_count(block.sketch[0][e] ^ np.repeat(sketch[0][who], m))
+            apart += np.bitwise_count(block.sketch[1][e] ^ np.repeat(sketch[1][who], m))
+            near = np.flatnonzero(apart <= allowed[eval_sizes[e] + np.repeat(size_of[at[done:to]], m)])
+            each = done + np.searchsorted(np.cumsum(m), near, "right")
+            entry, e, own = entry[near], e[near], at[each]
+            t, size, other = owner[own], eval_sizes[e], size_of[own]
+            shared = (size + other - allowed[size + other]) >> 1
             # displaced to the right by at most the insertions, to the left by at most the deletions
             moved = place[own] - block.place[entry]
-            near = np.flatnonzero((moved <= other - shared) & (-moved <= size - shared))
-            e, t, most = e[near], t[near], most[near]
-            apart = np.bitwise_count(block.sketch[0][e] ^ sketch[0][t])
-            ok = np.flatnonzero(apart <= most)
-            e, t, apart, most = e[ok], t[ok], apart[ok], most[ok]
-            ok = (apart + np.bitwise_count(block.sketch[1][e] ^ sketch[1][t]) <= most) & (block.hashes[e] != hashes[t])
+            ok = (block.tag[entry] == tag[each]) & (moved <= other - shared) & (-moved <= size - shared) & (block.hashes[e] != hashes[t])
             if ok.any():
                 seen.append(np.unique(e[ok].astype(np.int64) << 32 | t[ok]))
             done = to

@@ -87,7 +87,7 @@ def mix_report(rows: DataFrame, id_col: str, text_col: str, source_col: str, pla
 def mix_sample(rows: DataFrame, id_col: str, text_col: str, source_col: str, plan: DataFrame) -> DataFrame:
     """``(mix_id, id, copies)``: the records of each mix and how often each is repeated (1 to max_repeats).
 
-    In the boundary bucket records are taken in the order of hash and id while they fit into the budget's rest.
+    In the boundary bucket records are taken in the order of hash, id and size while they fit into the budget's rest.
     """
     records = sized(rows, id_col, text_col, source_col)
     histogram, total = histograms(records, plan)
@@ -95,7 +95,14 @@ def mix_sample(rows: DataFrame, id_col: str, text_col: str, source_col: str, pla
     limits = rows.sparkSession.createDataFrame(thresholds, "mix_id string, name string, rounds int, edge int, of_edge bigint")
     joined = records.join(F.broadcast(limits), "name")  # a row per plan row
     whole = joined.where("bucket <> edge").select("mix_id", "id", (F.col("rounds") + F.when(F.col("bucket") < F.col("edge"), 1).otherwise(0)).alias("copies"))
-    window = Window.partitionBy("mix_id", "name").orderBy("hash", "id").rowsBetween(Window.unboundedPreceding, 0)
+    window = Window.partitionBy("mix_id", "name").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     edge = joined.where("bucket = edge").withColumn("_run", F.sum("size").over(window))
     edge = edge.select("mix_id", "id", (F.col("rounds") + F.when(F.col("_run") <= F.col("of_edge"), 1).otherwise(0)).alias("copies"))
     return whole.unionByName(edge).where("copies > 0")
+
+
+def reached(mix: DataFrame, rows: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``(mix_id, source, records, size, permille)``: what the records of a mix add up to, repeats counted."""
+    sizes = rows.select(F.col(id_col).alias("id"), bare(F.col(source_col)).alias("source"), F.char_length(text_col).cast("bigint").alias("n"))
+    sums = mix.join(sizes, "id").groupBy("mix_id", "source").agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("n") * F.col("copies")).alias("size"))
+    return sums.withColumn("permille", F.col("size") * 1000.0 / F.sum("size").over(Window.partitionBy("mix_id")))  # one row a source

@@ -73,6 +73,13 @@ def p5_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sample(_train(spark, folder), "row_id", "text", "source", read_table(spark, folder, "mix_plan")).withColumnRenamed("id", "row_id")
 
 
+def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that the mixes really reach, from their records."""
+    train = _train(spark, folder)
+    mix = mixing.mix_sample(train, "row_id", "text", "source", read_table(spark, folder, "mix_plan"))
+    return mixing.reached(mix, train, "row_id", "text", "source")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     copies = format_dups.format_copies(read_table(spark, folder, "metadata_10"), "row_id", "text", "source")
     return copies.where("id <> first_id").select(F.col("first_id").alias("first_row_id"), F.col("id").alias("row_id"))
@@ -117,7 +124,7 @@ def p10_repaired(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p2_found, p2_overlap_report, p3_found, p3_sample, p4_found, p4_segments, p5_found, p5_report, p5_mix, p6_found, p7_cube, p8_ids, p9_found, p9_fill, p10_found, p10_repaired)
+        for f in (p1_found, p2_found, p2_overlap_report, p3_found, p3_sample, p4_found, p4_segments, p5_found, p5_report, p5_mix, p5_shares, p6_found, p7_cube, p8_ids, p9_found, p9_fill, p10_found, p10_repaired)
     }
 
 

@@ -70,7 +70,8 @@ def test_mix_edges(spark):
     assert [r["out_of_reach"] for r in mixing.mix_report(empty, "row_id", "text", "source", p).collect()] == [False]
     assert mixing.mix_sample(empty, "row_id", "text", "source", p).count() == 0
     odd = spark.createDataFrame([(1, None, None, None, None, "one", 1, ""), (2, None, None, None, "", "one", 1, ""), (2, None, None, None, "long" * 50_000, "ONE", 1, "")], ROWS)
-    assert mixing.mix_sample(odd, "row_id", "text", "source", p).count() == 0  # the one record exceeds the budget's share
+    # the long record exceeds the source's share; the empty one costs nothing, the null one has no size
+    assert [tuple(r) for r in mixing.mix_sample(odd, "row_id", "text", "source", p).collect()] == [("m", 2, 1)]
 
 
 def test_format_copies(spark):

@@ -49,7 +49,7 @@ def best_fit(sizes: np.ndarray, capacity: int, most: int = MOST_DOCUMENTS, atten
             left[0, k], left[1, k], left[2, k] = tokens[k], documents[k], cost[k]
         else:
             k = open_
-            left[:, k] = capacity - n, most - 1, max(limit - n * n, 0.0)
+            left[:, k] = capacity - n, (most - 1 if n * n <= limit else 0), limit - n * n
             place[k] = opened
             open_, opened = open_ + 1, opened + 1
         out[i] = place[k]

@@ -22,6 +22,7 @@ record is shuffled, whatever the skew of items or copies.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +131,15 @@ class Block:
         return np.flatnonzero((self.bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
 
 
+@lru_cache(maxsize=100_000)
+def last_begin(size: int, permille: int) -> int:
+    """The farthest place in a record of ``size`` items at which a partner's two-item segment can begin: a
+    segment begins at twice the partner's deletions at most, and moves by the insertions at most."""
+    partner = np.arange(-(-size * permille // 1000), size * 1000 // permille + 1)
+    shared = required_overlap(partner, size, permille)
+    return int((2 * (partner - shared) + size - shared).max())
+
+
 def match(block: Block, hashes: np.ndarray, sets: ItemSets, order: Order, permille: int) -> Iterator[tuple[np.ndarray, np.ndarray, ItemSets]]:
     """(evaluation index, training index, training sequences) of distinct candidates, some at a time."""
     sketch = [np.ascontiguousarray(x) for x in sets.sketch().T]
@@ -141,9 +151,10 @@ def match(block: Block, hashes: np.ndarray, sets: ItemSets, order: Order, permil
     place = (np.arange(len(sequences.flat)) - sequences.starts[owner]).astype(np.int32)
     longest = int(sets.sizes.max(initial=0))
     spare = size_of - -(-size_of * permille // 1000)  # items that the training record has and its partner lacks
-    # a pair's first item stands behind the infrequent items, before the segments' end in the longest partner
+    # a pair's first item stands behind the infrequent items
     behind = np.repeat(np.bincount(sequences.owner, rare, len(sets.sizes)).astype(np.int64), sets.sizes)
-    open_ = ~rare & (behind <= spare)
+    last = np.array([last_begin(n, permille) for n in sets.sizes.tolist()])[owner]
+    open_ = ~rare & (behind <= spare) & (place <= last)
     sums = np.arange(int(eval_sizes.max(initial=0)) + longest + 1)
     allowed = most_differences(sums, 0, permille).astype(np.int32)  # it depends on the sum of both sizes
     seen: list[np.ndarray] = []

@@ -200,35 +200,47 @@ def match(block: Block, hashes: np.ndarray, sets: ItemSets, order: Order, permil
 
 
 def banded_distance(x: ItemSets, y: ItemSets, band: np.ndarray) -> np.ndarray:
-    """Insert/delete distance of sequence pairs by dynamic programming over |i - j| <= band, all pairs at
-    once; a distance beyond the pair's band comes out as some value beyond it."""
-    pairs = len(band)
-    width = int(band.max(initial=0))
+    """Insert/delete distance of sequence pairs, by dynamic programming in a band, all pairs at once; a
+    distance beyond the pair's ``band`` comes out as some value beyond it.
+
+    A path of cost k from a sequence of n to one of m items leaves the main diagonal by at most
+    (k + n - m) / 2 deletions and (k + m - n) / 2 insertions. A pair whose whole row exceeds its bound is
+    dropped: as the rarest items come first, unlike pairs end after a few rows.
+    """
+    far = np.int32(1 << 20)
+    out = np.full(len(band), far, np.int32)
+    behind = np.maximum((band + x.sizes - y.sizes) >> 1, 0)
+    ahead = np.maximum((band + y.sizes - x.sizes) >> 1, 0)
+    left, right = int(behind.max(initial=0)), int(ahead.max(initial=0))
     n, m = int(x.sizes.max(initial=0)), int(y.sizes.max(initial=0))
-    a = np.zeros((pairs, n + 1), np.uint64)
-    b = np.ones((pairs, max(n, m) + 2 * width + 2), np.uint64)
+    a = np.zeros((len(band), n + 1), np.uint64)
+    b = np.ones((len(band), left + max(n, m) + right + 2), np.uint64)
     a[x.owner, np.arange(len(x.flat)) - x.starts[x.owner]] = x.flat
-    b[y.owner, np.arange(len(y.flat)) - y.starts[y.owner] + width] = y.flat
-    far = np.int32(1 << 20)
-    diagonal = np.arange(-width, width + 1)
-    row = np.where(diagonal >= 0, diagonal, far).astype(np.int32)[None, :].repeat(pairs, 0)  # row[d]: cell (i, i + d)
-    out = np.full(pairs, far, np.int32)
-    each = np.arange(pairs)
+    b[y.owner, np.arange(len(y.flat)) - y.starts[y.owner] + left] = y.flat
+    diagonal = np.arange(-left, right + 1, dtype=np.int32)
+    row = np.where(diagonal >= 0, diagonal, far)[None, :].repeat(len(band), 0)  # row[d]: cell (i, i + d)
+    pair = np.arange(len(band))  # the pairs still open
     for i in range(n + 1):
         if i:
             j = i + diagonal
-            same = b[:, i - 1 : i + 2 * width] == a[:, i - 1 : i]
-            best = np.where(same & (j >= 1) & (j <= m), row, far)  # both step: (i-1, j-1), same diagonal
+            best = np.where(b[:, i - 1 : i + left + right] == a[:, i - 1 : i], row, far)  # both step: same diagonal
             best[:, :-1] = np.minimum(best[:, :-1], row[:, 1:] + 1)  # drop a[i]: (i-1, j)
             best[:, j < 0] = far
             # insert b[j]: (i, j-1), a prefix minimum along the row
-            row = np.minimum.accumulate(best - diagonal.astype(np.int32), 1) + diagonal.astype(np.int32)
+            row = np.minimum.accumulate(best - diagonal, 1) + diagonal
             row[:, j < 0] = far
-        done = x.sizes == i
+        done = x.sizes[pair] == i
         if done.any():
-            d = y.sizes[done] - i + width
-            inside = (d >= 0) & (d <= 2 * width)
-            out[each[done][inside]] = row[each[done][inside], d[inside]]
+            which = pair[done]
+            d = y.sizes[which] - i + left
+            inside = (d >= 0) & (d <= left + right)
+            out[which[inside]] = row[done][inside, d[inside]]
+        if i % 4 == 3 or done.any():
+            keep = ~done & (row.min(1) <= band[pair])
+            if not keep.all():
+                pair, row, a, b = pair[keep], row[keep], a[keep], b[keep]
+                if not len(pair):
+                    break
     return out
 
 

@@ -165,10 +165,35 @@ def step_embedding(spark, folder):
     return steps.select("step", F.slice(rounded, 1, 4).alias("c"), F.slice(rounded, 5, 4).alias("s"))
 
 
-@query("SELECT m.row_id, e.label FROM metadata_10 m JOIN embeddings e ON e.vec_id = m.row_id")
+@query("SELECT m.row_id, e.label FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS place FROM metadata_10) m JOIN (SELECT label, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings) e USING (place)")
 def aligned_join(spark, folder):
-    """Records with their vectors on an explicit key, instead of by position."""
-    return read_table(spark, folder, "metadata_10").select("row_id").join(_vectors(spark, folder).select(F.col("vec_id").alias("row_id"), "label"), "row_id")
+    """Two tables aligned by position: the places are made explicit, then joined."""
+    records = sampling.positions(read_table(spark, folder, "metadata_10").select("row_id"), [F.col("row_id")])
+    rows = sampling.positions(_vectors(spark, folder).select("vec_id", "label"), [F.col("vec_id")])
+    return records.join(rows, "_pos").select("row_id", "label")
+
+
+@query(f"""
+WITH p AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS place FROM metadata_10), n AS (SELECT count(*) AS n FROM embeddings),
+e AS (SELECT label, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings)
+SELECT p.row_id, p.place < n.n AS own, e.label FROM p CROSS JOIN n JOIN e ON e.place = CASE WHEN p.place < n.n THEN p.place ELSE ('0x' || left({HASH.format(seed=42)}, 7))::BIGINT % n.n END""")
+def substituted_join(spark, folder):
+    """A left join whose missing rows get another row, drawn by hash."""
+    records = sampling.positions(read_table(spark, folder, "metadata_10").select("row_id"), [F.col("row_id")])
+    rows = sampling.positions(_vectors(spark, folder).select("vec_id", "label"), [F.col("vec_id")])
+    n = rows.count()
+    drawn = F.conv(F.substring(T.hash_order(F.col("row_id")), 1, 7), 16, 10).cast("bigint") % n
+    placed = records.withColumn("own", F.col("_pos") < n).withColumn("_pos", F.when(F.col("own"), F.col("_pos")).otherwise(drawn))
+    return placed.join(rows, "_pos").select("row_id", "own", "label")
+
+
+@query("SELECT ratio, width::INT AS width, height::INT AS height FROM (SELECT e.event_id % 40 AS k, (e.event_id % 40 + 10) / 20.0::DOUBLE AS ratio FROM events e) JOIN (SELECT 1) ON true CROSS JOIN (SELECT * FROM (VALUES (0, 512, 512), (1, 640, 480), (2, 480, 640), (3, 768, 432)) b(i, width, height)) QUALIFY row_number() OVER (PARTITION BY k ORDER BY abs(ratio - width / height::DOUBLE), i) = 1")
+def nearest_bucket(spark, folder):
+    """The aspect-ratio bucket nearest to each ratio."""
+    key = F.pmod("event_id", F.lit(40))
+    ratios = read_table(spark, folder, "events").select(((key + 10) / F.lit(20.0)).alias("ratio")).distinct()
+    buckets = spark.createDataFrame([(0, 512, 512), (1, 640, 480), (2, 480, 640), (3, 768, 432)], "i int, width int, height int").withColumn("r", F.col("width") / F.col("height"))
+    return runlog.nearest_row(ratios, buckets, "ratio", "r", "i").select("ratio", "width", "height")
 
 
 # --- run logs ---

@@ -18,8 +18,9 @@ from lumenloom.functions.text import strip
 
 def read_jsonl(spark: SparkSession, path: str, fields: T.StructType = schema.RAW) -> DataFrame:
     """One record a line; blank lines and lines that aren't JSON objects are left out."""
-    rows = spark.read.schema(T.StructType([*fields, T.StructField("_bad", T.StringType())])).option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where("_bad is null").drop("_bad") if fields else rows
+    shape = T.StructType([*fields, T.StructField("_bad", T.StringType())])
+    record = F.from_json("value", shape, {"columnNameOfCorruptRecord": "_bad"})
+    return spark.read.text(path).where(strip(F.col("value")) != "").select(record.alias("_r")).where("_r._bad is null").select([F.col(f"_r.{f.name}") for f in fields])
 
 
 def write_jsonl(df: DataFrame, path: str, if_exists: str = "error") -> None:

@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +179,6 @@ def test_array_helpers(spark):
     assert row["a"] == [2.0, 4.0] and row["x"] == [0, 128, 255] and round(row["c"], 6) == 0.707107 and row["n"] == [0.6, 0.8]
 
 
-def test_working_dir_is_shared(spark):
-    assert working_dir(spark).startswith("file:")
-    assert isinstance(pd.DataFrame(), pd.DataFrame)
+def test_working_dir_follows_the_session(spark):
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert working_dir(spark) == (named.rstrip("/") if named else spark.sparkContext.getCheckpointDir())

@@ -129,7 +129,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_report": P5_REPORT}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_report": P5_REPORT, "p6_found": P6_FOUND}
+
+
+_ITEMS = r"""
+low AS (SELECT row_id, split, source, text, lower(text) AS t FROM metadata_10 WHERE text IS NOT NULL),
+w AS (SELECT row_id, split, unnest(list_distinct(list_concat(
+  regexp_extract_all(regexp_replace(t, '[\x{4e00}-\x{9fff}]+', ' ', 'g'), '[\p{L}\p{N}]+'),
+  flatten(list_transform(regexp_extract_all(t, '[\x{4e00}-\x{9fff}]+'), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END))))) AS item FROM low),
+s AS (SELECT row_id, count(*) AS n FROM w GROUP BY row_id HAVING count(*) >= 5)"""
+P1_FOUND = f"""
+WITH RECURSIVE {_ITEMS},
+p AS (SELECT a.row_id AS a, b.row_id AS b, count(*) AS o FROM w a JOIN w b ON a.item = b.item AND a.row_id < b.row_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM p JOIN s x ON x.row_id = a JOIN s y ON y.row_id = b WHERE o * 10 >= 7 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
+SELECT min(b) AS group_row_id, a AS row_id FROM reach GROUP BY a HAVING min(b) < a"""
+P2_FOUND = f"""
+WITH {_ITEMS},
+p AS (SELECT a.row_id AS a, b.row_id AS b, count(*) AS o FROM w a JOIN w b ON a.item = b.item AND a.split IN ('val', 'test') AND b.split = 'train' GROUP BY 1, 2)
+SELECT least(a, b) AS row_id_a, greatest(a, b) AS row_id_b FROM p JOIN s x ON x.row_id = a JOIN s y ON y.row_id = b WHERE o * 10 >= 7 * (x.n + y.n - o)"""
+_BARE = r"regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+_PIECES = r"list_filter(regexp_split_to_array(text, '[;|\n\r]'), lambda x: regexp_matches(x, '\S'))"
+P6_FOUND = f"""
+WITH {_ITEMS},
+f AS (SELECT row_id, source, text, CASE WHEN json_valid(text) AND json_type(text) = 'OBJECT' THEN 'json'
+  WHEN len({_PIECES}) >= 3 AND list_bool_and(list_transform({_PIECES}, lambda x: length(x) - length(replace(x, ':', '')) = 1)) THEN 'pieces' ELSE 'plain' END AS kind
+  FROM low JOIN s USING (row_id) WHERE source IS NOT NULL),
+k AS (SELECT row_id, {_BARE.format(x='source')} AS source, CASE kind
+  WHEN 'plain' THEN 'plain ' || {_BARE.format(x='text')}
+  WHEN 'pieces' THEN 'named ' || list_sort(list_distinct(list_transform({_PIECES}, lambda x: {_BARE.format(x="split_part(x, ':', 1)")} || ':' || {_BARE.format(x="split_part(x, ':', 2)")})))::VARCHAR
+  ELSE 'named ' || list_sort(list_distinct(list_transform(json_keys(text), lambda x: {_BARE.format(x='x')} || ':' || {_BARE.format(x="json_extract_string(text, '$.' || chr(34) || x || chr(34))")})))::VARCHAR END AS key FROM f),
+g AS (SELECT row_id, min(row_id) OVER (PARTITION BY source, key) AS first_row_id FROM k)
+SELECT first_row_id, row_id FROM g WHERE first_row_id < row_id"""
 
 
 P3_FOUND = """

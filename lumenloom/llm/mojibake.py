@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Costs (nats) of entering and leaving a garbled state, and of an ASCII word in a state of another script.
-ENTER, LEAVE, FOREIGN_WORD = 6.5, 1.5, 1.5
+ENTER, LEAVE, FOREIGN_WORD = 5.0, 1.5, 1.5
 TYPOGRAPHIC = "’‘“”„…–—•€«»\xa0"
 SYMBOLS = "‚·£¥¢§©®™°±×÷½¼¾µ¬№→←↑↓≥≤≈‹›¡¿ªº²³¹†‡ﬁﬂ①②③④⑤"
 HAN_MARKS = "，。、：；！？（）“”《》「」『』　"
@@ -218,7 +218,7 @@ class State:
             longest = 3
         for n in range(1 if longest == 1 else 2, min(longest, len(ahead)) + 1):
             original = self._undo(ahead[:n])
-            if original and original != ahead[:n] and len(original) < max(n, 2) and not any(c < " " or "\x7f" <= c <= "\x9f" or "\ud800" <= c <= "\udfff" or c == "�" for c in original):
+            if original and original != ahead[:n] and len(original) < max(n, 2) and not any(c < " " or "\x7f" <= c <= "\x9f" or "\ud800" <= c <= "\uf8ff" or c == "�" for c in original):
                 out.append((n, original))
         return tuple(out)
 
@@ -242,7 +242,8 @@ def _reads_as_utf8(piece: str) -> bool:
     for m in _HAN.finditer(piece):
         run = m.group()
         read = run.encode("gbk", "ignore").decode("utf-8", "ignore")
-        if 0.45 * len(run) < len(read) < len(run):
+        # three GBK characters stand for two; where some were lost, U+FFFD stands nearby
+        if (0.45 if "�" in piece else 0.6) * len(run) < len(read) < len(run):
             return True
     return False
 

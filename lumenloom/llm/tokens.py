@@ -12,6 +12,7 @@ in different tasks; texts of one chunk never leave the task that reads them.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -121,7 +122,7 @@ def encode(documents: DataFrame, id_col: str, text_col: str, name: str = "byte_b
     found = short.unionByName(stitched.where("ids is not null").select("id", tokens))
     apart = stitched.where("ids is null").select("id", "text_id")
     if not apart.isEmpty():
-        again = _numbered(long).join(apart.select("text_id"), "text_id").select("id", "text")
+        again = _numbered(long).join(apart.select("text_id").distinct(), "text_id").select("id", "text")
         found = found.unionByName(again.mapInArrow(whole, shape))
     return found
 
@@ -202,13 +203,15 @@ class TokenLedger:
 
     def __init__(self, name: str = "byte_bpe_50k", folder: str = TOKENIZERS):
         self.name, self.folder = name, folder
+        with open(f"{folder}/{name}.tiktoken", "rb") as file:
+            self.mark = f"{name}:{hashlib.md5(file.read()).hexdigest()}"  # another vocabulary counts anew
         self.counts: DataFrame | None = None  # (content, tokenizer, tokens)
         self.seen: DataFrame | None = None  # (id, content, source, lang, subject)
         self.cube: DataFrame | None = None  # (source, lang, subject, documents, tokens)
         self.encoded = 0
 
     def _mark(self) -> Column:
-        return F.lit(f"{self.name}")
+        return F.lit(self.mark)
 
     def update(self, records: DataFrame, id_col: str, text_col: str, slices: dict[str, Column]) -> DataFrame:
         """The cube after the table became ``records``. Ids must be unique; records with a null id are left out."""

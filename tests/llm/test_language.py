@@ -48,7 +48,7 @@ def test_cases_and_edges(spark, parts):
     for lang, text in held:
         by.setdefault(lang, text)
     forms = spark.createDataFrame([("en", "en"), ("German", "de"), ("de", "de")], "label_form string, lang string")
-    data = [(1, by["en"], "en"), (2, by["en"], None), (3, by["en"], "German"), (4, by["de"], "xx"), (5, by["en"] + " " + by["de"], "en"), (6, None, None), (7, "  ", None), (8, "a b", None), (9, "1 2 3 4 5 6", None), (None, by["en"], None), (2, by["en"], None), (10, by["en"] * 300, "en")]
+    data = [(1, by["en"], "en"), (2, by["en"], None), (3, by["en"], "German"), (4, by["de"], "xx"), (5, by["en"] + " " + by["de"], "en"), (6, None, None), (7, "  ", None), (8, "a b", None), (9, "1 2 3 4 5 6", None), (None, by["en"], None), (2, by["en"], None), (10, by["en"] * 300, "en"), (11, "the house " * 300, None)]
     df = spark.createDataFrame([(i, t, x, 1, "w") for i, t, x in data], "row_id bigint, text string, lang string, words int, named string")
     got = sorted((r["id"], r["lang"]) for r in language.label_cases(df, "row_id", "text", "lang", forms, model).distinct().collect())
     assert got == [(2, "en"), (3, "en"), (4, "de"), (5, "de"), (5, "en")]

@@ -57,6 +57,33 @@ def test_groups_match_brute_force(spark, prompts):
     assert all(g == min(m) for g, m in out.items())
 
 
+def test_long_lists_go_through_the_grid(spark, prompts, monkeypatch):
+    from lumenloom.operators import simjoin
+
+    monkeypatch.setattr(simjoin, "LIST_LIMIT", 12)
+    monkeypatch.setattr(simjoin, "BLOCK", 5)
+    found = near_duplicate_groups(frame(spark, prompts), "row_id", "text").collect()
+    out = {}
+    for g, i, _ in found:
+        out.setdefault(g, set()).add(i)
+    assert {frozenset(g) for g in out.values()} == groups_of(prompts)
+
+
+def test_one_copy_holds_a_third_of_all_rows(spark, prompts):
+    hot = [(10_000 + i, prompts[0][1], "train") for i in range(len(prompts) // 2)]
+    found = {i: g for g, i, _ in near_duplicate_groups(frame(spark, prompts + hot).repartition(6), "row_id", "text").collect()}
+    assert len({found[i] for i, _, _ in hot}) == 1 and found[hot[0][0]] == found[prompts[0][0]]
+
+
+def test_several_blocks_of_evaluation_records(spark, prompts, monkeypatch):
+    from lumenloom.llm import cross_split
+
+    monkeypatch.setattr(cross_split, "BLOCK_RECORDS", 30)
+    found = {(a, b) for a, b, _ in cross_split_pairs(frame(spark, prompts), "row_id", "text", "split").collect()}
+    evals, trains = [r for r in prompts if r[2] in ("val", "test")], [r for r in prompts if r[2] == "train"]
+    assert found == {(e[0], t[0]) for e in evals for t in trains if alike(e[1], t[1])}
+
+
 def test_links_count_distinct_texts(spark):
     a = "amber anvil barn basalt beacon brass canyon cedar chalk cliff"
     rows = [(1, a, "train"), (2, a, "train"), (3, a + " cobalt", "train"), (4, a + " copper", "val")]

@@ -61,6 +61,18 @@ def test_ledger_deltas(spark):
         assert ledger.encoded == fresh
 
 
+def test_ledger_knows_its_vocabulary():
+    a, b = tokens.TokenLedger("byte_bpe_50k"), tokens.TokenLedger("byte_bpe_multi_50k")
+    assert a.mark.startswith("byte_bpe_50k:") and a.mark.split(":")[1] != b.mark.split(":")[1]
+
+
+def test_unsynchronised_text_is_encoded_whole(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "encode_chunk", lambda *a: None)
+    text = odd_text(40_000, 9)
+    rows = tokens.encode(frame(spark, [(1, text), (1, text), (2, "short")]), "doc_id", "text").where("id = 1").collect()
+    assert [r["ids"] for r in rows] == [tokens.tokenizer("byte_bpe_50k").encode_ordinary(text)] * 2
+
+
 def test_best_fit_keeps_every_constraint():
     rng = np.random.default_rng(0)
     sizes = np.concatenate([rng.integers(0, 100, 3000), [100, 100, 0, 0]])

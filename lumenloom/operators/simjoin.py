@@ -78,11 +78,12 @@ def _rows(kind: int, key: np.ndarray, ids: np.ndarray, tags: np.ndarray, blobs:
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(key), pa.array(ids), pa.array(tags), pa.nulls(n, pa.binary()) if blobs is None else blobs], schema=_DIGEST_ARROW)
 
 
-def frequent_items(digested: DataFrame, share: float = 1 / 2000, at_least: int = 64) -> tuple[np.ndarray, np.ndarray, int]:
+def frequent_items(digested: DataFrame, share: float = 1 / 20_000, at_least: int = 64) -> tuple[np.ndarray, np.ndarray, int]:
     """Items held by more than max(at_least, share * rows) rows, their counts, and the number of rows.
 
-    As a row with s items counts s times, at most (mean s) / share items qualify: the table that goes
-    to the driver and into the tasks is bounded whatever the number of rows.
+    As a row with s items counts s times, at most (mean s) / share items qualify (a million of 16 bytes for
+    texts of 50 items): the table that goes to the driver and into the tasks is bounded whatever the number
+    of rows. The items left have lists of at most that share of the rows.
     """
     rows = digested.where(F.col("kind") < ITEM).count()
     limit = max(at_least, int(share * rows))

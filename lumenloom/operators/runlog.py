@@ -91,10 +91,11 @@ def clipped_mse(difference: Column, limit: float = 50.0) -> Column:
 
 def nearest_row(left: DataFrame, right: DataFrame, key: str, other: str, order: str) -> DataFrame:
     """Each left row with the right row whose ``other`` is nearest to ``key``, the first by ``order`` among
-    equals. The right side is a schedule: some tens of rows."""
-    pairs = left.crossJoin(F.broadcast(right))
-    apart = F.struct(F.abs(F.col(key) - F.col(other)).alias("d"), F.col(order).alias("o"))
-    return pairs.groupBy(*left.columns).agg(F.min_by(F.struct(*right.columns), apart).alias("_r")).select(*left.columns, "_r.*")
+    equals. The right side is a schedule, some tens of rows: it travels as one row, nothing is shuffled."""
+    row = F.struct(*[F.col(c) for c in right.columns])
+    table = right.agg(F.collect_list(F.struct(F.col(other).alias("at"), F.col(order).alias("o"), row.alias("r"))).alias("_rows"))
+    apart = F.transform("_rows", lambda c: F.struct(F.abs(F.col(key) - c["at"]).alias("d"), c["o"].alias("o"), c["r"].alias("r")))
+    return left.crossJoin(F.broadcast(table)).withColumn("_best", F.array_min(apart)["r"]).select(*left.columns, "_best.*")
 
 
 def fold_threshold(values: Column, threshold: float) -> Column:

@@ -17,8 +17,9 @@ RANK_BUCKETS = 256
 
 
 def stratum_rank(df: DataFrame, strata: list[str], key: str, seed: int = 42) -> DataFrame:
-    """``df`` with ``_rank`` (1..) in hash order within each stratum and ``_n``, the stratum's rows."""
-    keyed = df.withColumn("_h", T.hash_order(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, 2))
+    """``df`` with ``_rank`` (1..) in hash order within each stratum and ``_n``, the stratum's rows. Null
+    strata are strata like any other; rows without a key rank among the first."""
+    keyed = df.withColumn("_h", F.coalesce(T.hash_order(F.col(key), seed), F.lit("00"))).withColumn("_b", F.substring("_h", 1, 2))
     same = [F.coalesce(F.col(s).cast("string"), F.lit("\0")).alias(f"_s{i}") for i, s in enumerate(strata)]
     names = [f"_s{i}" for i in range(len(strata))]
     keyed = keyed.select("*", *same)

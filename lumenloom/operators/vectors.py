@@ -47,12 +47,19 @@ def centroids(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
     return whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_mean"))), lambda s: s["_mean"]).alias("centroid"))
 
 
+def scored(df: DataFrame, vector: str, labels: DataFrame) -> DataFrame:
+    """``df`` with ``scores``: the dot product with every label's centroid, as structs (score, -ord). The
+    labels (ord, centroid) are a taxonomy's axis, some tens of rows: they are put into one row, so scoring
+    is a projection and no vector is shuffled."""
+    table = labels.agg(F.collect_list(F.struct("ord", "centroid")).alias("_labels"))
+    pairs = F.transform("_labels", lambda c: F.struct(dot(F.col(vector), c["centroid"]).alias("score"), (-c["ord"]).alias("back")))
+    return df.crossJoin(F.broadcast(table)).withColumn("scores", pairs).drop("_labels")
+
+
 def nearest(df: DataFrame, vector: str, labels: DataFrame) -> DataFrame:
-    """Each row with the label (ord, centroid) of the largest dot product, the first of equals. ``labels``
-    is a taxonomy's axis, some tens of rows."""
-    scored = df.crossJoin(F.broadcast(labels)).withColumn("_score", dot(F.col(vector), F.col("centroid")))
-    best = scored.groupBy(*df.columns).agg(F.max(F.struct("_score", (-F.col("ord")).alias("_o"))).alias("_b"))
-    return best.select(*df.columns, (-F.col("_b._o")).alias("best"), F.col("_b._score").alias("score"))
+    """Each row with the ``ord`` of the label of the largest dot product, the first of equals, and that ``score``."""
+    best = F.array_max("scores")
+    return scored(df, vector, labels).select(*df.columns, (-best["back"]).alias("best"), best["score"].alias("score"))
 
 
 def covariance(df: DataFrame, vector: str, width: int) -> DataFrame:

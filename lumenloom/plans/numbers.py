@@ -66,10 +66,11 @@ def hybrid_camera(spark, folder):
     """The hybrid rule where every keyword says C1: the nearest centroid if it beats the default's by the margin."""
     rows = _vectors(spark, folder)
     labels = _centroids(rows).select("label", "centroid")
-    scored = rows.select("vec_id", "embedding").crossJoin(F.broadcast(labels)).select("vec_id", "label", vectors.dot(F.col("embedding"), F.col("centroid")).alias("s"))
-    best = scored.groupBy("vec_id").agg(F.max(F.struct("s", (-F.col("label")).alias("o"))).alias("b"), F.max(F.when(F.col("label") == 0, F.col("s"))).alias("d"))
-    code = F.concat(F.lit("C"), (1 - F.col("b.o")).cast("string"))
-    return best.select("vec_id", classify.hybrid_camera(F.lit("C1"), code, F.col("b.s") - F.col("d")).alias("camera"))
+    scored = vectors.scored(rows.select("vec_id", "embedding"), "embedding", labels.withColumnRenamed("label", "ord"))
+    best = F.array_max("scores")
+    default = F.element_at(F.filter("scores", lambda x: x["back"] == 0), 1)["score"]
+    code = F.concat(F.lit("C"), (1 - best["back"]).cast("string"))
+    return scored.select("vec_id", classify.hybrid_camera(F.lit("C1"), code, best["score"] - default).alias("camera"))
 
 
 @query(f"""SELECT a.vec_id AS id_a, b.vec_id AS id_b, round({_DOT.format(a='a.embedding', b='b.embedding')} / (sqrt({_DOT.format(a='a.embedding', b='a.embedding')}) * sqrt({_DOT.format(a='b.embedding', b='b.embedding')})), 5) AS cos

@@ -208,3 +208,34 @@ class Sources:
             except Exception as e:  # noqa: BLE001
                 failed[name] = f"{type(e).__name__}: {e}"[:200]
         return out, failed
+
+
+def write_vectors(df: DataFrame, path: str, about: dict[str, str]) -> None:
+    """A vector bundle: the rows as Parquet, and beside them one row of facts (width, model, source)."""
+    df.write.mode("error").parquet(f"{path.rstrip('/')}/vectors")
+    facts = [(str(k), str(v)) for k, v in sorted(about.items())]
+    df.sparkSession.createDataFrame(facts, "key string, value string").coalesce(1).write.mode("error").json(f"{path.rstrip('/')}/about")
+
+
+def read_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    about = spark.read.schema("key string, value string").json(f"{path.rstrip('/')}/about")
+    return spark.read.parquet(f"{path.rstrip('/')}/vectors"), {r["key"]: r["value"] for r in about.collect()}
+
+
+def write_moments(mean: list[float], cov: DataFrame, rows: int, path: str) -> None:
+    """Summary statistics as one row: mean, covariance (i, j, cov) as nested arrays, number of rows."""
+    lines = cov.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "cov"))), lambda s: s["cov"]).alias("line"))
+    one = lines.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda s: s["line"]).alias("sigma"))
+    one.select(F.array(*[F.lit(float(x)) for x in mean]).alias("mu"), "sigma", F.lit(rows).cast("bigint").alias("num_samples")).write.mode("error").parquet(path)
+
+
+def append_results(results: DataFrame, path: str) -> None:
+    """Results of a step, appended to the table of all steps."""
+    results.write.mode("append").parquet(path)
+
+
+def latest(names: DataFrame, column: str = "name") -> DataFrame:
+    """The name with the largest numeric suffix."""
+    from lumenloom.operators.runlog import keep_last
+
+    return keep_last(names, column, 1)

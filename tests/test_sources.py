@@ -107,3 +107,20 @@ def test_url_source(spark, tmp_path):
     spark.dataSource.register(JsonLines)
     df = spark.read.format("jsonl_urls").option("urls", f"file://{tmp_path}/a.jsonl").load()
     assert sorted(r["text"] for r in df.collect()) == ["p", "t"]
+
+
+def test_vector_bundle_and_moments(spark, tmp_path):
+    from lumenloom.operators import vectors
+
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 5.0]), (3, [0.0, 1.0])], "row_id bigint, v array<double>")
+    files.write_vectors(df, str(tmp_path / "b"), {"embed_dim": "2", "source": "made up"})
+    back, about = files.read_vectors(spark, str(tmp_path / "b"))
+    assert back.count() == 3 and about == {"embed_dim": "2", "source": "made up"}
+    files.write_moments([4 / 3, 8 / 3], vectors.covariance(df, "v", 2), 3, str(tmp_path / "m"))
+    (row,) = spark.read.parquet(str(tmp_path / "m")).collect()
+    assert row["num_samples"] == 3 and len(row["sigma"]) == 2 and abs(row["sigma"][0][1] - row["sigma"][1][0]) < 1e-12
+    for step in (1, 2):
+        files.append_results(spark.createDataFrame([(step, 0.1)], "step int, kid_mean double"), str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 2
+    names = spark.createDataFrame([("checkpoint-9",), ("checkpoint-10",), ("best",)], "name string")
+    assert [r["name"] for r in files.latest(names).collect()] == ["checkpoint-10"]

@@ -74,8 +74,9 @@ class Bands:
 
 
 def banded_groups(df: DataFrame, id_col: str, text_col: str, permille: int = 700, bands: int = 14, rows: int = 9) -> DataFrame:
-    """``(component, id)`` by min-hash banding with exact verification: the fast, lossy form (a pair with
-    similarity j is found with probability 1 - (1 - j^rows)^bands)."""
+    """``(component, id)`` by min-hash banding of item sets (``functions.itemsets``) with exact verification:
+    the fast, lossy form (a pair with similarity j is found with probability 1 - (1 - j^rows)^bands). Rows
+    without id or text, or without an item, are left out; a row in no pair is a component of its own."""
     source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.lit(0).alias("tag")).where("id is not null and text is not null")
     digested = digest(source, 1)
     links = verify(digested, meet(keyed(digested, Bands(bands, rows)), permille), permille)

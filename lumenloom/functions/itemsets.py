@@ -90,11 +90,16 @@ class ItemSets:
 
     def sketch(self) -> np.ndarray:
         """128 parity bits a set: the Hamming distance of two sketches never exceeds that of the sets."""
-        bit = (self.flat >> np.uint64(40)) & np.uint64(127)
-        one = np.uint64(1) << (bit & np.uint64(63))
-        low = bit < 64
-        zero = np.uint64(0)
-        return np.stack([np.bitwise_xor.reduceat(np.where(low, one, zero), self.starts), np.bitwise_xor.reduceat(np.where(low, zero, one), self.starts)], 1)
+        return self._parity((self.flat >> np.uint64(40)) & np.uint64(127), 2)
+
+    def wide_sketch(self) -> np.ndarray:
+        """144 parity bits a set, in three words (the third of 16 bits)."""
+        return self._parity((self.flat >> np.uint64(24)) % np.uint64(144), 3)
+
+    def _parity(self, bit: np.ndarray, words: int) -> np.ndarray:
+        one, zero = np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)
+        word = bit >> np.uint64(6)
+        return np.stack([np.bitwise_xor.reduceat(np.where(word == w, one, zero), self.starts) for w in range(words)], 1)
 
 
 def scramble(x: np.ndarray, salt: int) -> np.ndarray:

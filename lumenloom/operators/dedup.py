@@ -63,14 +63,14 @@ class Bands:
     def __init__(self, bands: int, rows: int):
         self.bands, self.rows = bands, rows
 
-    def __call__(self, sets: ItemSets, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, sets: ItemSets) -> tuple[np.ndarray, np.ndarray]:
         keys = []
         for band in range(self.bands):
             key = np.full(len(sets.sizes), band, np.uint64)
             for row in range(self.rows):
                 key = scramble(key ^ np.minimum.reduceat(scramble(sets.flat, 1000 + band * self.rows + row), sets.starts), 5)
             keys.append(key)
-        return np.concatenate(keys), np.tile(np.arange(len(sets.sizes)), self.bands), np.zeros(self.bands * len(sets.sizes), np.uint16)
+        return np.concatenate(keys), np.tile(np.arange(len(sets.sizes)), self.bands)
 
 
 def banded_groups(df: DataFrame, id_col: str, text_col: str, permille: int = 700, bands: int = 14, rows: int = 9) -> DataFrame:

@@ -2,7 +2,7 @@
 
 ``digest`` turns texts into a table of distinct item sets, memberships and item counts, collapsing
 exact copies inside each task first. A caller emits keyed lists of members (``keyed``); ``meet``
-compares the members of each list with 128-bit parity sketches that can only over-accept; ``verify``
+compares the members of each list with 144-bit parity sketches that can only over-accept; ``verify``
 keeps the pairs whose exact likeness is high enough. Lists that outgrow a task are cut into a grid
 of blocks, each pair of blocks a task of its own, so no list is ever capped or held whole.
 """
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from lumenloom.functions.itemsets import ItemSets, by_owner, item_sets, most_differences, new_memory
 from lumenloom.session import materialize
 
-#: What a list knows of a member: the set's hash, its sketch and size, and a tag for the caller.
-MEMBER = np.dtype([("h", "<i8"), ("a", "<u8"), ("b", "<u8"), ("n", "<u2"), ("tag", "<u2")])
+#: What a list knows of a member: the set's hash, the three words of its sketch, its size.
+MEMBER = np.dtype([("h", "<i8"), ("a", "<u8"), ("b", "<u8"), ("c", "<u2"), ("n", "<u2")])
 #: Members a task compares as one list; longer lists go through the grid.
 LIST_LIMIT = 20_000
 #: Rows of a block; lists of at least so many members are compared block by block.
@@ -93,26 +93,28 @@ def frequent_items(digested: DataFrame, share: float = 1 / 20_000, at_least: int
     return keys[order], found["n"].to_numpy(np.int64)[order], rows
 
 
-def keyed(digested: DataFrame, emit: Callable[[ItemSets, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+def keyed(digested: DataFrame, emit: Callable[[ItemSets], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(key, blob): the lists' members, already put together for each Arrow batch.
 
-    ``emit(sets, tags)`` returns list keys, the index of the set each key comes from, and a tag (uint16).
+    ``emit(sets)`` returns list keys and the index of the set each key comes from.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = ItemSets.of_blobs(batch.column(1))
-            keys, owner, tag = emit(sets, batch.column(2).to_numpy(zero_copy_only=False))
+            if not batch.num_rows:
+                continue
+            keys, owner = emit(sets)
             if not len(keys):
                 continue
-            sketch = sets.sketch()
+            sketch = sets.wide_sketch()
             member = np.empty(len(keys), MEMBER)
             member["h"] = batch.column(0).to_numpy(zero_copy_only=False)[owner]
-            member["a"], member["b"] = sketch[owner, 0], sketch[owner, 1]
-            member["n"], member["tag"] = np.minimum(sets.sizes[owner], 65535), tag
+            member["a"], member["b"], member["c"] = sketch[owner, 0], sketch[owner, 1], sketch[owner, 2]
+            member["n"] = np.minimum(sets.sizes[owner], 65535)
             yield _lists(keys, member)
 
-    source = digested.where(F.col("kind") == SET).select("key", "blob", "tag")
+    source = digested.where(F.col("kind") == SET).select("key", "blob")
     return source.mapInArrow(run, "key bigint, blob binary")
 
 
@@ -125,13 +127,10 @@ def _lists(keys: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys[starts].view(np.int64)), blob], names=["key", "blob"])
 
 
-def meet(lists: DataFrame, permille: int, admit: Callable | None = None, side: Callable | None = None) -> DataFrame:
-    """(a, b): distinct pairs of set hashes (a < b) that some list brings together and the sketches let pass.
-
-    ``side(members)`` marks the members of the second of two sides; then only pairs across the sides are
-    formed, first side left. ``admit(left, right)`` may rule out pairs by a mask. Pairs still need ``verify``.
-    """
-    compare = _comparer(permille, admit, side, LIST_LIMIT)
+def meet(lists: DataFrame, permille: int) -> DataFrame:
+    """(a, b): distinct pairs of set hashes (a < b) that some list brings together and the sketches let pass;
+    they still need ``verify``."""
+    compare = _comparer(permille, LIST_LIMIT)
     shape = "a bigint, b bigint, key bigint, blob binary"
     met = materialize(lists.repartition("key").sortWithinPartitions("key").mapInArrow(compare, shape), "met")
     pairs = met.where(F.col("key").isNull()).select("a", "b")
@@ -139,7 +138,7 @@ def meet(lists: DataFrame, permille: int, admit: Callable | None = None, side: C
     blocks = long.groupBy("key").agg(F.ceil(F.sum(F.length("blob")) / (MEMBER.itemsize * LIST_LIMIT // 2)).cast("bigint").alias("blocks"))
     if not blocks.isEmpty():
         cells = long.join(blocks, "key").mapInArrow(_grid, "key bigint, blob binary")
-        rest = cells.repartition("key").sortWithinPartitions("key").mapInArrow(_comparer(permille, admit, side, None), shape)
+        rest = cells.repartition("key").sortWithinPartitions("key").mapInArrow(_comparer(permille, None), shape)
         pairs = pairs.unionByName(rest.select("a", "b"))
     return pairs.distinct()
 
@@ -161,42 +160,35 @@ def _grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         yield _lists(np.full(len(mine), c, np.uint64), mine)
 
 
-def _comparer(permille: int, admit: Callable | None, side: Callable | None, limit: int | None) -> Callable:
+def _comparer(permille: int, limit: int | None) -> Callable:
     shape = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("blob", pa.binary())])
 
     def passing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         a, b = left["n"].astype(np.int64), right["n"].astype(np.int64)
-        apart = np.bitwise_count(left["a"] ^ right["a"]).astype(np.int64) + np.bitwise_count(left["b"] ^ right["b"])
-        ok = (left["h"] != right["h"]) & ((apart <= most_differences(a, b, permille)) | (np.maximum(a, b) == 65535))
-        return ok & admit(left, right) if admit else ok
+        apart = sum(np.bitwise_count(left[w] ^ right[w]).astype(np.int64) for w in "abc")
+        return (left["h"] != right["h"]) & ((apart <= most_differences(a, b, permille)) | (np.maximum(a, b) == 65535))
 
     def arranged(member: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         """The pairs of each group, a member that lies in a list twice taken once."""
-        second = side(member) if side else np.zeros(len(member), bool)
-        order = np.lexsort((member["tag"], member["h"], second, group))
-        member, group, second = member[order], group[order], second[order]
-        new = np.append(True, (member["h"][1:] != member["h"][:-1]) | (group[1:] != group[:-1]) | (member["tag"][1:] != member["tag"][:-1]))
-        member, group, second = member[new], group[new], second[new]
+        order = np.lexsort((member["h"], group))
+        member, group = member[order], group[order]
+        new = np.append(True, (member["h"][1:] != member["h"][:-1]) | (group[1:] != group[:-1]))
+        member, group = member[new], group[new]
         starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         length = np.diff(np.append(starts, len(member)))
-        if admit is None and side is None and (length >= BLOCK).any():
-            for at, n in zip(starts[length >= BLOCK].tolist(), length[length >= BLOCK].tolist(), strict=True):
-                yield from blocks_of(member[at : at + n])
-            small = np.repeat(length < BLOCK, length)
-            if not small.any():
-                return
-            member, second, length = member[small], second[small], length[length < BLOCK]
+        long = length >= BLOCK
+        for at, n in zip(starts[long].tolist(), length[long].tolist(), strict=True):
+            yield from blocks_of(member[at : at + n])
+        small = np.repeat(~long, length)
+        if small.any():
+            member, length = member[small], length[~long]
             starts = np.cumsum(length) - length
-        if side:
-            partners = np.where(second, np.repeat(np.add.reduceat(~second, starts), length), 0)
-        else:
-            partners = np.arange(len(member)) - np.repeat(starts, length)
-        yield from pairs_of(member, np.repeat(starts, length), partners)
+            yield from pairs_of(member, np.repeat(starts, length), np.arange(len(member)) - np.repeat(starts, length))
 
     def blocks_of(member: np.ndarray) -> Iterator[pa.RecordBatch]:
         """All pairs of one longer list, block by block in the order of size, as far as sizes go together."""
         member = member[np.argsort(member["n"], kind="stable")]
-        n, a, b, h = (np.ascontiguousarray(member[x]) for x in ("n", "a", "b", "h"))
+        n, a, b, c, h = (np.ascontiguousarray(member[x]) for x in ("n", "a", "b", "c", "h"))
         reach = np.searchsorted(n, np.where(n == 65535, 65535, n.astype(np.int64) * 1000 // permille), "right")
         most = most_differences(0, np.arange(2 * int(n[-1]) + 1), permille).astype(np.uint16)
         left, right = [], []
@@ -206,6 +198,7 @@ def _comparer(permille: int, admit: Callable | None, side: Callable | None, limi
             allowed = most[n[at:to, None].astype(np.int32) + n[None, at:end]]
             apart = np.bitwise_count(a[at:to, None] ^ a[None, at:end])
             apart += np.bitwise_count(b[at:to, None] ^ b[None, at:end])
+            apart += np.bitwise_count(c[at:to, None] ^ c[None, at:end])
             i, j = np.nonzero((apart <= allowed) | (n[None, at:end] == 65535))
             keep = j > i
             left.append(h[at + i[keep]])

@@ -78,7 +78,7 @@ class HeavyLight:
         at = np.minimum(np.searchsorted(self.frequent, flat), len(self.frequent) - 1)
         return np.where(self.frequent[at] == flat, at, -1)
 
-    def __call__(self, sets: ItemSets, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, sets: ItemSets) -> tuple[np.ndarray, np.ndarray]:
         keys, owners = [], []
         sizes = sets.sizes
         for i in np.flatnonzero(sizes <= self.light):
@@ -118,8 +118,7 @@ class HeavyLight:
                     draw = np.where(draw == np.repeat(least, run), last, draw)
                 keys.append(key)
                 owners.append(who)
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        return key, owner, np.zeros(len(key), np.uint16)
+        return np.concatenate(keys), np.concatenate(owners)
 
 
 def near_duplicate_groups(records: DataFrame, id_col: str, text_col: str, permille: int = 700, least_items: int = 5) -> DataFrame:

@@ -5,14 +5,10 @@ exactly if they share at least c(a, b) items.
 
 * Light sets enumerate fixed-size subsets: for every overlap c that a partner's size can ask for, all
   subsets of c items. Two light sets that share c items have such a subset in common. Exact.
-* Heavy sets scan inverted lists. In the order "infrequent items first", the first shared item of two
-  alike sets lies within the first s - ceil(t s) + 1 items of either, so every alike pair whose first
-  shared item is infrequent meets in that item's list. Exact.
-* Alike pairs that share no infrequent item still share most of their frequent ones. Lists of single
-  frequent items hold a fixed share of all rows, so heavy sets meet in lists of r-item subsets
-  instead: the r first items under each of ``BANDS`` random orders. r follows from the measured item
-  frequencies and the number of rows so that a list stays short. This part is randomised: a pair with
-  likeness j over its frequent items is missed with probability about (1 - j^r)^BANDS.
+* Heavy sets scan inverted lists. In the order "rarest items first", the first shared item of two alike
+  sets lies within the first s - ceil(t s) + 1 items of either, so they meet in that item's list. Exact.
+* The list of a common item would hold a fixed share of all rows. Where the counts make a list longer
+  than a task compares, it is split by the items that may be shared next (``PrefixLists``). Exact, too.
 * The light-heavy boundary is chosen by cost: the largest size whose subsets cost less than its lists.
 
 Every candidate is verified exactly on the item sets. Components of the links give the groups.
@@ -29,15 +25,11 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions.itemsets import ItemSets, required_overlap, scramble
 from lumenloom.operators.components import connected_components
-from lumenloom.operators.simjoin import COPY, SET, digest, frequent_items, keyed, meet, verify
+from lumenloom.operators.simjoin import COPY, SET, PrefixLists, digest, frequent_items, keyed, meet, verify
 from lumenloom.session import materialize
 
-#: Random orders for the subsets of frequent items, by subset size r.
-BANDS = {1: 16, 2: 16, 3: 44}
-#: An item held by more than this share of the rows says little; it is drawn late in a random order.
-COMMON_SHARE = 0.06
-#: Members of a list that the choice of r aims at.
-LIST_GOAL = 400
+#: Lists of a small heavy set and their members, as the boundary reckons them.
+LISTS, LIST_GOAL = 4, 400
 #: Cost of a list entry (shuffled, sorted) in comparisons of two members.
 ENTRY_COST = 150
 
@@ -61,22 +53,8 @@ class HeavyLight:
     """The list keys of a batch of sets; frozen statistics, so all tasks agree."""
 
     def __init__(self, frequent: np.ndarray, counts: np.ndarray, rows: int, permille: int):
-        self.frequent, self.permille, self.rows = frequent, permille, max(rows, 1)
-        share = counts / self.rows
-        self.common = share > COMMON_SHARE
-        drawn = share[~self.common]
-        # chance that two random rows draw the same first item, from the items' shares
-        meet_once = float((drawn**2).sum() / max(2 * drawn.sum(), 1e-9)) if len(drawn) else 0.0
-        self.r = next((r for r in (1, 2) if self.rows * meet_once**r <= LIST_GOAL), 3)
-        self.bands = BANDS[self.r]
-        self.light = light_boundary(permille, self.rows * meet_once**self.r, self.bands)
-
-    def place(self, flat: np.ndarray) -> np.ndarray:
-        """Index among the frequent items, -1 for an infrequent one."""
-        if not len(self.frequent):
-            return np.full(len(flat), -1)
-        at = np.minimum(np.searchsorted(self.frequent, flat), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == flat, at, -1)
+        self.permille, self.lists = permille, PrefixLists(frequent, counts, rows, permille)
+        self.light = light_boundary(permille, min(rows, LIST_GOAL), LISTS)
 
     def __call__(self, sets: ItemSets) -> tuple[np.ndarray, np.ndarray]:
         keys, owners = [], []
@@ -89,35 +67,12 @@ class HeavyLight:
                     owners.append(np.array([i]))
         # a light set whose partners are all light needs no lists
         heavy = sizes * 1000 >= self.permille * (self.light + 1)
-        spare = sizes - -(-sizes * self.permille // 1000)  # items that a partner may lack
-        place = self.place(sets.flat)
-        rare = place < 0
-        before = np.cumsum(rare) - rare
-        before -= np.repeat(before[sets.starts] if len(sets.starts) else before, sizes)
-        entry = rare & heavy[sets.owner] & (before <= spare[sets.owner])
-        keys.append(scramble(sets.flat[entry], 7))
-        owners.append(sets.owner[entry])
-
-        rares = np.bincount(sets.owner, rare, len(sizes)).astype(np.int64)
-        subset = heavy & (rares <= spare)  # else each alike partner shares an infrequent item
-        use = ~rare & subset[sets.owner]
-        if use.any():
-            flat, owner = sets.flat[use], sets.owner[use]
-            late = self.common[place[use]]
-            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            run = np.diff(np.append(starts, len(owner)))
-            who = owner[starts]
-            last = np.uint64(0xFFFFFFFFFFFFFFFF)
-            for band in range(self.bands):
-                draw = scramble(flat, 100 + band) >> np.uint64(1)
-                draw = np.where(late, draw | np.uint64(1 << 63), draw)  # common items come last
-                key = np.full(len(who), 100 + band, np.uint64)
-                for _ in range(self.r):
-                    least = np.minimum.reduceat(draw, starts)
-                    key = scramble(key ^ least, 5)
-                    draw = np.where(draw == np.repeat(least, run), last, draw)
-                keys.append(key)
-                owners.append(who)
+        if heavy.any():
+            key, owner = self.lists(sets.take(heavy))
+            keys.append(key)
+            owners.append(np.flatnonzero(heavy)[owner])
+        if not keys:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
         return np.concatenate(keys), np.concatenate(owners)
 
 

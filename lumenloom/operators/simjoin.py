@@ -10,13 +10,14 @@ of blocks, each pair of blocks a task of its own, so no list is ever capped or h
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.functions.itemsets import ItemSets, by_owner, item_sets, most_differences, new_memory
+from lumenloom.functions.itemsets import ItemSets, by_owner, item_sets, most_differences, new_memory, scramble
 from lumenloom.session import materialize
 
 #: What a list knows of a member: the set's hash, the three words of its sketch, its size.
@@ -27,6 +28,8 @@ LIST_LIMIT = 20_000
 BLOCK = 48
 #: Pairs compared in one vectorised step.
 PAIR_STEP = 400_000
+#: Lists that a set may enter for subsets of up to r items; a larger set takes a smaller r.
+SUBSET_KEYS = 1000
 
 SET, COPY, ITEM = 0, 1, 2
 _DIGEST = "kind int, key bigint, id bigint, tag int, blob binary"
@@ -93,6 +96,69 @@ def frequent_items(digested: DataFrame, share: float = 1 / 20_000, at_least: int
     return keys[order], found["n"].to_numpy(np.int64)[order], rows
 
 
+class PrefixLists:
+    """List keys under which every two alike sets meet: subsets of a prefix, from the rarest item to the commonest.
+
+    In one order of all items (infrequent ones first, then by count) the first shared item of two alike
+    sets has at most s - ceil(t s) items of either before it, the second shared one at most one more, and
+    so on. A set enters the list of each item that may be its first shared one. If the counts let a list
+    expect more than LIST_LIMIT rows, it is split by the item that may be shared next, up to r items a
+    key. r depends on a set's size; a set also enters the lists of the r of larger partners. Exact for
+    every pair, whatever the counts say: all tasks have the same counts, so both sets split alike.
+    """
+
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray, rows: int, permille: int):
+        self.frequent, self.counts, self.permille, self.rows, self.limit = frequent, counts, permille, max(rows, 1), LIST_LIMIT
+        self.reach = [max(s for s in range(SUBSET_KEYS) if comb(s + r, r) <= SUBSET_KEYS) for r in (2, 3)]
+        self.rank = np.empty(len(frequent), np.int64)
+        self.rank[np.lexsort((frequent, counts))] = np.arange(1, len(frequent) + 1)
+
+    def place(self, flat: np.ndarray) -> np.ndarray:
+        """Index among the frequent items, -1 for an infrequent one."""
+        if not len(self.frequent):
+            return np.full(len(flat), -1)
+        at = np.minimum(np.searchsorted(self.frequent, flat), len(self.frequent) - 1)
+        return np.where(self.frequent[at] == flat, at, -1)
+
+    def spare(self, sizes: np.ndarray) -> np.ndarray:
+        """Items that an alike partner may lack."""
+        return sizes - -(-sizes * self.permille // 1000)
+
+    def longest(self, sizes: np.ndarray) -> np.ndarray:
+        """Items of a key, at most, by the size of the larger set of a pair."""
+        spare = self.spare(sizes)
+        return 1 + sum((spare <= s).astype(np.int64) for s in self.reach)
+
+    def __call__(self, sets: ItemSets) -> tuple[np.ndarray, np.ndarray]:
+        sizes = sets.sizes
+        place = self.place(sets.flat)
+        known = place >= 0
+        rank, count = np.zeros(len(place), np.int64), np.zeros(len(place))
+        rank[known], count[known] = self.rank[place[known]], self.counts[place[known]]
+        order = np.lexsort((rank, sets.owner))  # stable: infrequent items keep the order of their hashes
+        flat, count = sets.flat[order], count[order]
+        spare, ends = self.spare(sizes), sets.starts + sizes
+        own, least = self.longest(sizes), self.longest(sizes * 1000 // self.permille)
+        least = np.where(sizes - spare < 3, 1, least)  # so small that alike sets may share fewer than three items
+        before = np.arange(len(flat)) - sets.starts[sets.owner]
+        last = np.flatnonzero(before <= spare[sets.owner])
+        owner, key, members = sets.owner[last], scramble(flat[last], 7), count[last]
+        keys, owners = [], []
+        for items in (1, 2, 3):
+            short = members <= self.limit
+            enter, split = short | (items >= least[owner]), ~short & (items < own[owner])
+            keys.append(key[enter])
+            owners.append(owner[enter])
+            owner, key, members, last = owner[split], key[split], members[split], last[split]
+            # the next shared item lies at most one place further than the one before may
+            choices = np.maximum(np.minimum(sets.starts[owner] + spare[owner] + items + 1, ends[owner]) - last - 1, 0)
+            which = np.repeat(np.arange(len(owner)), choices)
+            last = last[which] + 1 + np.arange(len(which)) - np.repeat(np.cumsum(choices) - choices, choices)
+            owner, members = owner[which], members[which] * count[last] / self.rows
+            key = scramble(key[which] ^ scramble(flat[last], 77), 5)
+        return np.concatenate(keys), np.concatenate(owners)
+
+
 def keyed(digested: DataFrame, emit: Callable[[ItemSets], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(key, blob): the lists' members, already put together for each Arrow batch.
 

@@ -135,3 +135,18 @@ def test_block_covers_every_segmentation():
     one = ItemSets(np.arange(10, 50, dtype=np.uint64), np.array([40]))
     block = Block(np.array([1]), one, Order(np.arange(10, 50, dtype=np.uint64), np.full(40, 9), 100), 700)
     assert len(block.tag) and block.place.max() < 40
+
+
+def test_templates_that_hold_a_third_of_all_rows(spark, monkeypatch):
+    from lumenloom.operators import simjoin
+
+    frame_words = " ".join(f"frame{i}" for i in range(19))
+    slots = [f"slot{i}" for i in range(4)]
+    # each slot word is a frequent item (over 64 rows) of under 6 % of the rows; no two template texts share one
+    rows = [(i, f"{frame_words} {s}", "train") for i, s in enumerate(slots)]
+    rows += [(100 + i, f"{frame_words} {' '.join(f'own{i}x{k}' for k in range(20))}", "train") for i in range(1000)]
+    rows += [(10_000 + i, f"{slots[i % 4] if i < 400 else 'none'} {' '.join(f'other{i}x{k}' for k in range(9))}", "train") for i in range(2000)]
+    for limit in (simjoin.LIST_LIMIT, 300, 30):  # lists of one item, then of two and three
+        monkeypatch.setattr(simjoin, "LIST_LIMIT", limit)
+        found = near_duplicate_groups(frame(spark, rows), "row_id", "text").collect()
+        assert {(g, i, n) for g, i, n in found} == {(0, i, 3) for i in range(4)}

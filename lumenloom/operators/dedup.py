@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenloom.functions import text as T
 from lumenloom.functions.itemsets import ItemSets, scramble
 from lumenloom.operators.components import connected_components
-from lumenloom.operators.simjoin import COPY, SET, digest, keyed, meet, verify
+from lumenloom.operators.simjoin import COPY, SET, PrefixLists, digest, frequent_items, keyed, meet, verify
 from lumenloom.session import materialize
 
 
@@ -79,7 +81,19 @@ def banded_groups(df: DataFrame, id_col: str, text_col: str, permille: int = 700
     without id or text, or without an item, are left out; a row in no pair is a component of its own."""
     source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.lit(0).alias("tag")).where("id is not null and text is not null")
     digested = digest(source, 1)
-    links = verify(digested, meet(keyed(digested, Bands(bands, rows)), permille), permille)
+    return _grouped(digested, Bands(bands, rows), permille)
+
+
+def alike_groups(df: DataFrame, id_col: str, text_col: str, permille: int = 700) -> DataFrame:
+    """``(component, id)`` like ``banded_groups``, but lossless: every pair with similarity >= permille/1000
+    meets in a list of ``PrefixLists``."""
+    source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.lit(0).alias("tag")).where("id is not null and text is not null")
+    digested = digest(source, 1)
+    return _grouped(digested, PrefixLists(*frequent_items(digested), permille), permille)
+
+
+def _grouped(digested: DataFrame, emit: Callable[[ItemSets], tuple[np.ndarray, np.ndarray]], permille: int) -> DataFrame:
+    links = verify(digested, meet(keyed(digested, emit), permille), permille)
     found = connected_components(links, "a", "b")
     members = digested.where(F.col("kind").isin(SET, COPY)).select(F.col("key").alias("vertex"), "id").distinct()
     return members.join(found, "vertex", "left").select(F.coalesce("component", "vertex").alias("component"), "id")

@@ -556,5 +556,5 @@ def near_dup_survivors(spark, folder):
 
 @query(None)
 def banded_near_dups(spark, folder):
-    """The lossy banded form over the raw harvest: ids and their component."""
-    return dedup.banded_groups(_raw(spark, folder), "raw_id", "text")
+    """Near-duplicates over the raw harvest, without loss: ids and their component."""
+    return dedup.alike_groups(_raw(spark, folder), "raw_id", "text")

@@ -53,6 +53,16 @@ def test_banded_recall(spark):
     assert got.where("n = 2").count() >= 57
 
 
+def test_near_dups_at_the_threshold_are_lossless(spark, tmp_path):
+    from lumenloom.plans import registry
+
+    # 14 of 20 items shared: likeness 0.7, which bands find in 44 of 100 cases
+    rows = [(2 * i + k, " ".join([f"s{i}x{j}" for j in range(14)] + [f"o{i}x{j}" for j in range(3 * k, 3 * k + 3)])) for i in range(100) for k in (0, 1)]
+    spark.createDataFrame(rows, "raw_id bigint, text string").write.parquet(f"{tmp_path}/raw_harvest.parquet")
+    got = registry.queries()["banded_near_dups"](spark, str(tmp_path)).groupBy("component").agg(F.count("*").alias("n"))
+    assert got.where("n = 2").count() == 100 and got.count() == 100
+
+
 def test_survivor_is_the_longest(spark):
     df = spark.createDataFrame([(1, "x"), (2, "longer"), (3, "middle"), (4, "alone"), (5, None)], "row_id bigint, text string")
     groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "id bigint, component bigint")

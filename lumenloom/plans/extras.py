@@ -247,10 +247,19 @@ def star_intersect(spark, folder):
 @query("""
 SELECT o.o_orderkey, e.n AS events FROM (SELECT o_orderkey, o_custkey % 150 AS u FROM orders) o FULL OUTER JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) e ON o.u = e.user_id WHERE o.o_orderkey % 10 = 0 OR o.o_orderkey IS NULL""")
 def star_full_outer(spark, folder):
+    return _orders_and_events(spark, folder).where((F.pmod("o_orderkey", F.lit(10)) == 0) | F.col("o_orderkey").isNull())
+
+
+@query("""
+SELECT o.o_orderkey, e.n AS events FROM (SELECT o_orderkey, o_custkey % 150 AS u FROM orders) o FULL OUTER JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) e ON o.u = e.user_id""")
+def star_full_outer_whole(spark, folder):
+    return _orders_and_events(spark, folder)
+
+
+def _orders_and_events(spark, folder):
     counts = read_table(spark, folder, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("events"))
     orders = read_table(spark, folder, "orders").select("o_orderkey", F.pmod("o_custkey", F.lit(150)).alias("user_id"))
-    joined = orders.join(counts, "user_id", "full")
-    return joined.where((F.pmod("o_orderkey", F.lit(10)) == 0) | F.col("o_orderkey").isNull()).select("o_orderkey", "events")
+    return orders.join(counts, "user_id", "full").select("o_orderkey", "events")
 
 
 @query("""

@@ -192,3 +192,12 @@ def test_array_helpers(spark):
 def test_working_dir_follows_the_session(spark):
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert working_dir(spark) == (named.rstrip("/") if named else spark.sparkContext.getCheckpointDir())
+
+
+def test_the_full_outer_join_keeps_every_order(spark):
+    from lumenloom.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    got = registry.queries()["star_full_outer_whole"](spark, folder)
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    assert got.where("o_orderkey is not null").count() == orders.count()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from lumenloom.functions import text as T
 from lumenloom.functions.itemsets import ItemSets, scramble
 from lumenloom.operators.components import connected_components
-from lumenloom.operators.simjoin import COPY, SET, PrefixLists, digest, frequent_items, keyed, meet, verify
+from lumenloom.operators.simjoin import COPY, SET, Emitter, Entries, PrefixLists, digest, frequent_items, meet, verify
 from lumenloom.session import materialize
 
 
@@ -62,17 +60,18 @@ def word_pairs(df: DataFrame, id_col: str, text_col: str, permille: int = 700) -
 class Bands:
     """Min-hash bands of token sets as list keys."""
 
-    def __init__(self, bands: int, rows: int):
-        self.bands, self.rows = bands, rows
+    def __init__(self, bands: int, rows: int, permille: int):
+        self.bands, self.rows, self.permille = bands, rows, permille
 
-    def __call__(self, sets: ItemSets) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, sets: ItemSets, wave: int = 0, waves: int = 1) -> Entries:
         keys = []
         for band in range(self.bands):
             key = np.full(len(sets.sizes), band, np.uint64)
             for row in range(self.rows):
                 key = scramble(key ^ np.minimum.reduceat(scramble(sets.flat, 1000 + band * self.rows + row), sets.starts), 5)
             keys.append(key)
-        return np.concatenate(keys), np.tile(np.arange(len(sets.sizes)), self.bands)
+        owner = np.tile(np.arange(len(sets.sizes)), self.bands)
+        return Entries(np.concatenate(keys), owner, sets.sizes[owner] * 1000 // self.permille).of_wave(wave, waves)
 
 
 def banded_groups(df: DataFrame, id_col: str, text_col: str, permille: int = 700, bands: int = 14, rows: int = 9) -> DataFrame:
@@ -81,7 +80,7 @@ def banded_groups(df: DataFrame, id_col: str, text_col: str, permille: int = 700
     without id or text, or without an item, are left out; a row in no pair is a component of its own."""
     source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.lit(0).alias("tag")).where("id is not null and text is not null")
     digested = digest(source, 1)
-    return _grouped(digested, Bands(bands, rows), permille)
+    return _grouped(digested, Bands(bands, rows, permille), permille)
 
 
 def alike_groups(df: DataFrame, id_col: str, text_col: str, permille: int = 700) -> DataFrame:
@@ -92,8 +91,8 @@ def alike_groups(df: DataFrame, id_col: str, text_col: str, permille: int = 700)
     return _grouped(digested, PrefixLists(*frequent_items(digested), permille), permille)
 
 
-def _grouped(digested: DataFrame, emit: Callable[[ItemSets], tuple[np.ndarray, np.ndarray]], permille: int) -> DataFrame:
-    links = verify(digested, meet(keyed(digested, emit), permille), permille)
+def _grouped(digested: DataFrame, emit: Emitter, permille: int) -> DataFrame:
+    links = materialize(verify(digested, meet(digested, emit, permille), permille), "links")
     found = connected_components(links, "a", "b")
     members = digested.where(F.col("kind").isin(SET, COPY)).select(F.col("key").alias("vertex"), "id").distinct()
     return members.join(found, "vertex", "left").select(F.coalesce("component", "vertex").alias("component"), "id")

@@ -1,35 +1,49 @@
 """Set-similarity self-join engine: digest texts once, meet in keyed lists, verify exactly.
 
 ``digest`` turns texts into a table of distinct item sets, memberships and item counts, collapsing
-exact copies inside each task first. A caller emits keyed lists of members (``keyed``); ``meet``
-compares the members of each list with 144-bit parity sketches that can only over-accept; ``verify``
-keeps the pairs whose exact likeness is high enough. Lists that outgrow a task are cut into a grid
-of blocks, each pair of blocks a task of its own, so no list is ever capped or held whole.
+exact copies inside each task first. An emitter names the lists that each set enters; ``meet`` brings
+the lists together in buckets, a bounded share of all lists at a time, and compares the members of
+each list with 128-bit parity sketches that can only over-accept; ``verify`` keeps the pairs whose
+exact likeness is high enough. Lists that outgrow a task are cut into a grid of blocks, each pair of
+blocks a task of its own, so no list is ever capped or held whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from math import comb
+from typing import NamedTuple, Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.functions.itemsets import ItemSets, by_owner, item_sets, most_differences, new_memory, scramble
-from lumenloom.session import materialize
+from lumenloom.functions.itemsets import ITEM_MASK, ItemSets, binary_parts, by_owner, item_sets, most_differences, new_memory, scramble
+from lumenloom.session import discard, materialize
 
-#: What a list knows of a member: the set's hash, the three words of its sketch, its size.
-MEMBER = np.dtype([("h", "<i8"), ("a", "<u8"), ("b", "<u8"), ("c", "<u2"), ("n", "<u2")])
-#: Members a task compares as one list; longer lists go through the grid.
+#: What a list knows of a member: the list's key, the set's hash, the two words of its sketch, its size,
+#: and the largest partner that it can be alike with if the list's items are the first ones they share.
+MEMBER = np.dtype([("key", "<u8"), ("h", "<i8"), ("a", "<u8"), ("b", "<u8"), ("n", "<u2"), ("most", "<u2")])
+#: A size that stands for itself and all larger ones.
+HUGE = 65535
+#: Members a task compares as one list; longer lists are split by a further item, or go through the grid.
 LIST_LIMIT = 20_000
-#: Rows of a block; lists of at least so many members are compared block by block.
-BLOCK = 48
+#: Members of a bucket of lists, and those a task holds before it looks for lists that are too long.
+BUCKET_MEMBERS, HELD_MEMBERS = 250_000, 1_000_000
+#: Bytes of list members a set may cause at a time, and those that never need a second wave; the lists are
+#: dealt out to as many waves as that takes.
+WAVE_BYTES, ONE_WAVE_BYTES = 400, 64 << 20
+#: Sets from which the number of lists a set enters is reckoned; the number only lays out the work.
+RECKONED_SETS = 2_000
+#: Rows and columns of a block; lists of at least so many members are compared block by block.
+BLOCK, COLUMNS = 32, 4096
 #: Pairs compared in one vectorised step.
 PAIR_STEP = 400_000
 #: Lists that a set may enter for subsets of up to r items; a larger set takes a smaller r.
 SUBSET_KEYS = 1000
+#: Sets, or counts of items, that a task remembers at a time.
+REMEMBERED = 2_000_000
 
 SET, COPY, ITEM = 0, 1, 2
 _DIGEST = "kind int, key bigint, id bigint, tag int, blob binary"
@@ -45,8 +59,7 @@ def digest(texts: DataFrame, least_items: int = 5) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, seen = new_memory(), set()
-        names, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        memory, seen, tally = new_memory(), set(), Tally()
         for batch in batches:
             sets = item_sets(batch.column(1).to_pylist(), memory)
             enough = sets.sizes >= least_items
@@ -56,6 +69,8 @@ def digest(texts: DataFrame, least_items: int = 5) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)[enough]
             tags = batch.column(2).to_numpy(zero_copy_only=False)[enough].astype(np.int32)
             hashes = sets.identity()
+            if len(seen) > REMEMBERED:  # from here on a set may come out once more: it counts as a copy there
+                seen.clear()
             first = np.zeros(len(ids), bool)
             for i, mark in enumerate(zip(hashes.tolist(), tags.tolist(), strict=True)):
                 if mark not in seen:
@@ -66,16 +81,44 @@ def digest(texts: DataFrame, least_items: int = 5) -> DataFrame:
                 yield _rows(SET, hashes[first], ids[first], tags[first], new.blobs())
             if not first.all():
                 yield _rows(COPY, hashes[~first], ids[~first], tags[~first], None)
-            some, n = np.unique(sets.flat, return_counts=True)
-            names, where = np.unique(np.concatenate([names, some]), return_inverse=True)
-            counts = np.bincount(where, np.concatenate([counts, n]), len(names)).astype(np.int64)
-        for at in range(0, len(names), 50_000):
-            part = names[at : at + 50_000].view(np.int64)
-            yield _rows(ITEM, part, counts[at : at + 50_000], np.zeros(len(part), np.int32), None)
+            tally.add(sets.flat)
+            if tally.held > REMEMBERED:
+                yield from tally.rows()
+        yield from tally.rows()
 
     return materialize(texts.select(F.col("id").cast("bigint"), "text", F.col("tag").cast("int")).mapInArrow(run, _DIGEST), "digest")
 
 
+class Tally:
+    """Counts of items, merged now and then."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = self.fresh = 0
+
+    def add(self, flat: np.ndarray) -> None:
+        part = np.unique(flat, return_counts=True)
+        self.parts.append(part)
+        self.fresh += len(part[0])
+        self.held += len(part[0])
+        if self.fresh > 500_000:
+            self._merge()
+
+    def _merge(self) -> None:
+        names, where = np.unique(np.concatenate([n for n, _ in self.parts]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([c for _, c in self.parts]), len(names)).astype(np.int64)
+        self.parts, self.held, self.fresh = [(names, counts)], len(names), 0
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._merge()
+            names, counts = self.parts[0]
+            for at in range(0, len(names), 50_000):
+                part = names[at : at + 50_000].view(np.int64)
+                yield _rows(ITEM, part, counts[at : at + 50_000], np.zeros(len(part), np.int32), None)
+        self.parts, self.held, self.fresh = [], 0, 0
+
+
 def _rows(kind: int, key: np.ndarray, ids: np.ndarray, tags: np.ndarray, blobs: pa.Array | None) -> pa.RecordBatch:
     n = len(key)
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(key), pa.array(ids), pa.array(tags), pa.nulls(n, pa.binary()) if blobs is None else blobs], schema=_DIGEST_ARROW)
@@ -96,6 +139,32 @@ def frequent_items(digested: DataFrame, share: float = 1 / 20_000, at_least: int
     return keys[order], found["n"].to_numpy(np.int64)[order], rows
 
 
+class Entries(NamedTuple):
+    """The lists that a batch of sets enters: list key, index of the set, largest partner it can have there."""
+
+    key: np.ndarray
+    owner: np.ndarray
+    most: np.ndarray
+
+    @staticmethod
+    def together(parts: list[Entries]) -> Entries:
+        return Entries(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else Entries(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def of_wave(self, wave: int, waves: int) -> Entries:
+        keep = wave_of(self.key, waves) == wave
+        return Entries(*(x[keep] for x in self))
+
+
+class Emitter(Protocol):
+    """Gives every set's lists, those of one wave at a time; two alike sets share a list of some wave."""
+
+    def __call__(self, sets: ItemSets, wave: int, waves: int) -> Entries: ...
+
+
+def wave_of(key: np.ndarray, waves: int) -> np.ndarray:
+    return (key >> np.uint64(20)) % np.uint64(waves)
+
+
 class PrefixLists:
     """List keys under which every two alike sets meet: subsets of a prefix, from the rarest item to the commonest.
 
@@ -105,20 +174,18 @@ class PrefixLists:
     expect more than LIST_LIMIT rows, it is split by the item that may be shared next, up to r items a
     key. r depends on a set's size; a set also enters the lists of the r of larger partners. Exact for
     every pair, whatever the counts say: all tasks have the same counts, so both sets split alike.
+
+    The d items of a set before its first shared ones are lost to the overlap. c(s, p) <= s - d holds
+    for partners of up to (s - d)(1 + t) / t - s items only: that is the entry's ``most``.
     """
 
     def __init__(self, frequent: np.ndarray, counts: np.ndarray, rows: int, permille: int):
-        self.frequent, self.counts, self.permille, self.rows, self.limit = frequent, counts, permille, max(rows, 1), LIST_LIMIT
+        self.frequent, self.permille, self.rows, self.limit = frequent, permille, max(rows, 1), LIST_LIMIT
         self.reach = [max(s for s in range(SUBSET_KEYS) if comb(s + r, r) <= SUBSET_KEYS) for r in (2, 3)]
+        by_count = np.lexsort((frequent, counts))
         self.rank = np.empty(len(frequent), np.int64)
-        self.rank[np.lexsort((frequent, counts))] = np.arange(1, len(frequent) + 1)
-
-    def place(self, flat: np.ndarray) -> np.ndarray:
-        """Index among the frequent items, -1 for an infrequent one."""
-        if not len(self.frequent):
-            return np.full(len(flat), -1)
-        at = np.minimum(np.searchsorted(self.frequent, flat), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == flat, at, -1)
+        self.rank[by_count] = np.arange(len(frequent))
+        self.ranked, self.ranked_count = frequent[by_count], counts[by_count].astype(float)
 
     def spare(self, sizes: np.ndarray) -> np.ndarray:
         """Items that an alike partner may lack."""
@@ -129,156 +196,227 @@ class PrefixLists:
         spare = self.spare(sizes)
         return 1 + sum((spare <= s).astype(np.int64) for s in self.reach)
 
-    def __call__(self, sets: ItemSets) -> tuple[np.ndarray, np.ndarray]:
+    def most(self, sizes: np.ndarray, lost: np.ndarray) -> np.ndarray:
+        """The largest partner of a set that has lost some items to the overlap."""
+        return (sizes - lost) * (1000 + self.permille) // self.permille - sizes
+
+    def ordered(self, sets: ItemSets) -> tuple[np.ndarray, np.ndarray]:
+        """The items of each set in the global order, and their counts (0 for an infrequent one)."""
+        if not len(self.frequent):
+            return sets.flat, np.zeros(len(sets.flat))
+        at = np.minimum(np.searchsorted(self.frequent, sets.flat), len(self.frequent) - 1)
+        known = self.frequent[at] == sets.flat
+        # owner, whether frequent, and rank or item in one integer: a plain sort does it
+        word = np.where(known, np.uint64(ITEM_MASK + 1) | self.rank[at].astype(np.uint64), sets.flat)
+        flat = np.empty_like(word)
+        count = np.zeros(len(word))
+        for low in range(0, len(sets.sizes), 1 << 15):
+            part = slice(int(sets.starts[low]), int(sets.starts[low] + sets.sizes[low : low + (1 << 15)].sum()))
+            sorted_ = np.sort((sets.owner[part] - low).astype(np.uint64) << np.uint64(49) | word[part])
+            value = sorted_ & np.uint64(ITEM_MASK)
+            common = (sorted_ & np.uint64(ITEM_MASK + 1)) > 0
+            rank = value[common].astype(np.int64)
+            value[common] = self.ranked[rank]
+            flat[part] = value
+            count[part][common] = self.ranked_count[rank]
+        return flat, count
+
+    def __call__(self, sets: ItemSets, wave: int = 0, waves: int = 1) -> Entries:
         sizes = sets.sizes
-        place = self.place(sets.flat)
-        known = place >= 0
-        rank, count = np.zeros(len(place), np.int64), np.zeros(len(place))
-        rank[known], count[known] = self.rank[place[known]], self.counts[place[known]]
-        order = np.lexsort((rank, sets.owner))  # stable: infrequent items keep the order of their hashes
-        flat, count = sets.flat[order], count[order]
+        flat, count = self.ordered(sets)
         spare, ends = self.spare(sizes), sets.starts + sizes
         own, least = self.longest(sizes), self.longest(sizes * 1000 // self.permille)
         least = np.where(sizes - spare < 3, 1, least)  # so small that alike sets may share fewer than three items
-        before = np.arange(len(flat)) - sets.starts[sets.owner]
-        last = np.flatnonzero(before <= spare[sets.owner])
-        owner, key, members = sets.owner[last], scramble(flat[last], 7), count[last]
-        keys, owners = [], []
+        lost = np.arange(len(flat)) - sets.starts[sets.owner]
+        last = np.flatnonzero(lost <= spare[sets.owner])
+        key = scramble(flat[last], 7)
+        mine = wave_of(key, waves) == wave  # a wave has the subsets that begin with its items
+        last, key = last[mine], key[mine]
+        owner, members, lost = sets.owner[last], count[last], lost[last]
+        parts = []
         for items in (1, 2, 3):
             short = members <= self.limit
             enter, split = short | (items >= least[owner]), ~short & (items < own[owner])
-            keys.append(key[enter])
-            owners.append(owner[enter])
-            owner, key, members, last = owner[split], key[split], members[split], last[split]
+            parts.append(Entries(key[enter], owner[enter], self.most(sizes[owner[enter]], lost[enter])))
+            owner, key, members, last, lost = owner[split], key[split], members[split], last[split], lost[split]
             # the next shared item lies at most one place further than the one before may
             choices = np.maximum(np.minimum(sets.starts[owner] + spare[owner] + items + 1, ends[owner]) - last - 1, 0)
             which = np.repeat(np.arange(len(owner)), choices)
-            last = last[which] + 1 + np.arange(len(which)) - np.repeat(np.cumsum(choices) - choices, choices)
-            owner, members = owner[which], members[which] * count[last] / self.rows
+            step = np.arange(len(which)) - np.repeat(np.cumsum(choices) - choices, choices)
+            last = last[which] + 1 + step
+            owner, members, lost = owner[which], members[which] * count[last] / self.rows, lost[which] + step
             key = scramble(key[which] ^ scramble(flat[last], 77), 5)
-        return np.concatenate(keys), np.concatenate(owners)
+        return Entries.together(parts)
 
 
-def keyed(digested: DataFrame, emit: Callable[[ItemSets], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(key, blob): the lists' members, already put together for each Arrow batch.
+def meet(digested: DataFrame, emit: Emitter, permille: int) -> DataFrame:
+    """(a, b): distinct pairs of set hashes (a < b) that some list brings together and the sketches let pass;
+    they still need ``verify``.
 
-    ``emit(sets)`` returns list keys and the index of the set each key comes from.
+    A wave's lists travel in buckets, each a bounded number of members; what a wave finds is written and
+    its shuffle deleted before the next one begins. No sets, no pairs.
     """
+    sets = digested.where(F.col("kind") == SET).select("key", "blob")
+    total = sets.count()
+    waves, buckets = _layout(sets, total, emit)
+    found, long = [], []
+    for wave in range(waves):
+        lists = sets.mapInArrow(_keyed(emit, wave, waves, buckets), _LIST)
+        met = materialize(_gathered(lists, buckets).mapInArrow(_comparer(permille, LIST_LIMIT), _MET), "met")
+        found.append(met.where("key is null").select("a", "b"))
+        long.append(met.where("key is not null").select("key", "blob"))
+    pairs, over = _union(found), _union(long)
+    blocks = over.groupBy("key").agg(F.ceil(F.sum(F.length("blob")) / (MEMBER.itemsize * LIST_LIMIT // 2)).cast("bigint").alias("blocks"))
+    if not over.isEmpty():
+        cells = over.join(blocks, "key").mapInArrow(_grid, _LIST)
+        rest = materialize(cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_comparer(permille, None), _MET), "grid")
+        pairs = pairs.unionByName(rest.select("a", "b"))
+    return pairs.distinct()
+
+
+_LIST, _MET = "bucket bigint, blob binary", "a bigint, b bigint, key bigint, blob binary"
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table)
+    return out
+
+
+def _layout(sets: DataFrame, total: int, emit: Emitter) -> tuple[int, int]:
+    """Waves, and buckets of a wave, by the lists that some sets enter. Only the layout depends on it."""
+    some = ItemSets.of_blobs(sets.limit(RECKONED_SETS).toArrow().column("blob"))
+    each = len(emit(some, 0, 1).key) / max(len(some.sizes), 1)
+    waves = max(1, -(-int(each * total * MEMBER.itemsize) // max(WAVE_BYTES * total, ONE_WAVE_BYTES)))
+    return waves, max(1, -(-int(each * total) // (waves * BUCKET_MEMBERS)))
+
+
+def _gathered(lists: DataFrame, buckets: int) -> DataFrame:
+    few = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lists.repartition(max(few, -(-buckets // 2)), "bucket").sortWithinPartitions("bucket")
+
+
+def _keyed(emit: Emitter, wave: int, waves: int, buckets: int):
+    """Maps (key, blob) of sets to (bucket, blob): the list members, put together for each Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = ItemSets.of_blobs(batch.column(1))
             if not batch.num_rows:
                 continue
-            keys, owner = emit(sets)
-            if not len(keys):
+            sets = ItemSets.of_blobs(batch.column(1))
+            entries = emit(sets, wave, waves)
+            if not len(entries.key):
                 continue
-            sketch = sets.wide_sketch()
-            member = np.empty(len(keys), MEMBER)
-            member["h"] = batch.column(0).to_numpy(zero_copy_only=False)[owner]
-            member["a"], member["b"], member["c"] = sketch[owner, 0], sketch[owner, 1], sketch[owner, 2]
-            member["n"] = np.minimum(sets.sizes[owner], 65535)
-            yield _lists(keys, member)
-
-    source = digested.where(F.col("kind") == SET).select("key", "blob")
-    return source.mapInArrow(run, "key bigint, blob binary")
-
-
-def _lists(keys: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(keys, kind="stable")
-    keys, member = keys[order], member[order]
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    offsets = np.append(starts, len(keys)).astype(np.int32) * MEMBER.itemsize
-    blob = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(member.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(keys[starts].view(np.int64)), blob], names=["key", "blob"])
+            sketch = sets.sketch()
+            owner = entries.owner
+            member = np.empty(len(owner), MEMBER)
+            member["key"], member["h"] = entries.key, batch.column(0).to_numpy(zero_copy_only=False)[owner]
+            member["a"], member["b"] = sketch[owner, 0], sketch[owner, 1]
+            member["n"], member["most"] = np.minimum(sets.sizes[owner], HUGE), np.minimum(entries.most, HUGE)
+            yield _lists(((entries.key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), member)
 
+    return run
 
-def meet(lists: DataFrame, permille: int) -> DataFrame:
-    """(a, b): distinct pairs of set hashes (a < b) that some list brings together and the sketches let pass;
-    they still need ``verify``."""
-    compare = _comparer(permille, LIST_LIMIT)
-    shape = "a bigint, b bigint, key bigint, blob binary"
-    met = materialize(lists.repartition("key").sortWithinPartitions("key").mapInArrow(compare, shape), "met")
-    pairs = met.where(F.col("key").isNull()).select("a", "b")
-    long = met.where(F.col("key").isNotNull()).select("key", "blob")
-    blocks = long.groupBy("key").agg(F.ceil(F.sum(F.length("blob")) / (MEMBER.itemsize * LIST_LIMIT // 2)).cast("bigint").alias("blocks"))
-    if not blocks.isEmpty():
-        cells = long.join(blocks, "key").mapInArrow(_grid, "key bigint, blob binary")
-        rest = cells.repartition("key").sortWithinPartitions("key").mapInArrow(_comparer(permille, None), shape)
-        pairs = pairs.unionByName(rest.select("a", "b"))
-    return pairs.distinct()
+
+def _lists(bucket: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(bucket, kind="stable")
+    bucket, member = bucket[order], member[order]
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    offsets = np.append(starts, len(bucket)).astype(np.int32) * MEMBER.itemsize
+    blob = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(member.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), blob], names=["bucket", "blob"])
 
 
 def _grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each member of a long list goes to the cells (i, j) of its own block i."""
+    """Each member of a long list goes to the cells (i, j) of its own block i; a cell is a list and a bucket."""
     for batch in batches:
-        for key, blob, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, blob, blocks in zip(*(batch.column(c).to_pylist() for c in ("key", "blob", "blocks")), strict=True):
             member = np.frombuffer(blob, MEMBER)
             block = member["h"].view(np.uint64) % np.uint64(blocks)
             for i in range(blocks):
                 mine = member[block == i]
-                if len(mine):
-                    other = np.arange(blocks, dtype=np.uint64)
-                    low, high = np.minimum(other, i), np.maximum(other, np.uint64(i))
-                    with np.errstate(over="ignore"):
-                        cell = (np.uint64(key & 0xFFFFFFFFFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15)) ^ (low * np.uint64(blocks) + high)
-                    for c in cell:
-                        yield _lists(np.full(len(mine), c, np.uint64), mine)
+                for j in range(blocks if len(mine) else 0):
+                    cell = scramble(np.array([key ^ (min(i, j) * blocks + max(i, j))], np.int64).view(np.uint64), 11)[0]
+                    mine["key"] = cell
+                    yield _lists(np.full(len(mine), np.int64(cell.view(np.int64))), mine)
+
 
+class _comparer:
+    """Maps (bucket, blob), ordered by bucket, to pairs (a, b); lists of more than ``limit`` members come
+    out as (key, blob), some members at a time, as soon as they are found to be long."""
 
-def _comparer(permille: int, limit: int | None) -> Callable:
     shape = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("blob", pa.binary())])
 
-    def passing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        a, b = left["n"].astype(np.int64), right["n"].astype(np.int64)
-        apart = sum(np.bitwise_count(left[w] ^ right[w]).astype(np.int64) for w in "abc")
-        return (left["h"] != right["h"]) & ((apart <= most_differences(a, b, permille)) | (np.maximum(a, b) == 65535))
-
-    def arranged(member: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """The pairs of each group, a member that lies in a list twice taken once."""
-        order = np.lexsort((member["h"], group))
-        member, group = member[order], group[order]
-        new = np.append(True, (member["h"][1:] != member["h"][:-1]) | (group[1:] != group[:-1]))
-        member, group = member[new], group[new]
-        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    def __init__(self, permille: int, limit: int | None):
+        self.permille, self.limit = permille, limit
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size, room, long = None, [], 0, HELD_MEMBERS, np.empty(0, np.uint64)
+        for batch in batches:
+            buckets = batch.column(0).to_numpy(zero_copy_only=False)
+            ends, data = binary_parts(batch.column(1))
+            member, ends = data.view(MEMBER), ends // MEMBER.itemsize
+            starts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])) if len(buckets) else ()
+            for first, behind in zip(starts, [*starts[1:], len(buckets)], strict=True):
+                if buckets[first] != now:
+                    yield from self.close(held, long)
+                    now, held, size, room, long = buckets[first], [], 0, HELD_MEMBERS, np.empty(0, np.uint64)
+                held.append(member[ends[first] : ends[behind]])
+                size += len(held[-1])
+                if self.limit and size > room:
+                    yield from self.shed(held, long)
+                    long = np.union1d(long, self.long_ones(held[0]["key"]))
+                    held = [held[0][~np.isin(held[0]["key"], long)]]
+                    size, room = len(held[0]), len(held[0]) + HELD_MEMBERS
+        yield from self.close(held, long)
+
+    def long_ones(self, keys: np.ndarray) -> np.ndarray:
+        names, n = np.unique(keys, return_counts=True)
+        return names[n > self.limit]
+
+    def shed(self, held: list[np.ndarray], long: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Puts what is held together and lets the members of long lists out."""
+        member = np.concatenate(held)
+        held[:] = [member]
+        out = np.isin(member["key"], np.union1d(long, self.long_ones(member["key"])))
+        if out.any():
+            gone = member[out]
+            gone = gone[np.argsort(gone["key"], kind="stable")]
+            for some in np.split(gone, np.flatnonzero(gone["key"][1:] != gone["key"][:-1]) + 1):
+                for at in range(0, len(some), HELD_MEMBERS):
+                    part = some[at : at + HELD_MEMBERS]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([part["key"][0].view(np.int64)]), pa.array([part.tobytes()], pa.binary())], schema=self.shape)
+
+    def close(self, held: list[np.ndarray], long: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        if self.limit:
+            yield from self.shed(held, long)
+            member = held[0][~np.isin(held[0]["key"], np.union1d(long, self.long_ones(held[0]["key"])))]
+        else:
+            member = np.concatenate(held)
+        if len(member) < 2:
+            return
+        member = member[np.argsort(member["key"], kind="stable")]
+        starts = np.flatnonzero(np.append(True, member["key"][1:] != member["key"][:-1]))
         length = np.diff(np.append(starts, len(member)))
-        long = length >= BLOCK
-        for at, n in zip(starts[long].tolist(), length[long].tolist(), strict=True):
-            yield from blocks_of(member[at : at + n])
-        small = np.repeat(~long, length)
+        for at, n in zip(starts[length >= BLOCK].tolist(), length[length >= BLOCK].tolist(), strict=True):
+            yield from self.blocks_of(member[at : at + n])
+        small = np.repeat((length > 1) & (length < BLOCK), length)
         if small.any():
-            member, length = member[small], length[~long]
-            starts = np.cumsum(length) - length
-            yield from pairs_of(member, np.repeat(starts, length), np.arange(len(member)) - np.repeat(starts, length))
-
-    def blocks_of(member: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """All pairs of one longer list, block by block in the order of size, as far as sizes go together."""
-        member = member[np.argsort(member["n"], kind="stable")]
-        n, a, b, c, h = (np.ascontiguousarray(member[x]) for x in ("n", "a", "b", "c", "h"))
-        reach = np.searchsorted(n, np.where(n == 65535, 65535, n.astype(np.int64) * 1000 // permille), "right")
-        most = most_differences(0, np.arange(2 * int(n[-1]) + 1), permille).astype(np.uint16)
-        left, right = [], []
-        for at in range(0, len(n), BLOCK):
-            to = min(at + BLOCK, len(n))
-            end = int(reach[to - 1])
-            allowed = most[n[at:to, None].astype(np.int32) + n[None, at:end]]
-            apart = np.bitwise_count(a[at:to, None] ^ a[None, at:end])
-            apart += np.bitwise_count(b[at:to, None] ^ b[None, at:end])
-            apart += np.bitwise_count(c[at:to, None] ^ c[None, at:end])
-            i, j = np.nonzero((apart <= allowed) | (n[None, at:end] == 65535))
-            keep = j > i
-            left.append(h[at + i[keep]])
-            right.append(h[at + j[keep]])
-        x, y = np.concatenate(left), np.concatenate(right)
-        if len(x):
-            yield found(x[x != y], y[x != y])
-
-    def found(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64()), pa.nulls(len(both), pa.binary())], schema=shape)
-
-    def pairs_of(member: np.ndarray, first: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Member i with the members first[i] to first[i] + rank[i] - 1, some at a time."""
+            yield from self.pairs_of(member[small], length[(length > 1) & (length < BLOCK)])
+
+    def keep(self, x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """Whether the members can be alike, by sizes and sketches."""
+        n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
+        fits = (n <= y["most"]) & (m <= x["most"]) & (x["h"] != y["h"])
+        return fits & ((apart <= most_differences(n, m, self.permille)) | (np.maximum(n, m) == HUGE))
+
+    def pairs_of(self, member: np.ndarray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """All pairs of each of many short lists, some at a time."""
+        first = np.repeat(np.cumsum(length) - length, length)
+        rank = np.arange(len(member)) - first
         total = np.cumsum(rank)
         at = 0
         while at < len(member):
@@ -287,54 +425,40 @@ def _comparer(permille: int, limit: int | None) -> Callable:
             right = np.repeat(np.arange(at, to), n)
             left = np.repeat(first[at:to], n) + np.arange(len(right)) - np.repeat(np.cumsum(n) - n, n)
             x, y = member[left], member[right]
-            keep = passing(x, y)
-            if keep.any():
-                yield found(x["h"][keep], y["h"][keep])
+            apart = np.bitwise_count(x["a"] ^ y["a"]) + np.bitwise_count(x["b"] ^ y["b"])
+            yield from self.found(x, y, self.keep(x, y, apart))
             at = to
 
-    def overflow(key: int, member: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([key], pa.int64()), pa.array([member.tobytes()], pa.binary())], schema=shape)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, held, spilled = None, [], False  # the list that the next batch may continue
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if held and not spilled:
-                member = np.concatenate(held)
-                if len(member) > 1:
-                    yield from arranged(member, np.zeros(len(member), np.int64))
-
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            blob = batch.column(1)
-            offsets = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1] // MEMBER.itemsize
-            member = np.frombuffer(blob.buffers()[2], np.uint8, int(offsets[-1]) * MEMBER.itemsize).view(MEMBER)
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            ends = np.append(starts[1:], len(keys))
-            for which in range(len(starts)) if len(starts) == 1 else (0, len(starts) - 1):
-                k, part = int(keys[starts[which]]), member[offsets[starts[which]] : offsets[ends[which]]]
-                if k != open_key:
-                    yield from close()
-                    open_key, held, spilled = k, [], False
-                held.append(part)
-                if limit and (spilled or sum(map(len, held)) > limit):
-                    yield overflow(k, np.concatenate(held))
-                    held, spilled = [], True
-            if len(starts) > 2:  # the lists that lie wholly inside this batch
-                lo, hi = offsets[starts[1]], offsets[starts[-1]]
-                inner = member[lo:hi]
-                group = np.repeat(np.arange(len(starts) - 2), np.diff(offsets[starts[1:]]))
-                size = np.bincount(group)
-                if limit and size.max(initial=0) > limit:
-                    for g in np.flatnonzero(size > limit):
-                        yield overflow(int(keys[starts[g + 1]]), inner[group == g])
-                    size[size > limit] = 0
-                keep = size[group] > 1
-                if keep.any():
-                    yield from arranged(inner[keep], group[keep])
-        yield from close()
-
-    return run
+    def blocks_of(self, member: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """All pairs of one longer list, block by block. Rows are the smaller sets of the pairs: those that
+        can have a partner of their own size. A block's columns are the sets of fitting sizes."""
+        member = member[np.lexsort((member["h"], member["n"]))]
+        member = member[np.append(True, member["h"][1:] != member["h"][:-1])]  # a copy that another task has told of
+        n, most, a, b = (np.ascontiguousarray(member[x]) for x in ("n", "most", "a", "b"))
+        rows = np.flatnonzero(most >= n)
+        rows = rows[np.argsort(most[rows], kind="stable")]
+        largest = np.where(most[rows] == HUGE, 255, np.minimum(most_differences(n[rows].astype(np.int64), most[rows].astype(np.int64), self.permille), 255)).astype(np.uint8)
+        begin, end = np.searchsorted(n, n[rows], "left"), np.searchsorted(n, most[rows], "right")
+        for at in range(0, len(rows), BLOCK):
+            some = rows[at : at + BLOCK]
+            low, high = int(begin[at : at + BLOCK].min()), int(end[at : at + BLOCK].max())
+            columns = low + np.flatnonzero(most[low:high] >= n[low])
+            for c in range(0, len(columns), COLUMNS):
+                part = columns[c : c + COLUMNS]
+                apart = np.bitwise_count(a[some, None] ^ a[None, part])
+                apart += np.bitwise_count(b[some, None] ^ b[None, part])
+                i, j = np.nonzero(apart <= largest[at : at + BLOCK, None])
+                if len(i):
+                    x, y, near = some[i], part[j], apart[i, j]
+                    ahead = y > x
+                    x, y = member[x[ahead]], member[y[ahead]]
+                    yield from self.found(x, y, self.keep(x, y, near[ahead].astype(np.int64)))
+
+    def found(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if keep.any():
+            p, q = x["h"][keep], y["h"][keep]
+            both = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64()), pa.nulls(len(both), pa.binary())], schema=self.shape)
 
 
 def shrink(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 22) -> DataFrame:

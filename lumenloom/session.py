@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,15 +47,33 @@ def working_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: lineage ends at replicated storage."""
+    """Write ``df`` into the shared folder and read it back: lineage ends at replicated storage.
+
+    The shuffle files of the write are deleted when it is done; nothing reads them any more.
+    """
     spark = df.sparkSession
     path = f"{working_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_deleted(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumenloom_path = path
     return out
 
 
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``materialize`` once nothing lazy reads it any more."""
     path = getattr(df, "_lumenloom_path", None)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions.itemsets import ItemSets, required_overlap, scramble
 from lumenloom.operators.components import connected_components
-from lumenloom.operators.simjoin import COPY, SET, PrefixLists, digest, frequent_items, keyed, meet, verify
+from lumenloom.operators.simjoin import COPY, SET, Entries, PrefixLists, digest, frequent_items, meet, verify
 from lumenloom.session import materialize
 
 #: Lists of a small heavy set and their members, as the boundary reckons them.
@@ -56,24 +56,22 @@ class HeavyLight:
         self.permille, self.lists = permille, PrefixLists(frequent, counts, rows, permille)
         self.light = light_boundary(permille, min(rows, LIST_GOAL), LISTS)
 
-    def __call__(self, sets: ItemSets) -> tuple[np.ndarray, np.ndarray]:
-        keys, owners = [], []
-        sizes = sets.sizes
-        for i in np.flatnonzero(sizes <= self.light):
-            own = sets.flat[sets.starts[i] : sets.starts[i] + sizes[i]]
-            for c in partner_overlaps(int(sizes[i]), self.permille):
-                for some in combinations(range(len(own)), c):
-                    keys.append(scramble(np.array([np.bitwise_xor.reduce(scramble(own[list(some)], 77))]), 1000 + c))
-                    owners.append(np.array([i]))
+    def __call__(self, sets: ItemSets, wave: int = 0, waves: int = 1) -> Entries:
+        sizes, parts = sets.sizes, []
+        for size in np.unique(sizes[sizes <= self.light]).tolist():
+            which = np.flatnonzero(sizes == size)
+            item = scramble(sets.flat[sets.starts[which][:, None] + np.arange(size)], 77)
+            for c in partner_overlaps(size, self.permille):
+                subsets = np.array(list(combinations(range(size), c)))
+                key = scramble(np.bitwise_xor.reduce(item[:, subsets], 2), 1000 + c).ravel()
+                owner = np.repeat(which, len(subsets))
+                parts.append(Entries(key, owner, np.full(len(key), size * 1000 // self.permille)).of_wave(wave, waves))
         # a light set whose partners are all light needs no lists
         heavy = sizes * 1000 >= self.permille * (self.light + 1)
         if heavy.any():
-            key, owner = self.lists(sets.take(heavy))
-            keys.append(key)
-            owners.append(np.flatnonzero(heavy)[owner])
-        if not keys:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        return np.concatenate(keys), np.concatenate(owners)
+            entries = self.lists(sets.take(heavy), wave, waves)
+            parts.append(entries._replace(owner=np.flatnonzero(heavy)[entries.owner]))
+        return Entries.together(parts)
 
 
 def near_duplicate_groups(records: DataFrame, id_col: str, text_col: str, permille: int = 700, least_items: int = 5) -> DataFrame:
@@ -102,5 +100,5 @@ def near_duplicate_groups(records: DataFrame, id_col: str, text_col: str, permil
 def alike_sets(digested: DataFrame, permille: int) -> DataFrame:
     """(a, b, shared, size_a, size_b): the distinct item sets that are alike, as hashes, written once."""
     frequent, counts, rows = frequent_items(digested)
-    pairs = meet(keyed(digested, HeavyLight(frequent, counts, rows, permille)), permille)
+    pairs = meet(digested, HeavyLight(frequent, counts, rows, permille), permille)
     return materialize(verify(digested, pairs, permille), "links")

@@ -1,3 +1,5 @@
+import pytest
+
 from lumenloom.functions.itemsets import items, most_differences, required_overlap
 from lumenloom.llm.cross_split import Block, Order, banded_distance, cross_split_pairs
 from lumenloom.llm.near_dup import light_boundary, near_duplicate_groups, partner_overlaps
@@ -69,6 +71,19 @@ def test_long_lists_go_through_the_grid(spark, prompts, monkeypatch):
     assert {frozenset(g) for g in out.values()} == groups_of(prompts)
 
 
+@pytest.mark.parametrize("held", [10, 1_000_000])
+def test_waves_and_hot_buckets(spark, prompts, monkeypatch, held):
+    from lumenloom.operators import simjoin
+
+    for name, value in {"LIST_LIMIT": 12, "ONE_WAVE_BYTES": 1, "WAVE_BYTES": 900, "BUCKET_MEMBERS": 500, "HELD_MEMBERS": held}.items():
+        monkeypatch.setattr(simjoin, name, value)
+    found = near_duplicate_groups(frame(spark, prompts).repartition(3), "row_id", "text").collect()
+    out = {}
+    for g, i, _ in found:
+        out.setdefault(g, set()).add(i)
+    assert {frozenset(g) for g in out.values()} == groups_of(prompts)
+
+
 def test_one_copy_holds_a_third_of_all_rows(spark, prompts):
     hot = [(10_000 + i, prompts[0][1], "train") for i in range(len(prompts) // 2)]
     found = {i: g for g, i, _ in near_duplicate_groups(frame(spark, prompts + hot).repartition(6), "row_id", "text").collect()}

@@ -93,12 +93,12 @@ class ItemSets:
         other = np.bitwise_xor.reduceat(scramble(self.flat, 0xA7), self.starts)
         return scramble(total ^ scramble(other, 3) ^ self.sizes.astype(np.uint64), 9).view(np.int64)
 
-    def sketch(self) -> np.ndarray:
-        """128 parity bits a set: the Hamming distance of two sketches never exceeds that of the sets."""
-        bit = self.flat & np.uint64(127)
+    def sketch(self, words: int = 2) -> np.ndarray:
+        """64 parity bits a word and set: the Hamming distance of two sketches never exceeds that of the sets."""
+        bit = self.flat % np.uint64(64 * words)
         one, zero = np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)
-        high = bit > np.uint64(63)
-        return np.stack([np.bitwise_xor.reduceat(np.where(high == w, one, zero), self.starts) for w in (False, True)], 1)
+        word = bit >> np.uint64(6)
+        return np.stack([np.bitwise_xor.reduceat(np.where(word == w, one, zero), self.starts) for w in range(words)], 1)
 
 
 def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

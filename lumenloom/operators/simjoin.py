@@ -3,7 +3,7 @@
 ``digest`` turns texts into a table of distinct item sets, memberships and item counts, collapsing
 exact copies inside each task first. An emitter names the lists that each set enters; ``meet`` brings
 the lists together in buckets, a bounded share of all lists at a time, and compares the members of
-each list with 128-bit parity sketches that can only over-accept; ``verify`` keeps the pairs whose
+each list with 192-bit parity sketches that can only over-accept; ``verify`` keeps the pairs whose
 exact likeness is high enough. Lists that outgrow a task are cut into a grid of blocks, each pair of
 blocks a task of its own, so no list is ever capped or held whole.
 """
@@ -11,6 +11,7 @@ blocks a task of its own, so no list is ever capped or held whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from math import comb
 from typing import NamedTuple, Protocol
 
@@ -22,15 +23,15 @@ from pyspark.sql import functions as F
 from lumenloom.functions.itemsets import ITEM_MASK, ItemSets, binary_parts, by_owner, item_sets, most_differences, new_memory, scramble
 from lumenloom.session import discard, materialize
 
-#: What a list knows of a member: the list's key, the set's hash, the two words of its sketch, its size,
+#: What a list knows of a member: the list's key, the set's hash, the three words of its sketch, its size,
 #: and the largest partner that it can be alike with if the list's items are the first ones they share.
-MEMBER = np.dtype([("key", "<u8"), ("h", "<i8"), ("a", "<u8"), ("b", "<u8"), ("n", "<u2"), ("most", "<u2")])
+MEMBER = np.dtype([("key", "<u8"), ("h", "<i8"), ("a", "<u8"), ("b", "<u8"), ("c", "<u8"), ("n", "<u2"), ("most", "<u2")])
 #: A size that stands for itself and all larger ones.
 HUGE = 65535
 #: Members a task compares as one list; longer lists are split by a further item, or go through the grid.
 LIST_LIMIT = 20_000
 #: Members of a bucket of lists, and those a task holds before it looks for lists that are too long.
-BUCKET_MEMBERS, HELD_MEMBERS = 250_000, 1_000_000
+BUCKET_MEMBERS, HELD_MEMBERS = 60_000, 1_000_000
 #: Bytes of list members a set may cause at a time, and those that never need a second wave; the lists are
 #: dealt out to as many waves as that takes.
 WAVE_BYTES, ONE_WAVE_BYTES = 400, 64 << 20
@@ -294,7 +295,7 @@ def _layout(sets: DataFrame, total: int, emit: Emitter) -> tuple[int, int]:
 
 def _gathered(lists: DataFrame, buckets: int) -> DataFrame:
     few = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return lists.repartition(max(few, -(-buckets // 2)), "bucket").sortWithinPartitions("bucket")
+    return lists.repartition(max(few, -(-buckets // 8)), "bucket").sortWithinPartitions("bucket")
 
 
 def _keyed(emit: Emitter, wave: int, waves: int, buckets: int):
@@ -308,11 +309,11 @@ def _keyed(emit: Emitter, wave: int, waves: int, buckets: int):
             entries = emit(sets, wave, waves)
             if not len(entries.key):
                 continue
-            sketch = sets.sketch()
+            sketch = sets.sketch(3)
             owner = entries.owner
             member = np.empty(len(owner), MEMBER)
             member["key"], member["h"] = entries.key, batch.column(0).to_numpy(zero_copy_only=False)[owner]
-            member["a"], member["b"] = sketch[owner, 0], sketch[owner, 1]
+            member["a"], member["b"], member["c"] = sketch[owner, 0], sketch[owner, 1], sketch[owner, 2]
             member["n"], member["most"] = np.minimum(sets.sizes[owner], HUGE), np.minimum(entries.most, HUGE)
             yield _lists(((entries.key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), member)
 
@@ -352,6 +353,7 @@ class _comparer:
         self.permille, self.limit = permille, limit
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        self.words, self.bits = np.empty(BLOCK * COLUMNS, np.uint64), np.empty((2, BLOCK * COLUMNS), np.uint8)
         now, held, size, room, long = None, [], 0, HELD_MEMBERS, np.empty(0, np.uint64)
         for batch in batches:
             buckets = batch.column(0).to_numpy(zero_copy_only=False)
@@ -401,19 +403,31 @@ class _comparer:
         member = member[np.argsort(member["key"], kind="stable")]
         starts = np.flatnonzero(np.append(True, member["key"][1:] != member["key"][:-1]))
         length = np.diff(np.append(starts, len(member)))
-        for at, n in zip(starts[length >= BLOCK].tolist(), length[length >= BLOCK].tolist(), strict=True):
-            yield from self.blocks_of(member[at : at + n])
-        small = np.repeat((length > 1) & (length < BLOCK), length)
-        if small.any():
-            yield from self.pairs_of(member[small], length[(length > 1) & (length < BLOCK)])
-
-    def keep(self, x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        short = (length > 1) & (length < BLOCK)
+        found = [self.pairs_of(member[np.repeat(short, length)], length[short])]
+        found += [self.blocks_of(member[at : at + n]) for at, n in zip(starts[length >= BLOCK].tolist(), length[length >= BLOCK].tolist(), strict=True)]
+        held, size = [], 0
+        for x, y in chain.from_iterable(found):
+            held.append((np.minimum(x, y), np.maximum(x, y)))
+            size += len(x)
+            if size > PAIR_STEP:
+                yield self.pairs(held)
+                held, size = [], 0
+        if size:
+            yield self.pairs(held)
+
+    def pairs(self, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())], schema=self.shape)
+
+    def keep(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether the members can be alike, by sizes and sketches."""
+        apart = sum(np.bitwise_count(x[w] ^ y[w]).astype(np.int64) for w in "abc")
         n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
         fits = (n <= y["most"]) & (m <= x["most"]) & (x["h"] != y["h"])
         return fits & ((apart <= most_differences(n, m, self.permille)) | (np.maximum(n, m) == HUGE))
 
-    def pairs_of(self, member: np.ndarray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs_of(self, member: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All pairs of each of many short lists, some at a time."""
         first = np.repeat(np.cumsum(length) - length, length)
         rank = np.arange(len(member)) - first
@@ -425,40 +439,48 @@ class _comparer:
             right = np.repeat(np.arange(at, to), n)
             left = np.repeat(first[at:to], n) + np.arange(len(right)) - np.repeat(np.cumsum(n) - n, n)
             x, y = member[left], member[right]
-            apart = np.bitwise_count(x["a"] ^ y["a"]) + np.bitwise_count(x["b"] ^ y["b"])
-            yield from self.found(x, y, self.keep(x, y, apart))
+            keep = self.keep(x, y)
+            yield x["h"][keep], y["h"][keep]
             at = to
 
-    def blocks_of(self, member: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def blocks_of(self, member: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All pairs of one longer list, block by block. Rows are the smaller sets of the pairs: those that
-        can have a partner of their own size. A block's columns are the sets of fitting sizes."""
+        can have a partner of their own size. A block's columns are the sets of fitting sizes.
+
+        Sizes n and m allow at most (n + m)(1 - t) / (1 + t) differences: a share of the row's plus a share
+        of the column's, each rounded up. Two words of the sketch are held against that, in single bytes;
+        the third and the exact bound come to the few pairs that are left.
+        """
         member = member[np.lexsort((member["h"], member["n"]))]
         member = member[np.append(True, member["h"][1:] != member["h"][:-1])]  # a copy that another task has told of
-        n, most, a, b = (np.ascontiguousarray(member[x]) for x in ("n", "most", "a", "b"))
+        n, most, a, b, c, h = (np.ascontiguousarray(member[x]) for x in ("n", "most", "a", "b", "c", "h"))
+        share = np.minimum(-(-n.astype(np.int64) * (1000 - self.permille) // (1000 + self.permille)), 127).astype(np.int8)
+        share = np.maximum(share, 1)
         rows = np.flatnonzero(most >= n)
         rows = rows[np.argsort(most[rows], kind="stable")]
-        largest = np.where(most[rows] == HUGE, 255, np.minimum(most_differences(n[rows].astype(np.int64), most[rows].astype(np.int64), self.permille), 255)).astype(np.uint8)
         begin, end = np.searchsorted(n, n[rows], "left"), np.searchsorted(n, most[rows], "right")
         for at in range(0, len(rows), BLOCK):
             some = rows[at : at + BLOCK]
             low, high = int(begin[at : at + BLOCK].min()), int(end[at : at + BLOCK].max())
             columns = low + np.flatnonzero(most[low:high] >= n[low])
-            for c in range(0, len(columns), COLUMNS):
-                part = columns[c : c + COLUMNS]
-                apart = np.bitwise_count(a[some, None] ^ a[None, part])
-                apart += np.bitwise_count(b[some, None] ^ b[None, part])
-                i, j = np.nonzero(apart <= largest[at : at + BLOCK, None])
-                if len(i):
-                    x, y, near = some[i], part[j], apart[i, j]
-                    ahead = y > x
-                    x, y = member[x[ahead]], member[y[ahead]]
-                    yield from self.found(x, y, self.keep(x, y, near[ahead].astype(np.int64)))
-
-    def found(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if keep.any():
-            p, q = x["h"][keep], y["h"][keep]
-            both = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64()), pa.nulls(len(both), pa.binary())], schema=self.shape)
+            for step in range(0, len(columns), COLUMNS):
+                part = columns[step : step + COLUMNS]
+                shape, size = (len(some), len(part)), len(some) * len(part)
+                words, apart, more = self.words[:size].reshape(shape), self.bits[0, :size].reshape(shape), self.bits[1, :size].reshape(shape)
+                np.bitwise_count(np.bitwise_xor(a[some, None], a[None, part], out=words), out=apart)
+                np.bitwise_count(np.bitwise_xor(b[some, None], b[None, part], out=words), out=more)
+                np.add(apart, more, out=apart)
+                # at most 128, less a share of at least 1: the difference is a signed byte
+                less = np.subtract(apart.view(np.int8), share[None, part], out=more.view(np.int8))
+                left = np.flatnonzero(less <= share[some, None])
+                if len(left):
+                    i, j = np.divmod(left, len(part))
+                    x, y = some[i], part[j]
+                    total = apart.ravel()[left].astype(np.int64) + np.bitwise_count(c[x] ^ c[y])
+                    near = (total <= most_differences(n[x].astype(np.int64), n[y], self.permille)) | (n[y] == HUGE)
+                    near &= (y > x) & (n[y] <= most[x]) & (n[x] <= most[y])
+                    if near.any():
+                        yield h[x[near]], h[y[near]]
 
 
 def shrink(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 22) -> DataFrame:

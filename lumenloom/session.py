@@ -47,19 +47,21 @@ def working_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: lineage ends at replicated storage.
-
-    The shuffle files of the write are deleted when it is done; nothing reads them any more.
-    """
+    """Write ``df`` into the shared folder and read it back: lineage ends at replicated storage."""
     spark = df.sparkSession
     path = f"{working_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    with _shuffles_deleted(spark):
-        df.write.option("compression", "zstd").parquet(path)
+    write_table(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumenloom_path = path
     return out
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """Write ``df``, in place of what is there; the write's shuffle files are deleted when it is done."""
+    with _shuffles_deleted(df.sparkSession):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
 @contextmanager
 def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -21,10 +21,10 @@ def test_overlap_bound_is_tight(a, b, permille):
 @given(st.lists(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=30, unique=True), min_size=2, max_size=6))
 def test_sketches_never_exceed_the_sets(lists):
     sets = ItemSets(np.array([v for x in lists for v in sorted(x)], np.uint64), np.array([len(x) for x in lists]))
-    sketch = sets.sketch()
-    for i, x in enumerate(lists):
-        for j, y in enumerate(lists):
-            assert int(np.bitwise_count(sketch[i] ^ sketch[j]).sum()) <= len(set(x) ^ set(y))
+    for sketch in (sets.sketch(), sets.sketch(3)):
+        for i, x in enumerate(lists):
+            for j, y in enumerate(lists):
+                assert int(np.bitwise_count(sketch[i] ^ sketch[j]).sum()) <= len(set(x) ^ set(y))
 
 
 @given(st.lists(st.one_of(st.none(), st.text(max_size=40)), max_size=8))

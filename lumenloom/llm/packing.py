@@ -5,8 +5,10 @@ Documents are taken from the longest to the shortest; among the open containers
 every constraint, the one with the smallest weighted norm of what would be left is chosen. A document
 is split only if it alone exceeds the token capacity: into full pieces, and a rest that is packed.
 
-The table is packed in blocks of bounded size, drawn by a hash of the id; blocks are independent tasks.
-Each leaves at most a few containers partly filled, a share of 1 / (containers of a block).
+The table is packed in blocks of bounded size, drawn by a hash of the row; blocks are independent tasks.
+Each leaves at most a few containers partly filled, a share of 1 / (containers of a block). Rows that
+agree in id and size are counted and numbered first, so that the result depends on the rows alone, not
+on how they are partitioned, and the rows of one repeated id still spread over the blocks.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from lumenloom.session import materialize
 BLOCK_DOCUMENTS = 16_384
 #: Documents of a container.
 MOST_DOCUMENTS = 512
+#: Attention cost of a container in permille of the square of its capacity, unless its spec has another. Less
+#: than 1000 binds: what stands beside a long document must then be short ones.
+ATTENTION_PERMILLE = 900
 #: Weights of the leftover tokens, documents and attention cost in the norm.
 WEIGHTS = (1.0, 0.01, 0.05)
 
@@ -79,9 +84,9 @@ def pack(sizes: DataFrame, capacity: int, most_documents: int = MOST_DOCUMENTS,
     if capacity < 1:
         raise ValueError("a container holds at least one token")
     blocks = max(1, -(-sizes.count() // BLOCK_DOCUMENTS))
-    # a hash spreads documents evenly; with the row's place in it, also the rows of one repeated id
-    block = F.pmod(F.xxhash64(F.col("id"), F.monotonically_increasing_id()), F.lit(blocks)) if blocks > 1 else F.lit(0)
-    placed = sizes.select(F.col("id").cast("bigint"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"), block.cast("int").alias("block"))
+    counted = sizes.select(F.col("id").cast("bigint"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")).groupBy("id", "tokens").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.select("id", "tokens", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    placed = rows.select("id", "tokens", F.pmod(F.xxhash64("id", "tokens", "copy"), F.lit(blocks)).cast("int").alias("block"))
     shape = "container bigint, id bigint, piece int, pieces int, tokens bigint"
 
     def run(table: pa.Table) -> pa.Table:
@@ -95,17 +100,23 @@ def pack(sizes: DataFrame, capacity: int, most_documents: int = MOST_DOCUMENTS,
 
 
 def pack_documents(documents: DataFrame, id_col: str, text_col: str, specs: DataFrame, folder: str = TOKENIZERS, only: str | None = None) -> DataFrame:
-    """``(pack_id, container, id, piece, pieces, tokens)`` for each row of ``specs`` (pack_id, tokenizer, capacity).
+    """``(pack_id, container, id, piece, pieces, tokens)`` for each row of ``specs``: pack_id, tokenizer and
+    capacity, and if it has them most_documents and attention_permille (of the square of the capacity; 1000
+    or more never binds). Nulls there stand for the defaults.
 
     A few specs, fixed; sizes are counted once per tokenizer. Null and empty texts have no tokens.
     """
-    rows = [r for r in specs.select("pack_id", "tokenizer", "capacity").distinct().collect() if only in (None, r["pack_id"])]
+    wanted = [c for c in ("pack_id", "tokenizer", "capacity", "most_documents", "attention_permille") if c in specs.columns]
+    rows = [r.asDict() for r in specs.select(wanted).distinct().collect() if only in (None, r["pack_id"])]
     out = documents.sparkSession.createDataFrame([], "pack_id string, container bigint, id bigint, piece int, pieces int, tokens bigint")
     for name in sorted({r["tokenizer"] for r in rows}):
         sizes = materialize(encode(documents, id_col, text_col, name, folder, counts_only=True), "sizes")
         for r in sorted(rows, key=lambda r: r["pack_id"]):
             if r["tokenizer"] == name:
-                out = out.unionByName(pack(sizes, r["capacity"]).select(F.lit(r["pack_id"]).alias("pack_id"), "*"))
+                permille = r.get("attention_permille")
+                attention = (ATTENTION_PERMILLE if permille is None else permille) * r["capacity"] ** 2 / 1000
+                packed = pack(sizes, r["capacity"], r.get("most_documents") or MOST_DOCUMENTS, attention)
+                out = out.unionByName(packed.select(F.lit(r["pack_id"]).alias("pack_id"), "*"))
     return out
 
 

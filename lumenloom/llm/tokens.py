@@ -13,15 +13,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.session import discard, materialize
+from lumenloom.session import discard, materialize, working_dir, write_table
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -165,80 +166,133 @@ def decode(ids: list[int], name: str = "byte_bpe_50k", folder: str = TOKENIZERS)
     return tokenizer(name, folder).decode_bytes(ids).decode("utf-8", "replace")
 
 
-# --- problem 7 ---
+def decode_rows(encoded: DataFrame, id_col: str = "id", ids_col: str = "ids", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """``(id, text)`` of each row of ``encoded``: the inverse of ``encode``. Null and empty lists give an empty text."""
+    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
 
-SLICE = ["source", "lang", "subject"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _texts(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([decode(x, name, folder) if x else "" for x in part.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string")
 
-def contents(records: DataFrame, id_col: str, text_col: str, slices: dict[str, Column]) -> DataFrame:
-    """(id, content, source, lang, subject, text): each record with the hash of its text and its slice."""
-    named = [slices[s].alias(s) for s in SLICE]
-    return records.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("content"), *named, F.col(text_col).alias("text"))
 
+# --- problem 7 ---
 
-def token_cube(records: DataFrame, id_col: str, text_col: str, slices: dict[str, Column], name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """``(source, lang, subject, documents, tokens)`` of the whole table, from nothing.
+SLICE = ["source", "lang", "subject"]
+_COUNTS = "content binary, tokenizer string, tokens bigint"
+_SEEN = "content binary, source string, lang string, subject string, n bigint"
+_CUBE = "source string, lang string, subject string, documents bigint, tokens bigint"
+#: Contents that a task remembers to have met.
+REMEMBERED_CONTENTS = 1_000_000
 
-    Null and empty texts count as documents of no tokens; null slices are slices of their own; repeated
-    rows count as often as they stand; an empty table gives no rows.
-    """
-    shape = "source string, lang string, subject string, tokens bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = tokenizer(name, folder)
-        for batch in batches:
-            for part in _texts(batch):
-                counts = pa.array([len(encoding.encode_ordinary(t)) if t else 0 for t in part.column(3).to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), counts], names=[*SLICE, "tokens"])
+def contents(records: DataFrame, text_col: str, slices: dict[str, Column]) -> DataFrame:
+    """(content, source, lang, subject, text): each record's 128-bit hash of its text, and its slice."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return records.select(F.unhex(F.md5(text)).alias("content"), *[slices[s].alias(s) for s in SLICE], text.alias("text"))
+
 
-    rows = records.select(*[slices[s].alias(s) for s in SLICE], F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, shape).groupBy(*SLICE).agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"))
+def _first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (content, text) whose content the task doesn't remember: a hot text leaves each task once."""
+    met: set[bytes] = set()
+    for batch in batches:
+        keep = []
+        for content in batch.column(0).to_pylist():
+            keep.append(content not in met)
+            met.add(content)
+        if len(met) > REMEMBERED_CONTENTS:
+            met.clear()
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 class TokenLedger:
-    """Token counts of a changing collection: a table of counts by content and tokenizer, the slices of the
-    records counted last, and the cube. ``update`` encodes only contents that no table has a count for and
-    changes the cube by signed deltas: minus the old slice and count of every record removed or changed,
-    plus the new ones."""
+    """Token counts of a changing collection, kept in a folder.
+
+    The folder holds a table of counts by content and tokenizer hash (each run adds the contents that were
+    new to it), the contents and slices of the collection as counted last, and the cube of each run.
+    ``update`` encodes only contents without a count, each of them once, and changes the cube by signed
+    deltas: the rows of every slice and content that went, negative, and those that came, positive. A
+    changed document is one that went and one that came. A run counts once its cube is written; what a
+    broken one left is overwritten. A ledger opened on the same folder later goes on from there.
+    """
 
-    def __init__(self, name: str = "byte_bpe_50k", folder: str = TOKENIZERS):
-        self.name, self.folder = name, folder
+    def __init__(self, spark: SparkSession, home: str | None = None, name: str = "byte_bpe_50k", folder: str = TOKENIZERS):
+        self.spark, self.name, self.folder = spark, name, folder
+        self.home = home or f"{working_dir(spark)}/ledger-{uuid.uuid4().hex}"
         with open(f"{folder}/{name}.tiktoken", "rb") as file:
             self.mark = f"{name}:{hashlib.md5(file.read()).hexdigest()}"  # another vocabulary counts anew
-        self.counts: DataFrame | None = None  # (content, tokenizer, tokens)
-        self.seen: DataFrame | None = None  # (id, content, source, lang, subject)
-        self.cube: DataFrame | None = None  # (source, lang, subject, documents, tokens)
+        self.run = self._last_run()
         self.encoded = 0
 
-    def _mark(self) -> Column:
-        return F.lit(self.mark)
-
-    def update(self, records: DataFrame, id_col: str, text_col: str, slices: dict[str, Column]) -> DataFrame:
-        """The cube after the table became ``records``. Ids must be unique; records with a null id are left out."""
-        now = contents(records, id_col, text_col, slices).where("id is not null")
-        state = materialize(now.drop("text"), "ledger-seen")
-        wanted = state.select("content").distinct()
-        if self.counts is not None:
-            wanted = wanted.join(self.counts.where(F.col("tokenizer") == self._mark()), "content", "left_anti")
-        wanted = materialize(wanted, "ledger-wanted")
-        self.encoded = wanted.count()
-        fresh = now.select("content", "text").join(wanted, "content").dropDuplicates(["content"])
-        counted = encode(fresh, "content", "text", self.name, self.folder, counts_only=True).select(F.col("id").alias("content"), self._mark().alias("tokenizer"), "tokens")
-        counts = materialize(counted if self.counts is None else self.counts.unionByName(counted), "ledger-counts")
-        by_content = counts.where(F.col("tokenizer") == self._mark()).select("content", "tokens")
-        if self.seen is None:
-            deltas = state.withColumn("sign", F.lit(1))
-        else:
-            same = ["id", "content", *SLICE]
-            old, new = self.seen.select(same).withColumn("sign", F.lit(-1)), state.select(same).withColumn("sign", F.lit(1))
+    def _path(self, table: str, run: int) -> str:
+        return f"{self.home}/{table}/run={run}"
+
+    def _last_run(self) -> int:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = path(self.home).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        run = 0
+        while files.exists(path(f"{self._path('cube', run + 1)}/_SUCCESS")):
+            run += 1
+        return run
+
+    def _read(self, table: str, shape: str, runs: range) -> DataFrame:
+        return self.spark.read.schema(shape).parquet(*[self._path(table, run) for run in runs]) if len(runs) else self.spark.createDataFrame([], shape)
+
+    def counts(self) -> DataFrame:
+        """(content, tokens) under this tokenizer."""
+        return self._read("counts", _COUNTS, range(1, self.run + 1)).where(F.col("tokenizer") == self.mark).select("content", "tokens")
+
+    def cube(self) -> DataFrame:
+        """``(source, lang, subject, documents, tokens)`` as of the last run."""
+        return self._read("cube", _CUBE, range(self.run, self.run + 1) if self.run else range(0))
+
+    def update(self, records: DataFrame, text_col: str, slices: dict[str, Column]) -> DataFrame:
+        """The cube after the collection became ``records``: ``(source, lang, subject, documents, tokens)``.
+
+        Null and empty texts count as documents of no tokens; null slices are slices of their own; repeated
+        rows count as often as they stand; texts are encoded whole; an empty table gives no rows.
+        """
+        run = self.run + 1
+        now = contents(records, text_col, slices)
+        # combined before the shuffle, so a text that half of the rows share is a row per slice
+        write_table(now.groupBy("content", *SLICE).agg(F.count(F.lit(1)).alias("n")), self._path("seen", run))
+        seen = self._read("seen", _SEEN, range(run, run + 1))
+        fresh = now.select("content", "text")
+        if self.run:
+            wanted = materialize(seen.select("content").distinct().join(self.counts(), "content", "left_anti"), "wanted")
+            fresh = fresh.join(wanted, "content", "left_semi")
+        once = fresh.mapInArrow(_first_of_task, "content binary, text string").repartition("content").sortWithinPartitions("content")
+        write_table(once.mapInArrow(_token_counter(self.name, self.folder, self.mark), _COUNTS), self._path("counts", run))
+        before = self.run
+        self.run, self.encoded = run, self._read("counts", _COUNTS, range(run, run + 1)).count()
+        if before:
+            discard(wanted)
+            old = self._read("seen", _SEEN, range(before, before + 1)).withColumn("n", -F.col("n"))
             # what stands on both sides cancels
-            deltas = old.unionByName(new).groupBy(same).agg(F.sum("sign").alias("sign")).where("sign <> 0")
-        change = deltas.join(by_content, "content").groupBy(*SLICE).agg(F.sum("sign").alias("documents"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
-        if self.cube is not None:
-            change = self.cube.unionByName(change).groupBy(*SLICE).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        cube = materialize(change.where("documents <> 0"), "ledger-cube")
-        for table in (self.counts, self.seen, self.cube, wanted):
-            if table is not None:
-                discard(table)
-        self.counts, self.seen, self.cube = counts, state, cube
-        return cube
+            deltas = old.unionByName(seen).groupBy("content", *SLICE).agg(F.sum("n").alias("n")).where("n <> 0")
+        else:
+            deltas = seen
+        change = deltas.join(self.counts(), "content").groupBy(*SLICE).agg(F.sum("n").alias("documents"), F.sum(F.col("n") * F.col("tokens")).alias("tokens"))
+        if before:
+            last = self._read("cube", _CUBE, range(before, before + 1))
+            change = last.unionByName(change).groupBy(*SLICE).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+        write_table(change.where("documents <> 0"), self._path("cube", run))
+        return self.cube()
+
+
+def _token_counter(name: str, folder: str, mark: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding, last = tokenizer(name, folder), None
+        for batch in batches:
+            for part in _texts(batch):
+                found, counts = [], []
+                for content, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if content != last:  # the rows are in the order of their contents
+                        found.append(content)
+                        counts.append(len(encoding.encode_ordinary(text)))
+                    last = content
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([mark] * len(found), pa.string()), pa.array(counts, pa.int64())], names=["content", "tokenizer", "tokens"])
+
+    return run

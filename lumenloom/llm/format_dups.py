@@ -1,7 +1,7 @@
 """Problem 6: records that differ only in formatting, by dictionary-encoded columns.
 
 Every distinct value (a source, a whole plain text, the name and the value of a named field) is
-canonicalised once per task to its letters and digits in lower case and gets an integer identifier.
+canonicalised once per task (as long as the task remembers it) to its letters and digits in lower case and gets an integer identifier.
 Identifiers are hashes of the canonical value, so tasks agree on them without a shared dictionary. A
 record becomes a sorted tuple of (field, value) identifiers: plain texts have one field, texts with
 named fields one for each distinct pair of name and value. Records are grouped by the 128-bit digest
@@ -73,15 +73,30 @@ class Dictionary(dict):
         return code
 
 
-def encode(source: str, text: str, values: Dictionary) -> bytes:
-    """The digest of a record's compact tuple."""
-    fields = named_fields(text)
-    if fields is None:
-        body = b"plain" + xxhash.xxh3_128_digest(bare(text))
-    else:
+class Texts:
+    """Text -> the digest of its compact tuple, b"" for a text of too few items."""
+
+    def __init__(self, least_items: int):
+        self.least_items, self.values, self.known = least_items, Dictionary(), {}
+
+    def body(self, text: str) -> bytes:
+        mark = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+        body = self.known.get(mark)
+        if body is None:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            body = self.known[mark] = self._tuple(text) if len(set(items(text))) >= self.least_items else b""
+        return body
+
+    def _tuple(self, text: str) -> bytes:
+        fields, values = named_fields(text), self.values
+        if fields is None:
+            return b"plain" + xxhash.xxh3_128_digest(bare(text))
         pairs = sorted({(values[name], values[value]) for name, value in fields})
-        body = b"named" + b"".join(n.to_bytes(16, "little") + v.to_bytes(16, "little") for n, v in pairs)
-    return xxhash.xxh3_128_digest(values[source].to_bytes(16, "little") + body)
+        return b"named" + xxhash.xxh3_128_digest(b"".join(n.to_bytes(16, "little") + v.to_bytes(16, "little") for n, v in pairs))
+
+    def record(self, source: str, body: bytes) -> bytes:
+        return xxhash.xxh3_128_digest(self.values[source].to_bytes(16, "little") + body)
 
 
 def format_copies(records: DataFrame, id_col: str, text_col: str, source_col: str, least_items: int = 5) -> DataFrame:
@@ -96,12 +111,13 @@ def format_copies(records: DataFrame, id_col: str, text_col: str, source_col: st
     arrow = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = Dictionary()
+        texts = Texts(least_items)
         for batch in batches:
             ids, digests = [], bytearray()
             for i, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(set(items(text))) >= least_items:
-                    digests += encode(source, text, values)
+                body = texts.body(text)
+                if body:
+                    digests += texts.record(source, body)
                     ids.append(i)
             h = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64())], schema=arrow)
@@ -111,23 +127,23 @@ def format_copies(records: DataFrame, id_col: str, text_col: str, source_col: st
     return classes(coded)
 
 
-#: Rows of a class that go to one task of the last join, and the tasks a larger class is spread over.
-SALT_ROWS = 200_000
-SALTS = 64
+#: Rows of a class that may meet in one task, and the most classes that are told to every task instead.
+HOT_ROWS, HOT_CLASSES = 200_000, 100_000
 
 
 def classes(coded: DataFrame) -> DataFrame:
     """Rows (h1, h2, id) to (first_id, id, copies), for the digests that stand more than once.
 
-    The counts are combined before the shuffle. The rows of a very large class are spread by a salt, its
-    one count row is repeated; there are at most rows / SALT_ROWS such classes.
+    The counts are combined before the shuffle. The rows of a very large class are taken out before the
+    join that tells the rows their class: the large classes, at most HOT_CLASSES of them by the threshold
+    on their size, are broadcast to where the rows lie.
     """
     coded = materialize(coded.distinct(), "coded")
     sizes = materialize(coded.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "classes")
-    out = coded.join(sizes.where(F.col("copies") <= SALT_ROWS), ["h1", "h2"]).select("first_id", "id", "copies")
-    hot = sizes.where(F.col("copies") > SALT_ROWS)
-    if not hot.isEmpty():
-        salted = coded.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        many = hot.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
-        out = out.unionByName(salted.join(many, ["h1", "h2", "salt"]).select("first_id", "id", "copies"))
-    return out
+    limit = max(HOT_ROWS, -(-coded.count() // HOT_CLASSES))
+    hot = sizes.where(F.col("copies") > limit)
+    if hot.isEmpty():
+        return coded.join(sizes, ["h1", "h2"]).select("first_id", "id", "copies")
+    known = F.broadcast(hot)
+    rest = coded.join(known.select("h1", "h2"), ["h1", "h2"], "left_anti").join(sizes.where(F.col("copies") <= limit), ["h1", "h2"])
+    return rest.unionByName(coded.join(known, ["h1", "h2"])).select("first_id", "id", "copies")

@@ -10,6 +10,8 @@ Contexts reach back to the beginning of a word, so a word has one code length pe
 stands: each task computes it once per distinct word, for all languages at once, by array lookups.
 Words that every language finds improbable (names, technical terms) weigh little, quoted words nothing.
 A language belongs to a text if it is the cheapest for a sentence, or for six words in a row, by a margin.
+Stretches are the cheapest path through the words: half of the same margins is what a change of language
+costs, at the end of a sentence or inside one, so that a stretch pays the whole margin to be entered and left.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ TRAINING_ROWS = 400
 #: Bits by which a sentence, or six words in a row, must be cheaper than under the text's other languages.
 SENTENCE_MARGIN, RUN_MARGIN = 12.0, 30.0
 RUN_WORDS = 6
+#: The same for Chinese, in characters.
+HAN_RUN_WORDS = 12
 #: A word above this many bits a byte under every language counts as a name, with this weight.
 NAME_BITS, NAME_WEIGHT = 2.6, 0.1
 #: The words a sentence needs; a Chinese character counts as a word.
@@ -201,18 +205,26 @@ class Judged:
         sure = (self.margin >= SENTENCE_MARGIN) & (self.words >= needed)
         self.present = np.zeros((texts, many), bool)
         self.present[self.text[sure], self.best[sure]] = True
-        # six words in a row that are another language than their sentence's
-        if len(self.bits) >= RUN_WORDS:
-            sums = np.cumsum(np.concatenate([np.zeros((1, many)), self.bits.astype(np.float64)]), 0)
-            window = sums[RUN_WORDS:] - sums[:-RUN_WORDS]
+        self.bits_for, self.words_for = np.zeros((texts, many)), np.zeros((texts, many))
+        np.add.at(self.bits_for, (self.text, self.best), self.margin)
+        np.add.at(self.words_for, (self.text, self.best), self.words)
+        # some words in a row that are another language than their sentence's
+        sums = np.cumsum(np.concatenate([np.zeros((1, many)), self.bits.astype(np.float64)]), 0)
+        for length, which in ((RUN_WORDS, ~han), (HAN_RUN_WORDS, han)):
+            if len(self.bits) < length or not which.any():
+                continue
+            window = sums[length:] - sums[:-length]
             first = np.arange(len(window))
-            inside = self.index[first] == self.index[first + RUN_WORDS - 1]
+            inside = self.index[first] == self.index[first + length - 1]
             best = window.argmin(1)
             own = self.best[self.index[first]]
             gain = window[first, own] - window[first, best]
             second = np.partition(window, 1, 1)[:, 1] - window[first, best] if many > 1 else gain
-            other = inside & (best != own) & (gain >= RUN_MARGIN) & (second >= SENTENCE_MARGIN) & ~han[best]
-            self.present[self.text_of_word[first[other]], best[other]] = True
+            other = inside & (best != own) & (gain >= RUN_MARGIN) & (second >= SENTENCE_MARGIN) & which[best]
+            place = self.text_of_word[first[other]], best[other]
+            self.present[place] = True
+            np.maximum.at(self.bits_for, place, second[other])
+            np.maximum.at(self.words_for, place, length)
         # no sure sentence: the cheapest language of the whole text
         none = ~self.present.any(1) & (self.counted > 0)
         self.present[none, self.totals[none].argmin(1)] = True
@@ -244,35 +256,20 @@ def train(samples: DataFrame, labelled: DataFrame | None, rows_per_language: int
 def text_languages(records: DataFrame, id_col: str, text_col: str, model: Model, least_items: int = 5) -> DataFrame:
     """``(id, lang, confidence, words)``: one row per record and language of its text.
 
-    ``confidence`` is the posterior of the language over the words it is the cheapest for, against the
-    best other one. Null and blank texts, texts of fewer than ``least_items`` distinct items and texts
+    ``confidence`` is the posterior of the language over the sentences it is the cheapest for, or else over
+    its clearest run of words, against the best other one; ``words`` are those of the sentences or the run. Null and blank texts, texts of fewer than ``least_items`` distinct items and texts
     without a word give no row; repeated ids give a row each time they stand; very long texts are read
     whole; an empty table gives no rows. Other columns are not read, whatever their names.
     """
-    spark = records.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = records.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        words = Words(model)
-        names = np.array(model.languages, object)
-        for batch in batches:
-            ids, texts = [], []
-            for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(set(items(text))) >= least_items:
-                    ids.append(i)
-                    texts.append(text)
-            if not texts:
-                continue
-            judged = Judged(texts, words)
+        names = np.array(shared.value.languages, object)
+        for kept, judged in _judged(batches, shared.value, least_items):
             at, which = np.nonzero(judged.present)
-            sums = np.zeros(judged.present.shape)
-            own = np.zeros(judged.present.shape)
-            np.add.at(sums, (judged.text, judged.best), judged.margin)
-            np.add.at(own, (judged.text, judged.best), judged.words)
-            confidence = 1 / (1 + np.exp2(-np.clip(sums[at, which], 0, 60)))
+            confidence = 1 / (1 + np.exp2(-np.clip(judged.bits_for[at, which], 0, 60)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(ids, np.int64)[at]), pa.array(names[which].tolist(), pa.string()), pa.array(confidence), pa.array(own[at, which].astype(np.int64))],
+                [kept.column(0).take(pa.array(at)), pa.array(names[which].tolist(), pa.string()), pa.array(confidence), pa.array(judged.words_for[at, which].astype(np.int64))],
                 names=["id", "lang", "confidence", "words"],
             )
 
@@ -280,61 +277,152 @@ def text_languages(records: DataFrame, id_col: str, text_col: str, model: Model,
     return rows.mapInArrow(run, "id bigint, lang string, confidence double, words bigint")
 
 
+def _judged(batches: Iterator[pa.RecordBatch], model: Model, least_items: int) -> Iterator[tuple[pa.RecordBatch, Judged]]:
+    """The rows (id, text, ...) of each batch whose text has enough items, judged together."""
+    words = Words(model)
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        enough = [len(set(items(text))) >= least_items for text in texts]
+        kept = batch.filter(pa.array(enough, pa.bool_()))
+        if kept.num_rows:
+            yield kept, Judged([t for t, e in zip(texts, enough, strict=True) if e], words)
+
+
 def language_segments(records: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
     """``(id, number, start, length, lang, confidence)``: each text cut into stretches of one language.
 
-    A stretch is a run of sentences whose cheapest language is the same; sentences too short or too close
-    to tell join the stretch before. Positions count code points, from 0; the stretches of a text cover it.
+    A stretch may begin inside a sentence. Positions count code points, from 0; the stretches of a text
+    cover it; spaces and marks between two stretches belong to the first. ``confidence`` is the posterior
+    of the stretch's language against the best other one. Null ids and texts and texts without a word give no row; repeated ids
+    give their rows each time they stand; very long texts are read whole; an empty table gives no rows.
     """
     shared = records.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        words = Words(model)
+        words = Words(shared.value)
+        names = np.array(shared.value.languages, object)
         for batch in batches:
-            out = []
-            for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for number, stretch in enumerate(stretches(text, words)):
-                    out.append((i, number, *stretch))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "number", "start", "length", "lang", "confidence"])
+            for at in range(0, batch.num_rows, SEGMENT_TEXTS):
+                ids, texts = (batch.column(c).slice(at, SEGMENT_TEXTS) for c in (0, 1))
+                text, number, start, length, language, confidence = stretches(texts.to_pylist(), words)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(text)), *(pa.array(x.astype(np.int32)) for x in (number, start, length)), pa.array(names[language].tolist(), pa.string()), pa.array(confidence)],
+                    names=["id", "number", "start", "length", "lang", "confidence"],
+                )
 
     rows = records.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     return rows.mapInArrow(run, "id bigint, number int, start int, length int, lang string, confidence double")
 
 
-_SENTENCE = re.compile("[^.!?。！？…;\n()/—]*[.!?。！？…;\n()/—]*", re.S)
-
-
-def stretches(text: str, words: Words) -> list[tuple[int, int, str, float]]:
-    """(start, length, language, confidence) of one text."""
-    parts = [m for m in _SENTENCE.finditer(text) if m.end() > m.start()]
-    judged = Judged([m.group() for m in parts], words) if parts else None
-    if judged is None or not len(judged.best):
-        return []
-    names = words.model.languages
-    best, margin = judged.totals.argmin(1), np.diff(np.sort(judged.totals, 1)[:, :2], axis=1)[:, 0]
-    sure = (margin >= SENTENCE_MARGIN) & (judged.counted >= SENTENCE_WORDS)
-    whole = int(judged.totals.sum(0).argmin())
-    out: list[list] = []
-    for part, language, bits, clear in zip(parts, best.tolist(), margin.tolist(), sure.tolist(), strict=True):
-        if not clear:
-            language, bits = (out[-1][2] if out else whole), 0.0
-        if out and out[-1][2] == language:
-            out[-1][1], out[-1][3] = part.end() - out[-1][0], out[-1][3] + bits
-        else:
-            out.append([part.start(), part.end() - part.start(), language, bits])
-    return [(start, length, names[language], float(1 / (1 + 2.0 ** -min(bits, 60)))) for start, length, language, bits in out]
+#: Texts whose paths are found together.
+SEGMENT_TEXTS = 2048
+
+
+def _placed_words(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word: its text, place, row in the table, and whether a sentence break stands before it."""
+    if len(words) > REMEMBERED_WORDS:
+        words.clear()
+    rows: list[int] = []
+    starts: list[int] = []
+    counts = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        if not _QUOTES.isdisjoint(text):
+            text = _QUOTED.sub(lambda m: " " * len(m.group()), text)
+        before = len(rows)
+        for m in _TOKEN.finditer(text):
+            rows.append(words[m.group().lower()])
+            starts.append(m.start())
+        counts[i] = len(rows) - before
+    row, start, owner = np.array(rows, np.int64), np.array(starts, np.int64), np.repeat(np.arange(len(texts)), counts)
+    word = np.flatnonzero(row > 0)
+    breaks = np.cumsum(row == 0)[word]
+    return owner[word], start[word], row[word], np.append(True, breaks[1:] != breaks[:-1])[: len(word)]
+
+
+def cheapest_path(bits: np.ndarray, owner: np.ndarray, after_break: np.ndarray) -> np.ndarray:
+    """The language of each word on the cheapest path through each text's words, all texts step by step."""
+    begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.empty(0, np.int64)
+    length = np.diff(np.append(begin, len(owner)))
+    order = np.argsort(-length, kind="stable")
+    begin, length = begin[order], length[order]
+    price = np.where(after_break, SENTENCE_MARGIN / 2, RUN_MARGIN / 2)
+    came = np.empty(bits.shape, np.int8)
+    stay = np.arange(bits.shape[1], dtype=np.int8)
+    cost = np.zeros((len(begin), bits.shape[1]))
+    path = np.empty(len(owner), np.int8)
+    most = int(length[0]) if len(length) else 0
+    open_ = np.searchsorted(-length, -np.arange(most), "left")  # texts that have a word at this step
+    for step in range(most):
+        n = open_[step]
+        at = begin[:n] + step
+        if step:
+            source = cost[:n].argmin(1)
+            change = cost[np.arange(n), source] + price[at]
+            moves = change[:, None] < cost[:n]
+            came[at] = np.where(moves, source[:, None].astype(np.int8), stay)
+            cost[:n] = np.where(moves, change[:, None], cost[:n])
+        cost[:n] += bits[at]
+    now = cost.argmin(1).astype(np.int8)
+    for step in range(most - 1, -1, -1):
+        n = open_[step]
+        at = begin[:n] + step
+        path[at] = now[:n]
+        if step:
+            now[:n] = came[at, now[:n]]
+    return path
+
+
+def stretches(texts: list[str], words: Words) -> tuple[np.ndarray, ...]:
+    """(text, number, start, length, language, confidence) of the stretches of some texts, put together."""
+    owner, place, row, after_break = _placed_words(texts, words)
+    bits = words.lengths()[row]
+    path = cheapest_path(bits, owner, after_break)
+    han = np.array([language == "zh" for language in words.model.languages])
+    for _ in range(2):  # what is too short to tell joins its neighbour; twice, as that may join two more
+        new = np.append(True, (owner[1:] != owner[:-1]) | (path[1:] != path[:-1]))[: len(owner)]
+        first = np.flatnonzero(new)
+        length = np.diff(np.append(first, len(owner)))
+        short = length < np.where(han[path[first]], HAN_WORDS, SENTENCE_WORDS)
+        same_before = np.append(False, owner[first[1:]] == owner[first[:-1]])[: len(first)]
+        same_behind = np.append(same_before[1:], False)[: len(first)]
+        joined = np.where(same_before, np.roll(path[first], 1), np.roll(path[first], -1))
+        change = short & (same_before | same_behind)
+        path = np.repeat(np.where(change, joined, path[first]), length)
+    new = np.append(True, (owner[1:] != owner[:-1]) | (path[1:] != path[:-1]))[: len(owner)]
+    first = np.flatnonzero(new)
+    text, language = owner[first], path[first].astype(np.int64)
+    head = np.append(True, text[1:] != text[:-1])[: len(text)]
+    begin = np.where(head, 0, place[first])
+    sizes = np.array([len(t) for t in texts], np.int64)
+    last = np.append(head[1:], True)[: len(text)]
+    end = np.where(last, sizes[text], np.append(begin[1:], 0)[: len(text)])
+    heads = np.flatnonzero(head)
+    number = np.arange(len(text)) - np.repeat(heads, np.diff(np.append(heads, len(text))))
+    sums = np.add.reduceat(bits.astype(np.float64), first, 0) if len(first) else np.zeros((0, bits.shape[1]))
+    own = sums[np.arange(len(first)), language]
+    sums[np.arange(len(first)), language] = np.inf
+    margin = np.clip(sums.min(1) - own, 0, 60) if sums.shape[1] > 1 else np.full(len(first), 60.0)
+    return text, number, begin, end - begin, language, 1 / (1 + np.exp2(-margin))
+
+
+def label_cases(records: DataFrame, id_col: str, text_col: str, label_col: str, forms: DataFrame, model: Model, least_items: int = 5) -> DataFrame:
+    """``(id, lang)`` of the records whose label is missing, names no language or another one than the
+    text's, or whose text mixes languages: one row per language of the text.
 
+    The label travels with its text, nothing is shuffled. Repeated ids are judged each by themselves.
+    """
+    shared = records.sparkSession.sparkContext.broadcast(model)
 
-def label_cases(records: DataFrame, id_col: str, text_col: str, label_col: str, forms: DataFrame, model: Model) -> DataFrame:
-    """``(id, lang)`` of the records whose label is missing, names no language or another one than the
-    text's, or whose text mixes languages: one row per language of the text."""
-    languages = text_languages(records, id_col, text_col, model)
-    by_text = languages.groupBy("id").agg(F.sort_array(F.collect_set("lang")).alias("langs"))  # seven at most
-    labels = records.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).alias("label_form"))
-    known = F.broadcast(forms.select("label_form", F.col("lang").alias("named")).distinct())  # a fixed list of labels
-    judged = labels.join(known, "label_form", "left").join(by_text, "id")
-    case = F.col("named").isNull() | (F.size("langs") > 1) | (F.element_at("langs", 1) != F.col("named"))
-    return judged.where(case).select("id", F.explode("langs").alias("lang"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(shared.value.languages, object)
+        for kept, judged in _judged(batches, shared.value, least_items):
+            named = np.array(kept.column(2).to_pylist(), object)
+            best = names[judged.present.argmax(1)]
+            case = (judged.present.sum(1) > 1) | (judged.present.any(1) & (best != named))  # no label is another one
+            at, which = np.nonzero(judged.present & case[:, None])
+            yield pa.RecordBatch.from_arrays([kept.column(0).take(pa.array(at)), pa.array(names[which].tolist(), pa.string())], names=["id", "lang"])
+
+    known = forms.select("label_form", F.col("lang").alias("named")).where("label_form is not null").groupBy("label_form").agg(F.min("named").alias("named"))
+    rows = records.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label_form")).where("id is not null and text is not null")
+    labelled = rows.join(F.broadcast(known), "label_form", "left")  # a fixed list of labels
+    return labelled.select("id", "text", "named").mapInArrow(run, "id bigint, lang string")

@@ -2,21 +2,19 @@
 
 Every record gets a hash of its id. One pass sums characters by source and hash bucket. A budget is a
 threshold on the hash: records below it are in. The bucket that holds a source's threshold is refined
-(its records ranked by hash), all others are decided by their bucket alone, without a sort. Thresholds
+until it is small (``thresholds``) and ranked; all other records are decided by their bucket alone, without a sort. Thresholds
 nest: a larger budget keeps what a smaller one took. A source that is too small is repeated: whole
 rounds of it, at most the plan's ``max_repeats`` in all, the last round by a threshold.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions.text import bare
-
-#: Buckets of a source's histogram.
-BUCKETS = 4096
+from lumenloom.llm.thresholds import FIRST_WIDTH, bucket, end_of, narrowed, place
 
 REPORT = (
     "mix_id string, source string, target_permille int, max_repeats int, budget bigint, wanted bigint, have bigint, "
@@ -29,17 +27,17 @@ def sized(rows: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     hashed = F.xxhash64(F.lit(7), F.col(id_col).cast("bigint"))
     return rows.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), bare(F.col(source_col)).alias("name"), F.char_length(text_col).cast("bigint").alias("size"), hashed.alias("hash")
-    ).withColumn("bucket", F.pmod(F.shiftright("hash", 20), F.lit(BUCKETS)).cast("int"))
+    ).withColumn("bucket", bucket(F.col("hash")))
 
 
 def histograms(records: DataFrame, plan: DataFrame):
     """(histogram of the planned sources, total size of all sources) on the driver: at most sources * BUCKETS rows."""
     named = plan.select(bare(F.col("source")).alias("name")).where("name is not null").distinct()
-    hot = records.groupBy("name", "bucket").agg(F.sum("size").alias("size"))
+    hot = records.groupBy("name", "bucket").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     planned = F.broadcast(named.withColumn("planned", F.lit(True)))  # the plan's sources
     folded = hot.join(planned, "name", "left").groupBy(
         F.when(F.col("planned"), F.col("name")).alias("name"), F.when(F.col("planned"), F.col("bucket")).alias("bucket")
-    ).agg(F.sum("size").alias("size")).toPandas()
+    ).agg(F.sum("size").alias("size"), F.sum("n").alias("n")).toPandas()
     total = int(folded["size"].sum()) if len(folded) else 0
     return folded[folded["name"].notna()] if len(folded) else folded, total
 
@@ -57,13 +55,9 @@ def decide(plan_rows: list[dict], histogram, total: int) -> tuple[list[tuple], l
         out = have * repeats * 1000 < target * budget
         goal = min(wanted, have * repeats)
         rounds, rest = divmod(goal, have) if have else (0, 0)
-        edge, of_edge = -1, 0
-        if rest:
-            below = part["size"].cumsum().to_numpy()
-            at = int(np.searchsorted(below, rest))
-            edge, of_edge = int(part["bucket"].iloc[at]), rest - (int(below[at - 1]) if at else 0)
         if have:
-            thresholds.append((r["mix_id"], r["name"], int(rounds), edge, int(of_edge)))
+            end = end_of(part["bucket"].to_numpy(), part["size"].to_numpy(), part["n"].to_numpy(), rest, FIRST_WIDTH) if rest else (0, 0, 0, 0)
+            thresholds.append((r["mix_id"], r["name"], int(rounds), *end))
         report.append((r["mix_id"], r["source"], target, repeats, budget, wanted, have, goal, 1000.0 * goal / budget if budget else 0.0, out))
     return thresholds, report
 
@@ -87,17 +81,21 @@ def mix_report(rows: DataFrame, id_col: str, text_col: str, source_col: str, pla
 def mix_sample(rows: DataFrame, id_col: str, text_col: str, source_col: str, plan: DataFrame) -> DataFrame:
     """``(mix_id, id, copies)``: the records of each mix and how often each is repeated (1 to max_repeats).
 
-    In the boundary bucket records are taken in the order of hash, id and size while they fit into the budget's rest.
+    At the end of a budget records are taken in the order of hash, id and size while they fit into its rest.
     """
     records = sized(rows, id_col, text_col, source_col)
     histogram, total = histograms(records, plan)
     thresholds, _ = decide(_plan_rows(plan), histogram, total)
-    limits = rows.sparkSession.createDataFrame(thresholds, "mix_id string, name string, rounds int, edge int, of_edge bigint")
-    joined = records.join(F.broadcast(limits), "name")  # a row per plan row
-    whole = joined.where("bucket <> edge").select("mix_id", "id", (F.col("rounds") + F.when(F.col("bucket") < F.col("edge"), 1).otherwise(0)).alias("copies"))
+    records = records.withColumn("place", place(F.col("hash")))
+    if not thresholds:
+        return records.select(F.lit("").alias("mix_id"), "id", F.lit(0).cast("bigint").alias("copies")).where("false")
+    edges = narrowed(records.withColumn("amount", F.col("size")), ["name"], pd.DataFrame(thresholds, columns=["mix_id", "name", "rounds", "low", "width", "rest", "n"]))
+    joined = records.join(F.broadcast(rows.sparkSession.createDataFrame(edges.drop(columns="n"))), "name")  # a row per plan row
+    at_edge = (F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + F.col("width"))
+    whole = joined.where(~at_edge).select("mix_id", "id", (F.col("rounds") + F.when(F.col("place") < F.col("low"), 1).otherwise(0)).alias("copies"))
     window = Window.partitionBy("mix_id", "name").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = joined.where("bucket = edge").withColumn("_run", F.sum("size").over(window))
-    edge = edge.select("mix_id", "id", (F.col("rounds") + F.when(F.col("_run") <= F.col("of_edge"), 1).otherwise(0)).alias("copies"))
+    edge = joined.where(at_edge).withColumn("_run", F.sum("size").over(window))
+    edge = edge.select("mix_id", "id", (F.col("rounds") + F.when(F.col("_run") <= F.col("rest"), 1).otherwise(0)).alias("copies"))
     return whole.unionByName(edge).where("copies > 0")
 
 

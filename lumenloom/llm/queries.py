@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenloom.functions.text import bare
@@ -41,6 +41,14 @@ def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
     return quota_sample.quota_sample(_train(spark, folder), "row_id", read_table(spark, folder, "sample_plan")).withColumnRenamed("id", "row_id")
 
 
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    """What each target asks for, what is there and what the sample takes; ``unmet`` where the sample falls short of
+    the target, because the code is exhausted or because the targets of other axes stand against it."""
+    report = quota_sample.quota_report(_train(spark, folder), "row_id", read_table(spark, folder, "sample_plan"))
+    wanted = F.greatest(F.expr("target_permille * sample_rows div 1000"), F.col("min_rows"))
+    return report.withColumn("unmet", F.col("rows_sampled") < wanted)
+
+
 def _language_model(spark: SparkSession, folder: str) -> language.Model:
     samples = read_table(spark, folder, "lang_samples").select("lang", F.col("sample_text").alias("text"))
     forms = read_table(spark, folder, "lang_forms").select("label_form", F.col("lang").alias("named"))
@@ -85,18 +93,42 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return copies.where("id <> first_id").select(F.col("first_id").alias("first_row_id"), F.col("id").alias("row_id"))
 
 
-def p7_cube(spark: SparkSession, folder: str) -> DataFrame:
+def _sliced(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, Column]]:
     forms = read_table(spark, folder, "lang_forms").select(F.col("label_form").alias("lang"), F.col("lang").alias("named"))
-    records = read_table(spark, folder, "metadata_10").select("row_id", "text", "source", "subject", "lang")
-    records = records.join(F.broadcast(forms), "lang", "left")  # a fixed list of labels
+    records = read_table(spark, folder, "metadata_10").select("text", "source", "subject", "lang", "split")
     slices = {"source": bare(F.col("source")), "lang": F.col("named"), "subject": quota_sample.code(F.col("subject"))}
-    return tokens.token_cube(records, "row_id", "text", slices)
+    return records.join(F.broadcast(forms), "lang", "left"), slices  # a fixed list of labels
+
+
+def p7_cube(spark: SparkSession, folder: str) -> DataFrame:
+    records, slices = _sliced(spark, folder)
+    return tokens.TokenLedger(spark).update(records, "text", slices)
+
+
+def p7_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_cube(spark, folder).select("source", "lang", "subject", "documents")
+
+
+def p7_updated(spark: SparkSession, folder: str) -> DataFrame:
+    """The cube of the whole table, then that of its train records in trimmed texts, by deltas from the first."""
+    records, slices = _sliced(spark, folder)
+    ledger = tokens.TokenLedger(spark)
+    ledger.update(records, "text", slices)
+    return tokens.TokenLedger(spark, ledger.home).update(records.where("split = 'train'").withColumn("text", F.trim("text")), "text", slices)
+
+
+def p7_updated_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_updated(spark, folder).select("source", "lang", "subject", "documents")
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(read_table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def p8_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.decode_rows(p8_ids(spark, folder), "doc_id").withColumnRenamed("id", "doc_id")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack_documents(read_table(spark, folder, "documents"), "doc_id", "text", read_table(spark, folder, "pack_specs"), only="window_4k")
     return packed.where("pieces > 1").select(F.col("id").alias("doc_id")).distinct()
@@ -124,12 +156,12 @@ def p10_repaired(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p2_found, p2_overlap_report, p3_found, p3_sample, p4_found, p4_segments, p5_found, p5_report, p5_mix, p5_shares, p6_found, p7_cube, p8_ids, p9_found, p9_fill, p10_found, p10_repaired)
+        for f in (p1_found, p2_found, p2_overlap_report, p3_found, p3_sample, p3_report, p4_found, p4_segments, p5_found, p5_report, p5_mix, p5_shares, p6_found, p7_cube, p7_documents, p7_updated, p7_updated_documents, p8_ids, p8_decoded, p9_found, p9_fill, p10_found, p10_repaired)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_report": P5_REPORT, "p6_found": P6_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_report": P5_REPORT, "p6_found": P6_FOUND, "p7_documents": P7_DOCUMENTS.format(where="TRUE"), "p7_updated_documents": P7_DOCUMENTS.format(where="split = 'train'"), "p8_decoded": P8_DECODED}
 
 
 _ITEMS = r"""
@@ -189,3 +221,7 @@ plan AS (
 """
 P5_FOUND = _MIX + "SELECT mix_id, source FROM plan WHERE have * max_repeats * 1000 < target_permille * budget"
 P5_REPORT = _MIX + "SELECT mix_id, source, budget, target_permille * budget // 1000 AS wanted, have FROM plan"
+P7_DOCUMENTS = f"""
+SELECT {_BARE.format(x='source')} AS source, f.lang AS lang, upper(trim(coalesce(subject, ''))) AS subject, count(*) AS documents
+FROM metadata_10 m LEFT JOIN lang_forms f ON m.lang = f.label_form WHERE {{where}} GROUP BY 1, 2, 3"""
+P8_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"

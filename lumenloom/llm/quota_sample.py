@@ -6,18 +6,22 @@ by adding histograms, and one pass over the rows makes all of them. Categories a
 the codes of all axes of a plan, so that one row counts for each of its codes. After the pass the final
 counts are known: quotas are fitted to the targets (iterative proportional fitting, limited by what is
 there and by the minimum of small codes), and each reservoir is trimmed uniformly to its quota by a
-priority threshold. Only the histogram bucket that holds the threshold is ranked; nothing is sorted
-or gathered by category, so a category with a third of all rows costs as much as any other.
+priority threshold. A quota may be a whole category, so no reservoir can be cut off before the counts
+are known: they are written as one table of narrow rows (id, category, priority) in the pass over the
+rows, and trimmed there. Only the end of a quota is ranked (``thresholds``); nothing is sorted or
+gathered by category, so a category with a third of all rows costs as much as any other.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of a reservoir's histogram.
-BUCKETS = 4096
+from lumenloom.llm.thresholds import FIRST_WIDTH, bucket, end_of, narrowed, place
+from lumenloom.session import materialize
+
 #: Rounds of the proportional fitting.
 ROUNDS = 200
 
@@ -46,15 +50,15 @@ class Plans:
 
 
 def reservoirs(rows: DataFrame, id_col: str, plans: Plans) -> DataFrame:
-    """The rows with their category (a code on each axis, '' for one that no plan names) and priority bucket."""
+    """The rows' ids with their category (a code on each axis, '' for one that no plan names) and priority, written once."""
     cells = [F.when(code(F.col(axis)).isin(plans.codes[axis]), code(F.col(axis))).otherwise("").alias(f"c{i}") for i, axis in enumerate(plans.axes)]
     priority = F.xxhash64(F.lit(42), F.col(id_col).cast("bigint"))
-    return rows.select(F.col(id_col).alias("id"), *cells, priority.alias("priority")).withColumn("bucket", F.pmod(F.shiftright("priority", 20), F.lit(BUCKETS)).cast("int"))
+    return materialize(rows.select(F.col(id_col).alias("id"), *cells, priority.alias("priority")), "reservoirs")
 
 
 def summary(reservoir: DataFrame, plans: Plans) -> DataFrame:
-    """One pass: rows by category and priority bucket. At most (product of the code counts) * BUCKETS rows."""
-    return reservoir.groupBy(*[f"c{i}" for i in range(len(plans.axes))], "bucket").agg(F.count(F.lit(1)).alias("n"))
+    """Rows by category and priority bucket. At most (product of the code counts) * BUCKETS rows."""
+    return reservoir.groupBy(*[f"c{i}" for i in range(len(plans.axes))], bucket(F.col("priority")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def fit(have: np.ndarray, total: int, margins: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -109,11 +113,11 @@ def quotas(counts, plans: Plans) -> tuple[list[tuple], list[tuple]]:
         for r, (mask, _, _) in zip(mine, margins, strict=True):
             there = int(have[mask].sum())
             target = int(r["target_permille"] or 0)
-            report.append((plan_id, r["axis"], r["code"], target, total, there, int(quota[mask].sum()), there * 1000 < target * total))
+            report.append((plan_id, r["axis"], r["code"], target, int(r["min_rows"] or 0), total, there, int(quota[mask].sum()), there * 1000 < target * total))
     return quota_rows, report
 
 
-REPORT = "plan_id string, axis string, code string, target_permille int, sample_rows bigint, rows_there bigint, rows_sampled bigint, exhausted boolean"
+REPORT = "plan_id string, axis string, code string, target_permille int, min_rows int, sample_rows bigint, rows_there bigint, rows_sampled bigint, exhausted boolean"
 
 
 def quota_report(rows: DataFrame, id_col: str, plan: DataFrame) -> DataFrame:
@@ -141,17 +145,18 @@ def quota_sample(rows: DataFrame, id_col: str, plan: DataFrame) -> DataFrame:
     counts = histogram.groupby(axes, as_index=False)["n"].sum() if len(histogram) else histogram[[*axes, "n"]]
     quota_rows, _ = quotas(counts, plans)
     by_cell = {key: part.sort_values("bucket") for key, part in histogram.groupby(axes)} if len(histogram) else {}
-    thresholds = []
+    ends = []
     for plan_id, *cell, quota, _ in quota_rows:
         part = by_cell[tuple(cell)]
-        below = part["n"].cumsum().to_numpy()
-        at = int(np.searchsorted(below, quota))  # first bucket that fills the quota
-        before = int(below[at - 1]) if at else 0
-        thresholds.append((plan_id, *cell, int(part["bucket"].iloc[at]), quota - before))
+        n = part["n"].to_numpy()
+        ends.append((plan_id, *cell, *end_of(part["bucket"].to_numpy(), n, n, quota, FIRST_WIDTH)))
+    if not ends:
+        return reservoir.select(F.lit("").alias("plan_id"), "id").where("false")
+    placed = reservoir.withColumn("place", place(F.col("priority")))
     # as many rows as plans * categories: bounded by the plan, not by the data
-    limits = rows.sparkSession.createDataFrame(thresholds, ", ".join(["plan_id string", *[f"{a} string" for a in axes], "edge int", "of_edge bigint"]))
-    joined = reservoir.join(F.broadcast(limits), axes).where("bucket <= edge")
-    inside = joined.where("bucket < edge").select("plan_id", "id")
+    edges = narrowed(placed.withColumn("amount", F.lit(1)), axes, pd.DataFrame(ends, columns=["plan_id", *axes, "low", "width", "rest", "n"]))
+    joined = placed.join(F.broadcast(rows.sparkSession.createDataFrame(edges.drop(columns="n"))), axes).where("place < low + width")
+    inside = joined.where("place < low").select("plan_id", "id")
     window = Window.partitionBy("plan_id", *axes).orderBy("priority", "id")
-    edge = joined.where("bucket = edge").withColumn("_rank", F.row_number().over(window)).where("_rank <= of_edge").select("plan_id", "id")
+    edge = joined.where("place >= low").withColumn("_rank", F.row_number().over(window)).where("_rank <= rest").select("plan_id", "id")
     return inside.unionByName(edge)

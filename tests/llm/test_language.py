@@ -37,9 +37,60 @@ def test_mixed_and_quoted(parts):
     judged = language.Judged([mixed, quoted, by["zh"] + by["ru"]], language.Words(model))
     names = [{model.languages[k] for k in row.nonzero()[0]} for row in judged.present]
     assert names == [{"en", "de"}, {"en"}, {"zh", "ru"}]
-    found = language.stretches(mixed, language.Words(model))
-    assert [f[2] for f in found] == ["en", "de"] and sum(f[1] for f in found) == len(mixed)
-    assert all(0.5 <= f[3] <= 1 for f in found)
+    found = cut([mixed], model)
+    assert [f[4] for f in found] == ["en", "de"] and sum(f[3] for f in found) == len(mixed)
+    assert all(0.5 <= f[5] <= 1 for f in found)
+
+
+def cut(texts, model):
+    columns = language.stretches(texts, language.Words(model))
+    return [(t, n, s, m, model.languages[k], c) for t, n, s, m, k, c in zip(*(c.tolist() for c in columns), strict=True)]
+
+
+def test_stretches_inside_a_sentence_and_together(parts):
+    model, held = parts
+    by = {}
+    for lang, text in held:
+        by.setdefault(lang, text.strip(" .!?。"))
+    inside = "The old house stands near the river, vor dem alten Haus steht eine grüne Bank und daneben ein Baum, and the boats are waiting for the morning"
+    texts = [inside, by["zh"] + ". " + by["en"], "", "123 !!", by["fr"], by["ru"] + " " + by["es"] + ". " + by["ru"]]
+    together = cut(texts, model)
+    assert [f[4] for f in together if f[0] == 0] == ["en", "de", "en"]
+    (german,) = [f for f in together if f[0] == 0 and f[4] == "de"]
+    assert "alten Haus steht eine grüne Bank" in inside[german[2] : german[2] + german[3]]
+    assert {f[0] for f in together} == {0, 1, 4, 5} and [f[4] for f in together if f[0] == 5] == ["ru", "es", "ru"]
+    for i in (0, 1, 4, 5):
+        mine = [f for f in together if f[0] == i]
+        assert mine[0][2] == 0 and sum(f[3] for f in mine) == len(texts[i]) and [f[1] for f in mine] == list(range(len(mine)))
+        assert [(*f[1:5], round(f[5], 9)) for f in mine] == [(*f[1:5], round(f[5], 9)) for f in cut([texts[i]], model)]
+
+
+def test_cheapest_path_is_the_least_of_all_paths():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    owner = np.array([0] * 6 + [1] * 3 + [2] * 5)
+    bits = rng.uniform(0, 30, (len(owner), 3))
+    after = rng.random(len(owner)) < 0.4
+    path = language.cheapest_path(bits, owner, after)
+    price = np.where(after, language.SENTENCE_MARGIN / 2, language.RUN_MARGIN / 2)
+    for text in range(3):
+        at = np.flatnonzero(owner == text)
+
+        def cost(states, at=at):
+            return sum(bits[i, s] for i, s in zip(at, states, strict=True)) + sum(price[i] for i, a, b in zip(at[1:], states, states[1:], strict=False) if a != b)
+
+        assert abs(cost(path[at].tolist()) - min(map(cost, itertools.product(range(3), repeat=len(at))))) < 1e-9
+
+
+def test_chinese_inside_a_sentence_of_another_language(parts):
+    model, _ = parts
+    text = "a small wooden house near the river 一个小女孩站在海边看着美丽的日落和远处的船 and some old boats are waiting there for the morning"
+    judged = language.Judged([text], language.Words(model))
+    assert {model.languages[k] for k in judged.present[0].nonzero()[0]} == {"en", "zh"}
+    assert (judged.words_for[0][judged.present[0]] > 0).all()
 
 
 def test_cases_and_edges(spark, parts):

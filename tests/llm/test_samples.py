@@ -1,6 +1,6 @@
 import random
 
-from lumenloom.llm import format_dups, mixing, quota_sample
+from lumenloom.llm import format_dups, mixing, quota_sample, thresholds
 
 ROWS = "row_id bigint, subject string, style string, camera string, text string, source string, bucket int, name string"
 PLAN = "plan_id string, sample_permille int, axis string, code string, target_permille int, min_rows int"
@@ -88,8 +88,46 @@ def test_format_copies(spark):
     assert format_dups.format_copies(df.limit(0), "row_id", "text", "source").count() == 0
 
 
-def test_large_class_is_salted(spark, monkeypatch):
-    monkeypatch.setattr(format_dups, "SALT_ROWS", 50)
-    df = spark.createDataFrame([(i, "A red car near a house", "one") for i in range(120)], "row_id bigint, text string, source string")
-    got = format_dups.format_copies(df, "row_id", "text", "source")
-    assert got.count() == 120 and got.where("first_id <> 0 or copies <> 120").count() == 0
+def test_large_class_stays_where_its_rows_lie(spark, monkeypatch):
+    monkeypatch.setattr(format_dups, "HOT_ROWS", 50)
+    data = [(i, "A red car near a house", "one") for i in range(120)] + [(500, "two blue boats by the lake", "one"), (501, "Two blue boats, by the lake", "one")]
+    got = format_dups.format_copies(spark.createDataFrame(data, "row_id bigint, text string, source string"), "row_id", "text", "source")
+    assert {tuple(r) for r in got.collect()} == {(0, i, 120) for i in range(120)} | {(500, 500, 2), (500, 501, 2)}
+    plan = got._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan
+
+
+def test_each_text_is_canonicalised_once_a_task(monkeypatch):
+    texts, seen = format_dups.Texts(5), []
+    monkeypatch.setattr(format_dups, "named_fields", lambda t: seen.append(t))
+    for text in ["a b c d e", "a b c d f", "a b c d e", "few", "few"]:
+        texts.body(text)
+    assert seen == ["a b c d e", "a b c d f"]
+
+
+def test_edges_are_narrowed_until_they_are_small(spark, monkeypatch):
+    data = spark.createDataFrame(rows(3000), ROWS)
+    mixes = spark.createDataFrame([("m", 500, "one", 500, 1), ("m", 500, "two", 400, 1), ("w", 1000, "two", 800, 3)], MIX)
+    results = []
+    for edge_rows in (50_000, 0):
+        monkeypatch.setattr(thresholds, "EDGE_ROWS", edge_rows)
+        sample = quota_sample.quota_sample(data, "row_id", plan(spark)).collect()
+        mix = mixing.mix_sample(data, "row_id", "text", "source", mixes).collect()
+        results.append((len(sample), sorted((r["mix_id"], r["id"], r["copies"]) for r in mix)))
+    assert results[0] == results[1]
+
+
+def test_narrowing_finds_the_place_of_any_goal(spark, monkeypatch):
+    monkeypatch.setattr(thresholds, "EDGE_ROWS", 3)
+    import pandas as pd
+
+    rng = random.Random(8)
+    hot = [("a", rng.randrange(1 << 24), rng.randrange(1, 9)) for _ in range(400)]  # one bucket of the first histogram
+    table = spark.createDataFrame(hot, "name string, place bigint, amount bigint")
+    total = sum(h[2] for h in hot)
+    for goal in (1, total // 2, total):
+        edges = pd.DataFrame([("m", "a", 0, 1 << 24, goal, len(hot))], columns=["mix_id", "name", "low", "width", "rest", "n"])
+        (found,) = thresholds.narrowed(table, ["name"], edges).to_dict("records")
+        below = sum(h[2] for h in hot if h[1] < found["low"])
+        inside = sum(h[2] for h in hot if found["low"] <= h[1] < found["low"] + found["width"])
+        assert found["n"] <= 3 and below + found["rest"] == goal and below < goal <= below + inside

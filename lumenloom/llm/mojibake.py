@@ -20,15 +20,18 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from math import log
+from unicodedata import decomposition
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Costs (nats) of entering and leaving a garbled state, and of an ASCII word in a state of another script.
-ENTER, LEAVE, FOREIGN_WORD = 5.0, 1.5, 1.5
+#: Costs (nats) of entering and leaving a garbled state, of an ASCII word in a state of another script, and of
+#: entering one behind a clean letter of the same run.
+ENTER, LEAVE, FOREIGN_WORD, ENTER_INSIDE = 5.0, 1.5, 1.5, 4.0
 TYPOGRAPHIC = "’‘“”„…–—•€«»\xa0"
 SYMBOLS = "‚·£¥¢§©®™°±×÷½¼¾µ¬№→←↑↓≥≤≈‹›¡¿ªº²³¹†‡ﬁﬂ①②③④⑤"
+MARKS = frozenset(TYPOGRAPHIC.replace("’", "") + SYMBOLS)
 HAN_MARKS = "，。、：；！？（）“”《》「」『』　"
 
 #: What the bytes 0x81, 0x8d, 0x8f, 0x90 and 0x9d, which Windows-1252 leaves out, are read as.
@@ -63,11 +66,11 @@ def _bytes_of(encoding: str) -> dict[str, int]:
 
 
 def kind(c: str) -> str:
-    """The class of a character: A ASCII letter, N other ASCII, L accented Latin, Y Russian, H Chinese,
+    """The class of a character: A ASCII letter, D digit, N other ASCII, L accented Latin, Y Russian, H Chinese,
     P typographic, S symbol, Z Chinese mark, G Greek, B box drawing, C control, O other."""
     o = ord(c)
     if o < 128:
-        return "A" if c.isalpha() else "N"
+        return "A" if c.isalpha() else "D" if c.isdigit() else "N"
     if 0x410 <= o <= 0x44F or c in "ёЁ":
         return "Y"
     if 0x4E00 <= o <= 0x9FFF:
@@ -90,6 +93,7 @@ def kind(c: str) -> str:
 #: How likely a class is after a class; what isn't named has probability RARE.
 FOLLOWS = {
     "N": {"L": 0.05, "Y": 0.1, "H": 0.1, "P": 0.05, "S": 0.03, "Z": 0.01, "G": 3e-4, "B": 3e-3, "O": 3e-3},
+    "D": {"L": 0.005, "Y": 0.01, "H": 0.1, "P": 0.05, "S": 0.03, "Z": 0.01, "G": 1e-5, "B": 1e-5, "O": 1e-4},
     "A": {"L": 0.03, "P": 0.02, "S": 0.004, "Y": 2e-4, "H": 1e-4, "Z": 1e-4, "G": 3e-6, "O": 1e-4, "B": 1e-6},
     "L": {"L": 0.03, "P": 0.05, "S": 0.005, "Y": 1e-5, "H": 1e-5, "O": 1e-4},
     "Y": {"Y": 0.85, "P": 0.05, "S": 0.005, "L": 1e-5, "O": 1e-4},
@@ -103,6 +107,9 @@ FOLLOWS = {
     "C": {"C": 0.01, "P": 0.01, "S": 0.01, "L": 0.01},
 }
 RARE = 1e-6
+#: Costs (nats) of a capital behind a small letter, of a small letter before an ASCII capital, of an accented
+#: letter standing alone that does so in no sample, and of a restored mark (but an apostrophe) inside a word.
+CAPITAL_INSIDE, CAPITAL_BEHIND, ALONE, MARK_INSIDE = 5.0, 3.0, 3.0, 5.0
 #: Probability of a character that the samples don't hold, within its class.
 UNSEEN = {"L": 1e-3, "Y": 1e-3, "H": 2e-6, "P": 1 / 30, "S": 1 / 60, "Z": 1 / 30, "G": 1 / 40, "B": 1 / 40, "C": 1 / 40, "O": 2e-5}
 
@@ -112,9 +119,10 @@ class Clean:
 
     def __init__(self, samples: list[str]):
         self.counts: dict[str, Counter] = {}
-        self.pairs, self.firsts = Counter(), Counter()
+        self.pairs, self.firsts, self.alone = Counter(), Counter(), Counter()
         for text in samples:
             before = " "
+            self.alone.update(m.group() for m in _ALONE.finditer(text))
             for c in text:
                 k = kind(c)
                 self.counts.setdefault(k, Counter())[c] += 1
@@ -130,27 +138,45 @@ class Clean:
         n = self.counts.get(k, {}).get(c, 0) if k in "LYH" else 0
         if n:
             return n / (self.totals[k] + 50)
-        if k == "L" and ord(c) > 0xFF:
+        if k == "L" and c.isupper() and (n := self.counts.get(k, {}).get(c.lower(), 0)):
+            return n / (self.totals[k] + 50) / 10
+        if k == "L" and ord(c) > 0xFF and c not in "œŒ":
             return UNSEEN["L"] / 20
         return UNSEEN.get(k, RARE)
 
     def cost(self, before: str, c: str) -> float:
         """-ln P(c | the character before it)."""
-        key = (before if kind(before) == "Y" else kind(before), c)
+        key = (before if kind(before) == "Y" else kind(before) + "a" * before.islower(), c)
         found = self.memory.get(key)
         if found is None:
             k = kind(c)
-            if k in "AN":
+            if k in "AND":
                 found = 0.0
             elif k == "Y" and kind(before) == "Y":
                 share = (self.pairs[before, c] + 40 * 0.25 * self.within(c, k)) / (self.firsts[before] + 40)
                 found = -log(FOLLOWS["Y"]["Y"] * max(share, 1e-5))
             else:
                 found = -log(FOLLOWS[kind(before)].get(k, RARE) * self.within(c, k))
+                if k == "L" and c.isupper() and before.islower():
+                    found += CAPITAL_INSIDE
             self.memory[key] = found
         return found
 
 
+    def standing(self, before: str, run: str, behind: str) -> float:
+        """What a clean run of non-ASCII characters costs more for its neighbours."""
+        last = run[-1]
+        if kind(last) != "L":
+            return 0.0
+        if last.islower() and "A" <= behind <= "Z":
+            return CAPITAL_BEHIND
+        alone = len(run) == 1 and not before.isalpha() and not behind.isalpha()
+        return ALONE if alone and not self.alone[last] and decomposition(last) else 0.0
+
+
+_ALONE = re.compile(r"(?<!\w)[À-ſ](?!\w)")
+
+
 class State:
     """A garbled state: from the characters at a place to its units (length, original)."""
 
@@ -178,6 +204,17 @@ class State:
             return re.compile("[а-яё][А-ЯЁ]|" + odd + "[А-Яа-яЁё]|[А-Яа-яЁё]" + odd).search
         wrong = "|[A-Za-z]" + _class("ÁÈËÍÌÎÏÓÔÒÚÛÙ‡†·‚„") + "[a-z]|[a-z]" + _class("ÈËÍÁ‡‚ŠŽ") + "|^[‡‚„†Šˆ‰][a-z]|^[ÈÍÎÏËÔ][a-z]"
         cyrillic = "|[a-z][А-Яа-яЁё]|[А-Яа-яЁё][a-z]" if self.read == "cp1251" else ""
+        # letters that would be marks: before a capital, alone, or where an English apostrophe stands
+        as_marks = {c for c, b in self.byte.items() if kind(c) == "L" and kind(bytes([b]).decode(self.written, "replace")) in "PS"}
+        if as_marks:
+            lonely = as_marks - set("àéóôÀÉÓÔ")  # those are words by themselves
+            wrong += f"|^{_class(as_marks)}[A-Z]" + (f"|^{_class(lonely)}$" if lonely else "")
+        apostrophes = [c for c, b in self.byte.items() if c != "’" and bytes([b]).decode(self.written, "replace") == "’"]
+        if apostrophes:
+            wrong += f"|[tyeIun]{_class(apostrophes)}[stmdlrv]$"
+        drawn = [c for c in self.byte if kind(c) in "BO"]
+        if drawn:
+            wrong += f"|^{_class(drawn)}$"
         return re.compile(odd + "[^\\W\\d_]|[^\\W\\d_]" + odd + wrong + cyrillic).search
 
     def _raw(self, piece: str) -> bytes | None:
@@ -216,7 +253,7 @@ class State:
         longest = {"utf-8": 4 if self.times == 1 else 9, "gbk": 2}.get(self.written, 1)
         if self.read == "gbk":
             longest = 3
-        for n in range(1 if longest == 1 else 2, min(longest, len(ahead)) + 1):
+        for n in range(1 if longest == 1 or self.read == "gbk" else 2, min(longest, len(ahead)) + 1):
             original = self._undo(ahead[:n])
             if original and original != ahead[:n] and len(original) < max(n, 2) and not any(c < " " or "\x7f" <= c <= "\x9f" or "\ud800" <= c <= "\uf8ff" or c == "�" for c in original):
                 out.append((n, original))
@@ -238,7 +275,12 @@ _HAN = re.compile("[一-鿿ㄅ-ㄩぁ-ヿ㈠-㈩╂-╋\ue000-\uf8ff，。]{2,}"
 
 
 def _reads_as_utf8(piece: str) -> bool:
-    """Whether a run of Chinese characters, as GBK bytes, is UTF-8 throughout, or for the greater part."""
+    """Whether a run of Chinese characters, as GBK bytes, is UTF-8 throughout, or for the greater part, or a
+    Chinese character beside an ASCII letter is an accented one."""
+    if len(piece) < 6 and (piece[0].isascii() or piece[-1].isascii()):
+        for c in piece:
+            if kind(c) == "H" and c.encode("gbk", "ignore").decode("utf-8", "ignore"):
+                return True
     for m in _HAN.finditer(piece):
         run = m.group()
         read = run.encode("gbk", "ignore").decode("utf-8", "ignore")
@@ -291,19 +333,22 @@ def label(text: str, clean: Clean, active: list[State]) -> list[tuple[int, int,
         if words:
             best = [b + (FOREIGN_WORD * min(words, 20) if k and active[k - 1].foreign else 0.0) for k, b in enumerate(best)]
         before = text[start - 1] if start else " "
+        behind = text[start + len(run) : start + len(run) + 1]
+        standing = clean.standing(before, run, behind)
         table = [best] + [[far] * size for _ in run]
         came: list[list] = [[None] * size for _ in range(len(run) + 1)]
         for i in range(len(run)):
             row = table[i]
             # switch first: to clean from any state, to any state from clean
             low = min(range(size), key=row.__getitem__)
+            entry = ENTER + (ENTER_INSIDE if i and not low and run[i - 1].isalpha() else 0.0)
             settled = []
             for k in range(size):
                 direct = row[k]
-                change = row[low] + (LEAVE if low else 0.0) + (ENTER if k else 0.0) if low != k else far
+                change = row[low] + (LEAVE if low else 0.0) + (entry if k else 0.0) if low != k else far
                 settled.append((direct, k) if direct <= change else (change, low))
             previous = run[i - 1] if i else before
-            step = settled[0][0] + clean.cost(previous, run[i])
+            step = settled[0][0] + clean.cost(previous, run[i]) + (standing if i == len(run) - 1 else 0.0)
             if step < table[i + 1][0]:
                 table[i + 1][0], came[i + 1][0] = step, (i, settled[0][1], None)
             for k, state in enumerate(active, 1):
@@ -313,6 +358,8 @@ def label(text: str, clean: Clean, active: list[State]) -> list[tuple[int, int,
                     step = cost + clean.cost(neighbour if not (i and kind(original[0]) == "L") else "é", original[0]) + sum(clean.cost(a, b) for a, b in zip(original, original[1:], strict=False))
                     if i and kind(original[0]) == "Y" and came[i][k] and came[i][k][2]:
                         step = cost + clean.cost(came[i][k][2][-1], original[0])
+                    if original in MARKS and (i or before.isalpha()) and (i + n < len(run) or behind.isalpha()):
+                        step += MARK_INSIDE
                     if step < table[i + n][k]:
                         table[i + n][k], came[i + n][k] = step, (i, origin, original)
         back.append((start, run, came))

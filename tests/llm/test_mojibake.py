@@ -41,6 +41,45 @@ def test_leaves_correct_unicode(samples, text):
     assert mojibake.label(text, mojibake.Clean(samples), suspects.active(text)) == []
 
 
+@pytest.mark.parametrize(
+    ("text", "restored"),
+    [
+        ("Angle 430░, error ▒64, scale ╫881.", "Angle 430°, error ±64, scale ×881."), ("A 675 ╡m grain at 579╝ stops.", "A 675 µm grain at 579¼ stops."),
+        ("ItÆs the lilac one that weÆll fix; theyÆre upscaled.", "It’s the lilac one that we’ll fix; they’re upscaled."), ("⌐ 234 nobody", "© 234 nobody"),
+        ("4k ìKeep the greenhouse,î the note says.", "4k “Keep the greenhouse,” the note says."), ("Un petit 茅l猫ve et l'茅cole", "Un petit élève et l'école"),
+    ],
+)
+def test_restores_marks_that_became_letters_or_boxes(samples, text, restored):
+    suspects = mojibake.Suspects(mojibake.states())
+    assert mojibake.restore(text, mojibake.label(text, mojibake.Clean(samples), suspects.active(text))) == restored
+
+
+def garble(text, state):
+    for _ in range(state.times):
+        raw = text.encode(state.written)
+        lenient = mojibake._LENIENT.get(state.read)
+        text = "".join(bytes([b]).decode(state.read, "ignore") or lenient[b] for b in raw) if lenient else raw.decode(state.read)
+    return text
+
+
+def test_held_out_texts_of_every_pair_are_restored(spark):
+    rows = read_table(spark, TINY, "lang_samples").select("sample_id", "sample_text").orderBy("sample_id").collect()
+    clean, suspects = mojibake.Clean([t for i, t in rows if i % 4]), mojibake.Suspects(mojibake.states())
+    held = [t for i, t in rows if i % 4 == 0]
+    assert not any(mojibake.label(t, clean, suspects.active(t)) for t in held)
+    tried = found = restored = 0
+    for state in mojibake.states():
+        for text in held:
+            try:
+                wrong = garble(text, state)
+            except UnicodeError:
+                continue
+            if wrong != text:
+                spans = mojibake.label(wrong, clean, suspects.active(wrong))
+                tried, found, restored = tried + 1, found + bool(spans), restored + (mojibake.restore(wrong, spans) == text)
+    assert tried > 900 and found >= 0.94 * tried and restored >= 0.9 * tried
+
+
 def test_only_the_span_is_changed(samples):
     text = "The café is fine. Un Ã©lÃ¨ve Ã©tudie. " + RUSSIAN
     suspects = mojibake.Suspects(mojibake.states())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumenloom.functions import text as T
 from lumenloom.functions.itemsets import ItemSets, scramble
 from lumenloom.operators.components import connected_components
-from lumenloom.operators.simjoin import COPY, SET, Emitter, Entries, PrefixLists, digest, frequent_items, meet, verify
+from lumenloom.operators.simjoin import COPY, SET, Emitter, Entries, PrefixLists, digest, frequent_items, linked
 from lumenloom.session import materialize
 
 
@@ -92,7 +92,7 @@ def alike_groups(df: DataFrame, id_col: str, text_col: str, permille: int = 700)
 
 
 def _grouped(digested: DataFrame, emit: Emitter, permille: int) -> DataFrame:
-    links = materialize(verify(digested, meet(digested, emit, permille), permille), "links")
+    links = linked(digested, emit, permille)
     found = connected_components(links, "a", "b")
     members = digested.where(F.col("kind").isin(SET, COPY)).select(F.col("key").alias("vertex"), "id").distinct()
     return members.join(found, "vertex", "left").select(F.coalesce("component", "vertex").alias("component"), "id")

@@ -250,8 +250,17 @@ class PrefixLists:
         return Entries.together(parts)
 
 
-def meet(digested: DataFrame, emit: Emitter, permille: int) -> DataFrame:
-    """(a, b): distinct pairs of set hashes (a < b) that some list brings together and the sketches let pass;
+def linked(digested: DataFrame, emit: Emitter, permille: int) -> DataFrame:
+    """(a, b, shared, size_a, size_b): the distinct sets that are alike, as hashes, written once."""
+    pairs, tables = meet(digested, emit, permille)
+    links = materialize(verify(digested, pairs, permille), "links")
+    for table in tables:
+        discard(table)
+    return links
+
+
+def meet(digested: DataFrame, emit: Emitter, permille: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b), and the tables it is read from: distinct pairs of set hashes (a < b) that some list brings together and the sketches let pass;
     they still need ``verify``.
 
     A wave's lists travel in buckets, each a bounded number of members; what a wave finds is written and
@@ -260,10 +269,11 @@ def meet(digested: DataFrame, emit: Emitter, permille: int) -> DataFrame:
     sets = digested.where(F.col("kind") == SET).select("key", "blob")
     total = sets.count()
     waves, buckets = _layout(sets, total, emit)
-    found, long = [], []
+    found, long, tables = [], [], []
     for wave in range(waves):
         lists = sets.mapInArrow(_keyed(emit, wave, waves, buckets), _LIST)
         met = materialize(_gathered(lists, buckets).mapInArrow(_comparer(permille, LIST_LIMIT), _MET), "met")
+        tables.append(met)
         found.append(met.where("key is null").select("a", "b"))
         long.append(met.where("key is not null").select("key", "blob"))
     pairs, over = _union(found), _union(long)
@@ -271,8 +281,9 @@ def meet(digested: DataFrame, emit: Emitter, permille: int) -> DataFrame:
     if not over.isEmpty():
         cells = over.join(blocks, "key").mapInArrow(_grid, _LIST)
         rest = materialize(cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_comparer(permille, None), _MET), "grid")
+        tables.append(rest)
         pairs = pairs.unionByName(rest.select("a", "b"))
-    return pairs.distinct()
+    return pairs.distinct(), tables
 
 
 _LIST, _MET = "bucket bigint, blob binary", "a bigint, b bigint, key bigint, blob binary"

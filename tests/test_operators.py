@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenloom.operators import dedup, runlog, sampling, vectors
+from lumenloom.operators import dedup, runlog, sampling, skew, vectors
 from lumenloom.operators.components import connected_components
 from lumenloom.session import working_dir
 
@@ -201,3 +201,14 @@ def test_the_full_outer_join_keeps_every_order(spark):
     got = registry.queries()["star_full_outer_whole"](spark, folder)
     orders = spark.read.parquet(f"{folder}/orders.parquet")
     assert got.where("o_orderkey is not null").count() == orders.count()
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("hot_rows", [10, 1000])
+def test_skewed_join(spark, monkeypatch, how, hot_rows):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
+    rows = spark.createDataFrame([(1 if i < 50 else None if i < 60 else i, i) for i in range(100)], "k int, v int")
+    table = spark.createDataFrame([(1, "hot"), (70, "cold"), (None, "null")], "k int, name string")
+    found = skew.join_skewed(rows, table, ["k"], how)
+    assert sorted(map(str, found.collect())) == sorted(map(str, rows.join(table, "k", how).select(found.columns).collect()))
+    assert skew.join_skewed(rows.limit(0), table, ["k"], how).count() == 0

@@ -11,12 +11,15 @@ items is cut into k + 1 contiguous segments, k = a - c(a, b) being the most of i
 training record of b items may lack (once per class of sizes b): one segment stays whole. It is matched as a subsequence of the
 training record, so items inserted there don't break it. Infrequent items are segments of their own;
 of the others every segment has two items or more and is looked up by its first two, the last one
-takes the rest. Matches count at allowed positions only (displaced by no more than the deletions and
+takes the rest. At low thresholds, where that needs more items than there are, as many further items
+from the beginning are segments of their own as it takes. Matches count at allowed positions only (displaced by no more than the deletions and
 insertions left), pass a parity sketch, and are verified by dynamic programming in a band.
 
-The evaluation records are the query set: they are taken in blocks of bounded size, each block's
-segment index is broadcast, and the training records stream past it where they lie; no training
-record is shuffled, whatever the skew of items or copies.
+The evaluation records are the query set: they are taken in blocks of bounded size, the segment indexes
+of a few blocks are broadcast at a time, and the training records stream past them where they lie; no
+training record is shuffled, whatever the skew of items or copies. A wave's findings are written and its
+broadcast is destroyed before the next begins, so neither the plan nor the memory grows with the
+evaluation splits; the number of scans does.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ from lumenloom.session import materialize
 EVAL, TRAIN = 1, 2
 #: Evaluation records of a block: bounds the broadcast index (about 1 KB a record) whatever the table.
 BLOCK_RECORDS = 32_768
+#: Blocks whose indexes are broadcast together.
+WAVE_BLOCKS = 4
 #: Slots of a block's index, and bits of the bitmap before it, as powers of two.
 SLOT_BITS = 21
 BITMAP_BITS = 25
@@ -103,16 +109,19 @@ class Block:
         alone = np.bincount(sets.owner, rare, len(sizes)).astype(np.int64)
         least, most = -(-sizes * permille // 1000), sizes * 1000 // permille
         keys, owners, places = [], [], []
+        self.any_alone = False
         for partner in range(int(size_class(least).min()), int(size_class(most).max()) + 1):
             low = np.maximum(least, _CLASS_STARTS[partner])
             who = np.flatnonzero((low <= most) & (low < _CLASS_STARTS[partner + 1]))
             # the smallest partner of the class may lack the most
             parts = sizes[who] - required_overlap(sizes[who], low[who], permille) + 1
-            singles = np.minimum(alone[who], parts)
+            # where so many may be lacking that two items a segment don't fit, the first ones have one each
+            singles = np.maximum(np.minimum(alone[who], parts), 2 * parts - sizes[who])
             pairs = parts - singles
+            self.any_alone |= bool((singles > alone[who]).any())
             for n, begin, key in ((singles, 0, single_key), (pairs, 1, pair_key)):
                 owner = np.repeat(who, n)
-                place = alone[owner] + 2 * ramp(n) if begin else ramp(n)
+                place = np.repeat(singles, n) + 2 * ramp(n) if begin else ramp(n)
                 at = sequences.starts[owner] + place
                 same = np.full(len(at), partner)
                 keys.append(key(sequences.flat[at], sequences.flat[at + 1], same) if begin else key(sequences.flat[at], same))
@@ -160,7 +169,7 @@ def match(block: Block, hashes: np.ndarray, sets: ItemSets, order: Order, permil
     seen: list[np.ndarray] = []
     for gap in range(-1, longest - 1):
         if gap < 0:
-            at = np.flatnonzero(rare & (place <= spare))
+            at = np.flatnonzero((rare | block.any_alone) & (place <= spare))
             key = single_key(sequences.flat[at], class_of[at])
         else:
             at = np.flatnonzero(open_ & (gap <= spare) & (place + gap + 1 < size_of))
@@ -273,31 +282,38 @@ def alike_across(digested: DataFrame, permille: int) -> DataFrame:
     evaluation = sets.where(F.col("tag") == EVAL).select("key", "blob").dropDuplicates(["key"])
     training = sets.where(F.col("tag") == TRAIN).select("key", "blob")
     blocks = -(-evaluation.count() // BLOCK_RECORDS)
+    number = F.pmod(F.xxhash64("key"), F.lit(blocks))
     shape = "a bigint, b bigint, likeness double"
     found = spark.createDataFrame([], shape)
-    for number in range(blocks):
-        mine = evaluation.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == number).toArrow()
-        if not mine.num_rows:
-            continue
-        index = spark.sparkContext.broadcast((Block(mine.column(0).to_numpy(), ItemSets.of_blobs(mine.column(1)), order, permille), order))
-        found = found.unionByName(training.mapInArrow(_against(index, permille), shape))
-    return materialize(found, "across").distinct()
-
-
-def _against(index, permille: int):
+    for wave in range(0, blocks, WAVE_BLOCKS):
+        indexes = []
+        for block in range(wave, min(wave + WAVE_BLOCKS, blocks)):
+            mine = evaluation.where(number == block).toArrow()
+            if mine.num_rows:
+                indexes.append(Block(mine.column(0).to_numpy(), ItemSets.of_blobs(mine.column(1)), order, permille))
+        if indexes:
+            shared = spark.sparkContext.broadcast((indexes, order))
+            found = found.unionByName(materialize(training.mapInArrow(_against(shared, permille), shape), "across"))
+            shared.destroy()
+    return found.distinct()
+
+
+def _against(shared: Broadcast, permille: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, order = index.value
+        indexes, order = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, TRAIN_STEP):
                 part = batch.slice(at, TRAIN_STEP)
-                hashes = part.column(0).to_numpy(zero_copy_only=False)
-                for e, t, sequences in match(block, hashes, ItemSets.of_blobs(part.column(1)), order, permille):
-                    x, y = block.sequences.pick(e), sequences.pick(t)
-                    distance = banded_distance(x, y, most_differences(x.sizes, y.sizes, permille))
-                    keep = distance <= most_differences(x.sizes, y.sizes, permille)
-                    shared = (x.sizes + y.sizes - distance) / 2
-                    likeness = shared / (x.sizes + y.sizes - shared)
-                    yield pa.RecordBatch.from_arrays([pa.array(block.hashes[e][keep]), pa.array(hashes[t][keep]), pa.array(likeness[keep])], names=["a", "b", "likeness"])
+                hashes, sets = part.column(0).to_numpy(zero_copy_only=False), ItemSets.of_blobs(part.column(1))
+                for block in indexes:
+                    for e, t, sequences in match(block, hashes, sets, order, permille):
+                        x, y = block.sequences.pick(e), sequences.pick(t)
+                        bound = most_differences(x.sizes, y.sizes, permille)
+                        distance = banded_distance(x, y, bound)
+                        keep = distance <= bound
+                        common = (x.sizes + y.sizes - distance) / 2
+                        likeness = common / (x.sizes + y.sizes - common)
+                        yield pa.RecordBatch.from_arrays([pa.array(block.hashes[e][keep]), pa.array(hashes[t][keep]), pa.array(likeness[keep])], names=["a", "b", "likeness"])
 
     return run
 

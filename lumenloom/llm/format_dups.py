@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.functions.itemsets import items
+from lumenloom.operators.skew import join_skewed
 from lumenloom.session import materialize
 
 _DROPPED = re.compile(r"[\W_]+")
@@ -127,23 +128,11 @@ def format_copies(records: DataFrame, id_col: str, text_col: str, source_col: st
     return classes(coded)
 
 
-#: Rows of a class that may meet in one task, and the most classes that are told to every task instead.
-HOT_ROWS, HOT_CLASSES = 200_000, 100_000
-
-
 def classes(coded: DataFrame) -> DataFrame:
     """Rows (h1, h2, id) to (first_id, id, copies), for the digests that stand more than once.
 
-    The counts are combined before the shuffle. The rows of a very large class are taken out before the
-    join that tells the rows their class: the large classes, at most HOT_CLASSES of them by the threshold
-    on their size, are broadcast to where the rows lie.
+    The counts are combined before the shuffle; the rows of a very large class learn it where they lie.
     """
     coded = materialize(coded.distinct(), "coded")
-    sizes = materialize(coded.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "classes")
-    limit = max(HOT_ROWS, -(-coded.count() // HOT_CLASSES))
-    hot = sizes.where(F.col("copies") > limit)
-    if hot.isEmpty():
-        return coded.join(sizes, ["h1", "h2"]).select("first_id", "id", "copies")
-    known = F.broadcast(hot)
-    rest = coded.join(known.select("h1", "h2"), ["h1", "h2"], "left_anti").join(sizes.where(F.col("copies") <= limit), ["h1", "h2"])
-    return rest.unionByName(coded.join(known, ["h1", "h2"])).select("first_id", "id", "copies")
+    sizes = coded.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return join_skewed(coded, materialize(sizes, "classes"), ["h1", "h2"]).select("first_id", "id", "copies")

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions.itemsets import ItemSets, required_overlap, scramble
 from lumenloom.operators.components import connected_components
-from lumenloom.operators.simjoin import COPY, SET, Entries, PrefixLists, digest, frequent_items, meet, verify
+from lumenloom.operators.simjoin import COPY, SET, Entries, PrefixLists, digest, frequent_items, linked
+from lumenloom.operators.skew import join_skewed
 from lumenloom.session import materialize
 
 #: Lists of a small heavy set and their members, as the boundary reckons them.
@@ -90,15 +91,16 @@ def near_duplicate_groups(records: DataFrame, id_col: str, text_col: str, permil
     found = connected_components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("vertex")).groupBy("vertex").agg(F.count(F.lit(1)).alias("links"))
     members = digested.where(F.col("kind").isin(SET, COPY)).select(F.col("key").alias("vertex"), "id").distinct()
-    placed = members.join(found.join(degree, "vertex"), "vertex", "left").select(
+    known = materialize(found.join(degree, "vertex"), "components")
+    placed = join_skewed(members, known, ["vertex"], "left").select(
         F.coalesce("component", "vertex").alias("component"), "id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links")
     )
-    groups = placed.groupBy("component").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return placed.join(groups, "component").select("group_id", F.col("id").alias("member_id"), "links")
+    placed = materialize(placed, "placed")
+    groups = materialize(placed.groupBy("component").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "groups")
+    return join_skewed(placed, groups, ["component"]).select("group_id", F.col("id").alias("member_id"), "links")
 
 
 def alike_sets(digested: DataFrame, permille: int) -> DataFrame:
     """(a, b, shared, size_a, size_b): the distinct item sets that are alike, as hashes, written once."""
     frequent, counts, rows = frequent_items(digested)
-    pairs = meet(digested, HeavyLight(frequent, counts, rows, permille), permille)
-    return materialize(verify(digested, pairs, permille), "links")
+    return linked(digested, HeavyLight(frequent, counts, rows, permille), permille)

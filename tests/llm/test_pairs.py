@@ -84,7 +84,10 @@ def test_waves_and_hot_buckets(spark, prompts, monkeypatch, held):
     assert {frozenset(g) for g in out.values()} == groups_of(prompts)
 
 
-def test_one_copy_holds_a_third_of_all_rows(spark, prompts):
+def test_one_copy_holds_a_third_of_all_rows(spark, prompts, monkeypatch):
+    from lumenloom.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 100)
     hot = [(10_000 + i, prompts[0][1], "train") for i in range(len(prompts) // 2)]
     found = {i: g for g, i, _ in near_duplicate_groups(frame(spark, prompts + hot).repartition(6), "row_id", "text").collect()}
     assert len({found[i] for i, _, _ in hot}) == 1 and found[hot[0][0]] == found[prompts[0][0]]
@@ -94,6 +97,7 @@ def test_several_blocks_of_evaluation_records(spark, prompts, monkeypatch):
     from lumenloom.llm import cross_split
 
     monkeypatch.setattr(cross_split, "BLOCK_RECORDS", 30)
+    monkeypatch.setattr(cross_split, "WAVE_BLOCKS", 2)
     found = {(a, b) for a, b, _ in cross_split_pairs(frame(spark, prompts), "row_id", "text", "split").collect()}
     evals, trains = [r for r in prompts if r[2] in ("val", "test")], [r for r in prompts if r[2] == "train"]
     assert found == {(e[0], t[0]) for e in evals for t in trains if alike(e[1], t[1])}
@@ -121,6 +125,14 @@ def test_cross_split_matches_brute_force(spark, prompts):
     assert found == {(e[0], t[0]) for e in evals for t in trains if alike(e[1], t[1])}
 
 
+@pytest.mark.parametrize("permille", [300, 500, 900])
+def test_cross_split_at_other_thresholds(spark, prompts, permille):
+    some = prompts[:220]
+    found = {(a, b) for a, b, _ in cross_split_pairs(frame(spark, some), "row_id", "text", "split", permille).collect()}
+    evals, trains = [r for r in some if r[2] in ("val", "test")], [r for r in some if r[2] == "train"]
+    assert found == {(e[0], t[0]) for e in evals for t in trains if alike(e[1], t[1], permille)}
+
+
 def test_cross_split_likeness_and_edges(spark):
     a = "amber anvil barn basalt beacon brass canyon cedar chalk cliff"
     rows = [(1, a, "val"), (2, a, "train"), (3, a + " cobalt", "train"), (4, None, "val"), (5, "", "train"), (6, a, None), (None, a, "train")]

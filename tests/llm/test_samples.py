@@ -1,6 +1,7 @@
 import random
 
 from lumenloom.llm import format_dups, mixing, quota_sample, thresholds
+from lumenloom.operators import skew
 
 ROWS = "row_id bigint, subject string, style string, camera string, text string, source string, bucket int, name string"
 PLAN = "plan_id string, sample_permille int, axis string, code string, target_permille int, min_rows int"
@@ -89,7 +90,7 @@ def test_format_copies(spark):
 
 
 def test_large_class_stays_where_its_rows_lie(spark, monkeypatch):
-    monkeypatch.setattr(format_dups, "HOT_ROWS", 50)
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
     data = [(i, "A red car near a house", "one") for i in range(120)] + [(500, "two blue boats by the lake", "one"), (501, "Two blue boats, by the lake", "one")]
     got = format_dups.format_copies(spark.createDataFrame(data, "row_id bigint, text string, source string"), "row_id", "text", "source")
     assert {tuple(r) for r in got.collect()} == {(0, i, 120) for i in range(120)} | {(500, 500, 2), (500, 501, 2)}

@@ -98,6 +98,17 @@ def nearest_row(left: DataFrame, right: DataFrame, key: str, other: str, order:
     return left.crossJoin(F.broadcast(table)).withColumn("_best", F.array_min(apart)["r"]).select(*left.columns, "_best.*")
 
 
+def exact_row(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
+    """``left`` joined with the one row of ``right`` (a schedule, some tens of rows) whose ``other`` equals
+    ``key``. A key without such a row, a null one included, or with several is an error, raised when the row is read."""
+    table = right.groupBy(F.col(other).alias("_at")).agg(F.count(F.lit(1)).alias("_times"), F.first(F.struct(*[F.col(c) for c in right.columns])).alias("_row"))
+    joined = left.join(F.broadcast(table), F.col(key) == F.col("_at"), "left")
+    wrong = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    times = F.coalesce(F.col("_times"), F.lit(0))
+    guard = F.when(times == 1, F.col("_row")).otherwise(F.raise_error(F.concat(F.lit("schedule rows for "), wrong, F.lit(": "), times.cast("string"))).cast(table.schema["_row"].dataType))
+    return joined.withColumn("_row", guard).select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in right.columns if c not in left.columns])
+
+
 def fold_threshold(values: Column, threshold: float) -> Column:
     """For each value of an ordered array whether it is skipped: distances add up until they reach the
     threshold, then the step is computed and the sum starts again. The first is always computed."""

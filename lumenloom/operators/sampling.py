@@ -125,6 +125,16 @@ def batches(df: DataFrame, order: list[Column], size: int, drop_last: bool = Fal
     return out
 
 
+def aligned(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
+    """The rows of two tables side by side by their places in their orders; tables of different numbers of
+    rows are an error, as then no row's partner can be told."""
+    n, m = left.count(), right.count()
+    if n != m:
+        raise ValueError(f"{n} rows can't be aligned with {m}")
+    a, b = positions(left, [F.col(c) for c in left_order]), positions(right, [F.col(c) for c in right_order])
+    return a.join(b, "_pos").drop("_pos")
+
+
 def positions(df: DataFrame, order: list[Column]) -> DataFrame:
     """``df`` with ``_pos`` (0..) in a total order, from per-partition counts of a range partitioning."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import text as T
+from lumenloom.session import discard, materialize
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -84,18 +86,95 @@ def covariance(df: DataFrame, vector: str, width: int) -> DataFrame:
 
 def poly_mmd(df: DataFrame, vector: str, side: Column, subset: Column, width: int, degree: int = 3) -> DataFrame:
     """``(subset, mmd)``: unbiased polynomial-kernel discrepancy of the two sides of each subset of rows.
-    A subset is bounded by its definition (about a hundred rows a side)."""
+
+    (x.y / width + 1)^degree summed over all pairs is a weighted sum of the inner products of both sides'
+    moments up to the degree, so each task adds up moments (width^degree numbers at most for each subset
+    and side) and no pair of rows ever meets: the work grows with the rows, whatever a subset holds. Null
+    vectors are left out; a side of fewer than two rows gives a null.
+    """
+    sizes = [width**j for j in range(degree + 1)]
+    starts = np.cumsum([0, *sizes])
+    cells = int(starts[-1]) + 1  # the last one: the pairs of a row with itself
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack(batch.column(0).to_pylist()).astype(float)
+            sides, subsets = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
+            keys = list(zip(subsets, sides.tolist(), strict=True))
+            for key in set(keys):
+                mine = x[[k == key for k in keys]]
+                total = sums.setdefault(key, np.zeros(cells))
+                for at in range(0, len(mine), 512):
+                    power = part = mine[at : at + 512]
+                    total[0] += len(part)
+                    for j in range(1, degree + 1):
+                        if j == degree > 1:  # the highest moment as one product of matrices
+                            total[starts[j] : starts[j + 1]] += (power.T @ part).ravel()
+                        else:
+                            total[starts[j] : starts[j + 1]] += power.sum(0)
+                            power = (power[:, :, None] * part[:, None, :]).reshape(len(part), -1) if j + 1 < degree else power
+                    total[-1] += (((part**2).sum(1) / width + 1) ** degree).sum()
+        for (subset, first), total in sums.items():
+            for chunk in range(0, cells, MOMENT_CHUNK):
+                values = total[chunk : chunk + MOMENT_CHUNK]
+                yield pa.RecordBatch.from_arrays([pa.array([subset], pa.int32()), pa.array([first]), pa.array([chunk]), pa.array([values.tobytes()], pa.binary())], names=["subset", "side", "chunk", "sums"])
+
+    def merged(part: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b) for b in part.column("sums").to_pylist())
+        return pa.table({"subset": part.column("subset")[:1], "side": part.column("side")[:1], "chunk": part.column("chunk")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    def distance(part: pd.DataFrame) -> pd.DataFrame:
+        sums = {}
+        for first, mine in part.sort_values("chunk").groupby("side"):
+            sums[bool(first)] = np.concatenate([np.frombuffer(b) for b in mine["sums"]])
+        subset = part["subset"].iloc[:1]
+        if len(sums) < 2 or min(s[0] for s in sums.values()) < 2:
+            return pd.DataFrame({"subset": subset, "mmd": [None]})
+
+        def all_pairs(a: np.ndarray, b: np.ndarray) -> float:
+            return sum(comb(degree, j) / width**j * float(a[starts[j] : starts[j + 1]] @ b[starts[j] : starts[j + 1]]) for j in range(degree + 1))
+
+        own = lambda a: (all_pairs(a, a) - a[-1]) / (a[0] * (a[0] - 1))
+        a, b = sums[True], sums[False]
+        return pd.DataFrame({"subset": subset, "mmd": [own(a) + own(b) - 2 * all_pairs(a, b) / (a[0] * b[0])]})
+
+    shape = "subset int, side boolean, chunk bigint, sums binary"
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v"), F.coalesce(side, F.lit(False)).alias("side"), subset.cast("int").alias("subset"))
+    together = rows.mapInArrow(moments, shape).groupBy("subset", "side", "chunk").applyInArrow(merged, shape)
+    return together.groupBy("subset").applyInPandas(distance, "subset int, mmd double")
+
+
+#: Numbers of a moment that travel together.
+MOMENT_CHUNK = 1 << 14
+
+
+def subset_mmd(df: DataFrame, id_col: str, vector: str, side: Column, width: int, subsets: int = 100, size: int = 100, degree: int = 3) -> DataFrame:
+    """``(subset, mmd)`` of ``subsets`` drawn subsets, each of min(size, rows) rows a side in a hash order of
+    its own. Rows are sieved by their hash where they lie (four times as many as needed pass); what meets
+    in a task is a subset, 2 * size rows at most."""
+    sided = df.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.coalesce(side, F.lit(False)).alias("side"))
+    counts = {r["side"]: r["n"] for r in sided.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.when(F.col("side"), min(1.0, 4 * size / max(counts.get(True, 0), 1))).otherwise(min(1.0, 4 * size / max(counts.get(False, 0), 1)))
+    order = lambda s: F.md5(F.concat(F.col("id").cast("string"), F.lit(":"), s.cast("string")))
+    first = lambda s: F.conv(F.substring(order(s), 1, 7), 16, 10).cast("bigint") / F.lit(268435456.0)
+    passed = F.filter(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda s: first(s) <= share)
+    drawn = sided.select("*", F.explode(passed).alias("subset"))
+    window = Window.partitionBy("side", "subset").orderBy(order(F.col("subset")), "id")
+    kept = drawn.withColumn("_r", F.row_number().over(window)).where(F.col("_r") <= size)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        v, first = np.stack(part["v"].to_numpy()).astype(float), part["side"].to_numpy(bool)
-        a, b = v[first], v[~first]
+        v, one = np.stack(part["v"].to_numpy()).astype(float), part["side"].to_numpy(bool)
+        a, b = v[one], v[~one]
         if len(a) < 2 or len(b) < 2:
             return pd.DataFrame({"subset": part["subset"].iloc[:1], "mmd": [None]})
         k = lambda x, y: (x @ y.T / width + 1) ** degree
         own = lambda x: (k(x, x).sum() - np.trace(k(x, x))) / (len(x) * (len(x) - 1))
         return pd.DataFrame({"subset": part["subset"].iloc[:1], "mmd": [own(a) + own(b) - 2 * k(a, b).mean()]})
 
-    return df.select(F.col(vector).alias("v"), side.alias("side"), subset.cast("int").alias("subset")).groupBy("subset").applyInPandas(run, "subset int, mmd double")
+    return kept.groupBy("subset").applyInPandas(run, "subset int, mmd double")
 
 
 def frechet(mu_a: np.ndarray, cov_a: np.ndarray, mu_b: np.ndarray, cov_b: np.ndarray) -> float:
@@ -119,23 +198,34 @@ def frechet_distance(df: DataFrame, vector: str, side: Column, width: int) -> Da
     return df.sparkSession.createDataFrame([(frechet(*moments["a"], *moments["b"]),)], "frechet double")
 
 
+#: Rows of a cluster's block; a larger cluster is cut into a grid of blocks.
+CLUSTER_BLOCK = 4096
+
+
 def cluster_pairs(df: DataFrame, id_col: str, cluster: str, vector: str, above: float) -> DataFrame:
-    """``(id_a, id_b, cos)``: pairs inside a cluster with cosine strictly above. Quadratic in a cluster, so
-    clusters must be bounded: see ``kmeans``. Blocks of rows are multiplied as matrices."""
+    """``(id_a, id_b, cos)``: pairs inside a cluster with cosine strictly above. A cluster is cut into blocks
+    by a hash of the id; each pair of blocks is a task's work of bounded size. The pairs looked at are
+    quadratic in a cluster: see ``kmeans``. Null ids, clusters and vectors are in no pair."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(cluster).alias("c"), F.col(vector).alias("v")).where("id is not null and c is not null and v is not null")
+    blocks = rows.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK).cast("int").alias("blocks"))
+    placed = rows.join(F.broadcast(blocks), "c").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))  # one row a cluster
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    cells = placed.select("id", "c", "v", "mine", other).select("id", "c", "v", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
-        ids, v = part["id"].to_numpy(), np.stack(part["v"].to_numpy()).astype(float)
+        ids, mine, v = part["id"].to_numpy(), part["mine"].to_numpy(), np.stack(part["v"].to_numpy()).astype(float)
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-8)
+        same = part["low"].iloc[0] == part["high"].iloc[0]
         found = []
         for at in range(0, len(v), 1024):
             s = v[at : at + 1024] @ v.T
             i, j = np.nonzero(s > above)
-            keep = j > i + at
+            keep = (j > i + at) & (same | (mine[i + at] != mine[j]))
             found.append(pd.DataFrame({"id_a": ids[i[keep] + at], "id_b": ids[j[keep]], "cos": s[i[keep], j[keep]]}))
         return pd.concat(found)
 
-    return df.select(F.col(id_col).alias("id"), F.col(cluster).alias("c"), F.col(vector).alias("v")).groupBy("c").applyInPandas(run, "id_a bigint, id_b bigint, cos double")
+    return cells.groupBy("c", "low", "high").applyInPandas(run, "id_a bigint, id_b bigint, cos double")
 
 
 def kmeans(df: DataFrame, id_col: str, vector: str, rows: int, seed: int = 42, sample: int = 100_000) -> DataFrame:
@@ -152,32 +242,29 @@ def kmeans(df: DataFrame, id_col: str, vector: str, rows: int, seed: int = 42, s
     return model.transform(points).select("id", F.col("prediction").alias("cluster"))
 
 
-def mmr(df: DataFrame, id_col: str, cell: str, vector: str, most: int, balance: float = 0.5, candidates: int = 5) -> DataFrame:
+def mmr(df: DataFrame, id_col: str, cell: str, vector: str, most: int, balance: float = 0.5) -> DataFrame:
     """``(cell, id, rank)``: maximal marginal relevance inside each cell: first the row nearest the centroid,
     then the one that best weighs nearness to it against the largest similarity to what was taken.
 
-    At most ``candidates * most`` rows of a cell compete, drawn by hash before they are gathered.
+    All rows of a cell compete. Each of the ``most`` rounds scores the rows where they lie against the
+    cell's centroid and the vectors taken (cells * most at most, broadcast) and combines the best of each
+    cell before the shuffle. The smallest id wins among equals. Null ids, cells and vectors are left out.
     """
-    window = Window.partitionBy(cell).orderBy(T.hash_order(F.col(id_col)), F.col(id_col))
-    pool = df.withColumn("_r", F.row_number().over(window)).where(F.col("_r") <= candidates * most)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        v = np.stack(part["v"].to_numpy()).astype(float)
-        centre = v.mean(0) / (np.linalg.norm(v.mean(0)) + 1e-8)
-        near, worst = v @ centre, np.full(len(v), -np.inf)
-        taken: list[int] = []
-        left = np.ones(len(v), bool)
-        for _ in range(min(most, len(v))):
-            score = near if not taken else balance * near - (1 - balance) * worst
-            best = int(np.where(left, score, -np.inf).argmax())
-            taken.append(best)
-            left[best] = False
-            worst = np.maximum(worst, v @ v[best])
-        return pd.DataFrame({"cell": part["cell"].iloc[0], "id": part["id"].to_numpy()[taken], "rank": np.arange(1, len(taken) + 1)})
-
-    kind = df.schema[cell].dataType.simpleString()
-    return pool.select(F.col(cell).alias("cell"), F.col(id_col).alias("id"), F.col(vector).alias("v")).groupBy("cell").applyInPandas(run, f"cell {kind}, id bigint, rank int")
+    rows = df.select(F.col(cell).alias("cell"), F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")).where("cell is not null and id is not null and v is not null")
+    mean = centroids(rows, "v", ["cell"])
+    centre = materialize(mean.select("cell", F.transform("centroid", lambda x: x / (norm(F.col("centroid")) + 1e-8)).alias("centre")), "centres")
+    taken = centre.select("cell", "centre", F.array().cast("array<bigint>").alias("ids"), F.array().cast(f"array<{rows.schema['v'].dataType.simpleString()}>").alias("vectors"))
+    for _ in range(most):
+        open_ = rows.join(F.broadcast(taken), "cell").where(~F.array_contains("ids", F.col("id")))
+        near = dot(F.col("v"), F.col("centre"))
+        worst = F.array_max(F.transform("vectors", lambda t: dot(F.col("v"), t)))
+        score = F.when(F.size("ids") == 0, near).otherwise(balance * near - (1 - balance) * worst)
+        best = open_.groupBy("cell").agg(F.max_by(F.struct("id", "v"), F.struct(score.alias("score"), (-F.col("id")).alias("back"))).alias("best"))
+        more = lambda column, field: F.when(F.col("best").isNull(), F.col(column)).otherwise(F.concat(column, F.array(f"best.{field}"))).alias(column)
+        following = materialize(taken.join(F.broadcast(best), "cell", "left").select("cell", "centre", more("ids", "id"), more("vectors", "v")), "taken")
+        discard(taken)
+        taken = following
+    return taken.select("cell", F.posexplode("ids").alias("rank", "id")).select("cell", "id", (F.col("rank") + 1).alias("rank"))
 
 
 def sinusoidal(t: Column, width: int = 8, period: float = 10000.0) -> Column:

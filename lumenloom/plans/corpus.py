@@ -9,6 +9,7 @@ from lumenloom import schema
 from lumenloom.functions import text as T
 from lumenloom.operators import classify as C
 from lumenloom.operators import dedup, filters, report, sampling
+from lumenloom.operators.skew import join_skewed
 from lumenloom.plans.registry import query
 from lumenloom.session import read_table
 
@@ -38,13 +39,16 @@ WITH first AS (SELECT * FROM metadata_10 QUALIFY row_number() OVER (PARTITION BY
 SELECT source, lang, count(*) AS n FROM first WHERE {QUALITY} GROUP BY source, lang""")
 def curation_coverage(spark, folder):
     """Dedup before the filter (the first of equal texts claims the key even if it is then rejected), then coverage."""
-    kept = dedup.exact_dedup(_meta(spark, folder).select("row_id", "text", "source", "lang"))
-    return kept.where(filters.quality(F.col("text"), F.col("lang"))).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    good = filters.quality(F.col("text"), F.col("lang"))
+    rows = _meta(spark, folder).select("row_id", F.md5(dedup.exact_key(F.col("text"))).alias("key"), good.alias("good"), "source", "lang")
+    kept = dedup.keep_first(rows, F.col("key"), [F.col("row_id")])  # the digest and the verdict travel, the text stays
+    return kept.where("good").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT row_id FROM metadata_10 QUALIFY row_number() OVER (PARTITION BY lower({STEXT}) ORDER BY row_id) = 1")
 def exact_dedup(spark, folder):
-    return dedup.exact_dedup(_meta(spark, folder).select("row_id", "text")).select("row_id")
+    keys = _meta(spark, folder).select("row_id", F.md5(dedup.exact_key(F.col("text"))).alias("key"))
+    return keys.groupBy("key").agg(F.min("row_id").alias("row_id")).select("row_id")  # numbers and digests: hashed, not sorted
 
 
 @query("SELECT row_id FROM metadata_10 QUALIFY row_number() OVER (PARTITION BY text ORDER BY row_id) = 1")
@@ -466,13 +470,19 @@ def split_conservation(spark, folder):
 # --- joins ---
 
 
+def _by_digest(rows: DataFrame, *columns: str, nulls: bool = False) -> DataFrame:
+    """The columns with ``key``, the text's 128-bit digest; rows without a text only if asked for."""
+    keyed = rows.select(F.md5("text").alias("key"), *columns)
+    return keyed if nulls else keyed.where("key is not null")
+
+
 @query("""
 WITH b AS (SELECT text, max_by(raw_id, raw_id) AS raw_id FROM raw_harvest WHERE text IS NOT NULL GROUP BY text)
 SELECT m.row_id, b.raw_id FROM metadata_10 m LEFT JOIN b ON m.text = b.text""")
 def keep_last_join(spark, folder):
     """Equi-join on text, the last of repeated build rows winning."""
-    built = _raw(spark, folder).where("text is not null").groupBy("text").agg(F.max("raw_id").alias("raw_id"))
-    return _meta(spark, folder).select("row_id", "text").join(built, "text", "left").select("row_id", "raw_id")
+    built = _by_digest(_raw(spark, folder), "raw_id").groupBy("key").agg(F.max("raw_id").alias("raw_id"))
+    return join_skewed(_by_digest(_meta(spark, folder), "row_id", nulls=True), built, ["key"], "left").select("row_id", "raw_id")
 
 
 @query("""
@@ -487,13 +497,13 @@ def join_guard(spark, folder):
 @query("SELECT row_id FROM metadata_10 m WHERE NOT EXISTS (SELECT 1 FROM raw_harvest r WHERE r.text = m.text)")
 def resume_anti_join(spark, folder):
     """Rows without an output yet."""
-    done = _raw(spark, folder).select("text").where("text is not null").distinct()
-    return _meta(spark, folder).select("row_id", "text").join(done, "text", "left_anti").select("row_id")
+    done = _by_digest(_raw(spark, folder)).distinct().withColumn("done", F.lit(True))
+    return join_skewed(_by_digest(_meta(spark, folder), "row_id", nulls=True), done, ["key"], "left").where("done is null").select("row_id")
 
 
 @query("SELECT row_id FROM metadata_10 m WHERE EXISTS (SELECT 1 FROM raw_harvest r WHERE r.text = m.text)")
 def seen_semi_join(spark, folder):
-    return _meta(spark, folder).select("row_id", "text").join(_raw(spark, folder).select("text"), "text", "left_semi").select("row_id")
+    return join_skewed(_by_digest(_meta(spark, folder), "row_id"), _by_digest(_raw(spark, folder)).distinct(), ["key"]).select("row_id")
 
 
 @query("""
@@ -510,8 +520,8 @@ def manifest_check(spark, folder):
 
 @query("SELECT m.row_id, coalesce(r.prompt_nsfw, 0.5) AS score FROM metadata_10 m LEFT JOIN (SELECT text, min(CASE WHEN isnan(prompt_nsfw) THEN NULL ELSE prompt_nsfw END) AS prompt_nsfw FROM raw_harvest GROUP BY text) r ON r.text = m.text")
 def left_join_default(spark, folder):
-    scores = _raw(spark, folder).where("text is not null").groupBy("text").agg(F.min(F.when(~F.isnan("prompt_nsfw"), F.col("prompt_nsfw"))).alias("s"))
-    return _meta(spark, folder).select("row_id", "text").join(scores, "text", "left").select("row_id", F.coalesce("s", F.lit(0.5)).alias("score"))
+    scores = _by_digest(_raw(spark, folder), "prompt_nsfw").groupBy("key").agg(F.min(F.when(~F.isnan("prompt_nsfw"), F.col("prompt_nsfw"))).alias("s"))
+    return join_skewed(_by_digest(_meta(spark, folder), "row_id", nulls=True), scores, ["key"], "left").select("row_id", F.coalesce("s", F.lit(0.5)).alias("score"))
 
 
 @query(f"""

@@ -14,8 +14,8 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import text as T
-from lumenloom.operators import report, sampling, vectors
-from lumenloom.plans.numbers import _run, _schedule, _stream
+from lumenloom.operators import report, runlog, sampling, vectors
+from lumenloom.plans.numbers import FOLD, _run, _schedule, _stream
 from lumenloom.plans.registry import query
 from lumenloom.session import read_table
 from lumenloom.streaming import streams
@@ -26,9 +26,8 @@ _SIGMAS = "SELECT i::INT AS i, CASE WHEN i = 20 THEN 0 ELSE 3 * (1 - i / 19.0::D
 @query(f"SELECT e.event_id, s.i FROM events e JOIN ({_SIGMAS}) s ON s.i = e.event_id % 20")
 def exact_step(spark, folder):
     """Exact-key schedule lookup: every key must match one row."""
-    rows = read_table(spark, folder, "events").select("event_id", F.pmod("event_id", F.lit(20)).cast("int").alias("i"))
-    joined = rows.join(F.broadcast(_schedule(spark)), "i", "left")
-    return joined.select("event_id", F.coalesce("i", F.raise_error(F.lit("a step without a schedule row")).cast("int")).alias("i"))
+    rows = read_table(spark, folder, "events").select("event_id", F.pmod("event_id", F.lit(20)).cast("int").alias("key"))
+    return runlog.exact_row(rows, _schedule(spark), "key", "i").select("event_id", "i")
 
 
 @query("SELECT timestep, CASE WHEN count(*) > 1 THEN max(i) FILTER (rk = 2) ELSE min(i) END::INT AS place FROM (SELECT step // 2000 AS timestep, i, row_number() OVER (PARTITION BY step // 2000 ORDER BY i) AS rk FROM (SELECT step, row_number() OVER (ORDER BY step) - 1 AS i FROM (SELECT DISTINCT step FROM eval_results))) GROUP BY timestep")
@@ -162,7 +161,9 @@ def gap_prompts(spark, folder):
     return made.select("subject", "style", camera.alias("camera"), F.format_string("%d. %s in the manner of %s", "number", "subject_label", "style_label").alias("text"))
 
 
-@query(None)
+@query("""
+WITH p AS (SELECT row_id, (row_number() OVER (ORDER BY row_id) - 1) // 64 AS batch FROM metadata_10)
+SELECT batch::BIGINT AS batch, list(row_id ORDER BY row_id) AS ids, count(*) AS n FROM p GROUP BY batch HAVING count(*) = 64""")
 def collated_batches(spark, folder):
     """Rows gathered into batches of a fixed size."""
     rows = sampling.batches(read_table(spark, folder, "metadata_10").select("row_id", "text"), [F.col("row_id")], 64, drop_last=True)
@@ -190,6 +191,33 @@ def kernel_distance_summary(spark, folder):
     return found.agg(F.round(F.avg("mmd"), 6).alias("kid_mean"), F.round(F.stddev_pop("mmd"), 6).alias("kid_std"))
 
 
+_DRAWN = """
+s AS (SELECT vec_id, embedding::DOUBLE[] AS v, label < 5 AS side, unnest(range(0, 100)) AS subset FROM embeddings),
+d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY side, subset ORDER BY md5(concat(vec_id, ':', subset)), vec_id) <= 100),
+k AS (SELECT a.subset, a.side AS sa, b.side AS sb, a.vec_id = b.vec_id AS same, power(list_inner_product(a.v, b.v) / 64 + 1, 3) AS k FROM d a JOIN d b ON a.subset = b.subset),
+m AS (SELECT subset, avg(k) FILTER (sa AND sb AND NOT same) + avg(k) FILTER (NOT sa AND NOT sb AND NOT same) - 2 * avg(k) FILTER (sa AND NOT sb) AS mmd FROM k GROUP BY subset)"""
+
+
+@query(f"WITH {_DRAWN} SELECT subset::INT AS subset, round(mmd, 6) AS mmd FROM m")
+def kernel_distance_subsets(spark, folder):
+    """The cubic-kernel discrepancy of a hundred subsets, each of a hundred rows a side (all, if there are fewer)."""
+    found = vectors.subset_mmd(read_table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("label") < 5, 64)
+    return found.select("subset", F.round("mmd", 6).alias("mmd"))
+
+
+@query(f"WITH {_DRAWN} SELECT round(avg(mmd), 6) AS kid_mean, round(stddev_pop(mmd), 6) AS kid_std FROM m")
+def kernel_distance_drawn(spark, folder):
+    found = vectors.subset_mmd(read_table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("label") < 5, 64)
+    return found.agg(F.round(F.avg("mmd"), 6).alias("kid_mean"), F.round(F.stddev_pop("mmd"), 6).alias("kid_std"))
+
+
+@query("SELECT vec_id, label::INT AS label FROM embeddings")
+def aligned_columns(spark, folder):
+    """Two tables of the same number of rows put side by side by position, their counts compared first."""
+    rows = read_table(spark, folder, "embeddings")
+    return sampling.aligned(rows.select("vec_id"), rows.select(F.col("vec_id").alias("place"), F.col("label").cast("int").alias("label")), ["vec_id"], ["place"]).select("vec_id", "label")
+
+
 @query("""
 SELECT strftime(w, '%Y-%m-%d %H') AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01'), time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01') - INTERVAL 12 HOUR]) AS w FROM events) GROUP BY 1, 2""")
 def sliding_windows(spark, folder):
@@ -198,13 +226,16 @@ def sliding_windows(spark, folder):
     return counts.select(F.date_format("w.start", "yyyy-MM-dd HH").alias("start"), "event_type", "n")
 
 
-@query(None)
+@query("""
+WITH w AS (SELECT event_type, unnest([time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01'), time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01') - INTERVAL 12 HOUR]) AS w FROM events)
+SELECT strftime(w, '%Y-%m-%d %H') AS start, event_type, count(*) AS n FROM w WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""")
 def streamed_sliding(spark, folder):
+    """Closed windows of a day, every twelve hours."""
     counts = streams.windowed_counts(_stream(spark, folder, "events"), "ts", ["event_type"], F.window("ts", "1 day", "12 hours"), "1 hour")
-    return _run(counts, "append").select("start", "event_type", "n")
+    return _run(counts, "append").select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n")
 
 
-@query(None)
+@query(f"WITH RECURSIVE {FOLD.format(order='event_id')} SELECT user_id AS key, event_id AS o, skip FROM f")
 def streamed_skips(spark, folder):
     found = streams.threshold_skips(_stream(spark, folder, "events").where("value is not null"), "user_id", "event_id", "value", 150.0)
     return _run(found, "append")
@@ -244,12 +275,6 @@ def star_intersect(spark, folder):
     return read_table(spark, folder, "supplier").select(F.col("s_nationkey").alias("nation")).intersect(read_table(spark, folder, "customer").select("c_nationkey"))
 
 
-@query("""
-SELECT o.o_orderkey, e.n AS events FROM (SELECT o_orderkey, o_custkey % 150 AS u FROM orders) o FULL OUTER JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) e ON o.u = e.user_id WHERE o.o_orderkey % 10 = 0 OR o.o_orderkey IS NULL""")
-def star_full_outer(spark, folder):
-    return _orders_and_events(spark, folder).where((F.pmod("o_orderkey", F.lit(10)) == 0) | F.col("o_orderkey").isNull())
-
-
 @query("""
 SELECT o.o_orderkey, e.n AS events FROM (SELECT o_orderkey, o_custkey % 150 AS u FROM orders) o FULL OUTER JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) e ON o.u = e.user_id""")
 def star_full_outer_whole(spark, folder):

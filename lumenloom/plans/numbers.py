@@ -109,7 +109,18 @@ def frechet_distance(spark, folder):
     return vectors.frechet_distance(_vectors(spark, folder), "embedding", F.col("label") < 5, WIDTH)
 
 
-@query(None)
+def _mmr_sql(most: int) -> str:
+    near = _DOT.format(a="e.embedding", b="n.centroid")
+    steps = [f"{_CENTROIDS}, near AS (SELECT e.label, e.vec_id, e.embedding, {near} AS near FROM embeddings e JOIN n ON n.label = e.label)", "t0 AS (SELECT NULL::BIGINT AS label, NULL::BIGINT AS vec_id, NULL::FLOAT[] AS embedding, 0 AS rank WHERE false)"]
+    for r in range(1, most + 1):
+        worst = f"(SELECT max({_DOT.format(a='c.embedding', b='t.embedding')}) FROM t{r - 1} t WHERE t.label = c.label)"
+        score = "c.near" if r == 1 else f"0.5 * c.near - 0.5 * {worst}"
+        left = f"SELECT c.label, c.vec_id, c.embedding, {score} AS score FROM near c WHERE NOT EXISTS (SELECT 1 FROM t{r - 1} t WHERE t.label = c.label AND t.vec_id = c.vec_id)"
+        steps.append(f"t{r} AS (SELECT * FROM t{r - 1} UNION ALL SELECT label, vec_id, embedding, {r} AS rank FROM ({left}) QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1)")
+    return f"WITH {', '.join(steps)} SELECT label AS cell, vec_id AS id, rank FROM t{most}"
+
+
+@query(_mmr_sql(5))
 def mmr_selection(spark, folder):
     return vectors.mmr(_vectors(spark, folder), "vec_id", "label", "embedding", 5)
 
@@ -315,7 +326,15 @@ def flow_arithmetic(spark, folder):
     return _vectors(spark, folder).select("vec_id", r6(runlog.interpolate(a, b, F.lit(0.25))).alias("mixed"), r6(runlog.euler(a, b, F.lit(-0.1))).alias("stepped"), r6(runlog.guided(a, b, 5.0)).alias("guided"))
 
 
-@query(None)
+#: A fold over each user's values by recursion: (place, sum since the last step computed, whether this one is skipped).
+FOLD = """
+v AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS i FROM events WHERE value IS NOT NULL),
+f(user_id, event_id, i, total, skip) AS (
+  SELECT user_id, event_id, i, 0.0::DOUBLE, false FROM v WHERE i = 1
+  UNION ALL SELECT v.user_id, v.event_id, v.i, CASE WHEN f.total + v.value < 150 THEN f.total + v.value ELSE 0 END, f.total + v.value < 150 FROM f JOIN v ON v.user_id = f.user_id AND v.i = f.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {FOLD.format(order='ts, event_id')} SELECT user_id, count(*) FILTER (skip) AS skipped, count(*) AS steps FROM f GROUP BY user_id")
 def threshold_fold(spark, folder):
     """Accumulate-until-threshold over each user's ordered values: a fold over a sorted array."""
     rows = read_table(spark, folder, "events").where("value is not null")
@@ -352,10 +371,14 @@ def streamed_dedup(spark, folder):
     return _run(streams.dedup_stream(rows, "text", "ts", "40 days"), "append").select("event_type", "user_id")
 
 
-@query(None)
+@query("""
+WITH g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)),
+w AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS end_, count(*) AS n FROM g GROUP BY user_id, s)
+SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, strftime(end_, '%Y-%m-%d %H:%M:%S') AS "end", n FROM w WHERE end_ <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def streamed_sessions(spark, folder):
     counts = streams.windowed_counts(_stream(spark, folder, "events"), "ts", ["user_id"], F.session_window("ts", "6 hours"), "1 hour")
-    return _run(counts, "append").select("user_id", "start", "end", "n")
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return _run(counts, "append").select("user_id", at("start"), at("end"), "n")
 
 
 @query(f"WITH {_STREAK} SELECT user_id AS key, max(streak)::INT AS longest FROM s GROUP BY user_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import json
 import zipfile
@@ -32,16 +33,36 @@ def read_json_array(spark: SparkSession, path: str, fields: T.StructType = schem
     return spark.read.schema(fields).option("multiLine", True).json(path)
 
 
-def write_json_array(df: DataFrame, path: str) -> int:
-    """One pretty-printed array in a file of the driver's, for small splits: rows come one partition at a time."""
-    n = 0
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("[")
-        for row in df.toLocalIterator():
-            out.write((",\n" if n else "\n") + json.dumps(row.asDict(True), indent=2, ensure_ascii=False))
-            n += 1
-        out.write("\n]\n")
-    return n
+def write_json_array(df: DataFrame, path: str) -> None:
+    """JSON arrays, one file for each partition of ``df``, written where the rows are; ``read_json_array`` reads the folder."""
+    record = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["
+        for batch in batches:
+            out = []
+            for value in batch.column(0).to_pylist():
+                out.append(mark + value)
+                mark = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"])], names=["value"])
+
+    record.mapInArrow(lines, "value string").write.mode("error").text(path)
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """One file of the driver's, on any file system that Spark knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(content))
+    out.close()
+
+
+def files_below(spark: SparkSession, path: str, suffix: str = "") -> list[str]:
+    """The files directly in a folder whose names end so, in lexical order, without the markers of a write."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = [f.getPath() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    return sorted(str(f.toString()) for f in found if f.getName().endswith(suffix) and f.getName()[0] not in "._")
 
 
 def read_parquet_first(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -56,11 +77,12 @@ def read_parquet_first(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_parquet_shards(spark: SparkSession, paths: list[str], columns: list[str]) -> tuple[DataFrame, list[str]]:
-    """The union of the shards that can be read, by name, missing columns null; and the paths that can't."""
+    """The union of the shards that can be read, by name, missing columns null; and the paths whose footer can't
+    be read. Of a shard with a bad page the rows before it are taken, and the job goes on."""
     out, bad = None, []
     for path in paths:
         try:
-            shard = spark.read.parquet(path)
+            shard = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
         except Exception:  # noqa: BLE001 - a bad shard must not stop the others
             bad.append(path)
             continue
@@ -134,8 +156,12 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.LEDGER).csv(path, sep="\t", header=True)
 
 
+#: How a null is written in the coverage file; an empty code stays an empty string.
+NO_CODE = "\\N"
+
+
 def write_coverage(pivot: DataFrame, path: str) -> None:
-    pivot.coalesce(1).write.mode("overwrite").csv(path, header=True)  # one row a subject
+    pivot.coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue=NO_CODE, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)  # one row a subject
 
 
 def parse_manifest(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -190,29 +216,63 @@ def write_version(df: DataFrame, folder: str, version: str) -> str:
     return path
 
 
+def replace_version(df: DataFrame, folder: str, version: str, derived: list[str]) -> str:
+    """A new version, and away with what was derived from the old one (folders that must be made anew)."""
+    path = write_version(df, folder, version)
+    spark = df.sparkSession
+    for stale in derived:
+        target = spark._jvm.org.apache.hadoop.fs.Path(stale)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return path
+
+
+def write_manifest(found: DataFrame, patterns: list[str], path: str) -> None:
+    """Lines ``md5  path`` of the listed files that match one of the globs, in the order of their paths."""
+    wanted = F.lit(False)
+    for pattern in patterns:
+        wanted = wanted | F.col("path").rlike(fnmatch.translate(pattern).replace("\\Z", "$").replace("\\z", "$"))
+    lines = found.where(wanted).repartitionByRange(1, "path").sortWithinPartitions("path")  # a manifest is one file
+    lines.select(F.concat_ws("  ", "found", "path").alias("value")).write.mode("error").text(path)
+
+
 class Sources:
-    """A registry of named readers; one that fails doesn't stop the others."""
+    """A registry of named readers, each with others to fall back on (another configuration, another split);
+    a source that fails doesn't stop the others."""
 
     def __init__(self) -> None:
-        self.readers: dict[str, Callable[[SparkSession], DataFrame]] = {}
+        self.readers: dict[str, tuple[Callable[[SparkSession], DataFrame], ...]] = {}
 
-    def add(self, name: str, reader: Callable[[SparkSession], DataFrame]) -> None:
-        self.readers[name] = reader
+    def add(self, name: str, *readers: Callable[[SparkSession], DataFrame]) -> None:
+        self.readers[name] = readers
+
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        """What the first of a source's readers gives that gives anything."""
+        error: Exception = LookupError(name)
+        for reader in self.readers.get(name, ()):
+            try:
+                found = reader(spark)
+                if not found.isEmpty():
+                    return found
+                error = LookupError(f"{name}: nothing there")
+            except Exception as e:  # noqa: BLE001 - any failure gives way to the next
+                error = e
+        raise error
 
     def harvest(self, spark: SparkSession, wanted: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
         """The union of the sources (text, source, lang), and the error of each that failed."""
         out, failed = spark.createDataFrame([], schema.RAW), {}
         for name in wanted or sorted(self.readers):
             try:
-                out = out.unionByName(schema.normalise(self.readers[name](spark)).withColumn("source", F.lit(name)).select("text", "source", "lang"))
+                out = out.unionByName(schema.normalise(self.read(spark, name)).withColumn("source", F.lit(name)).select("text", "source", "lang"))
             except Exception as e:  # noqa: BLE001
                 failed[name] = f"{type(e).__name__}: {e}"[:200]
         return out, failed
 
 
-def write_vectors(df: DataFrame, path: str, about: dict[str, str]) -> None:
-    """A vector bundle: the rows as Parquet, and beside them one row of facts (width, model, source)."""
-    df.write.mode("error").parquet(f"{path.rstrip('/')}/vectors")
+def write_vectors(df: DataFrame, path: str, about: dict[str, str], by: list[str] | None = None) -> None:
+    """A vector bundle: the rows as Parquet, in a folder for each value of ``by`` if given, and beside them
+    rows of facts (width, model, source)."""
+    df.write.mode("error").partitionBy(*by or []).parquet(f"{path.rstrip('/')}/vectors")
     facts = [(str(k), str(v)) for k, v in sorted(about.items())]
     df.sparkSession.createDataFrame(facts, "key string, value string").coalesce(1).write.mode("error").json(f"{path.rstrip('/')}/about")
 

@@ -30,44 +30,64 @@ def dedup_stream(df: DataFrame, text: str, time: str, late: str) -> DataFrame:
 
 
 def failure_streaks(events: DataFrame, key: str, order: str, failed: Column) -> DataFrame:
-    """``(key, longest)``: the longest run of failures of each key so far, updated as batches arrive.
+    """``(key, longest, late)``: the longest run of failures of each key so far, updated as batches arrive.
 
-    The state of a key is two counters and the last place in the order.
+    The state of a key is two counters, the last place in the order and the rows that came too late: a row
+    that stands before that place can't be put into a run that is already counted, so it is left out and
+    counted in ``late``. Rows without a place are late, too.
     """
     kind = events.schema[key].dataType.simpleString()
 
     def fold(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, longest = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(parts)).sort_values("o")
-        for bad in rows["f"]:
+        run, longest, last, late = state.get if state.exists else (0, 0, None, 0)
+        rows = pd.concat(list(parts))
+        fresh, last = _in_order(rows, last)
+        late += len(rows) - len(fresh)
+        for bad in fresh["f"]:
             run = run + 1 if bad else 0
             longest = max(longest, run)
-        state.update((run, longest))
-        yield pd.DataFrame({"key": [name[0]], "longest": [longest]})
+        state.update((run, longest, last, late))
+        yield pd.DataFrame({"key": [name[0]], "longest": [longest], "late": [late]})
 
-    rows = events.select(F.col(key).alias("k"), F.col(order).alias("o"), F.coalesce(failed, F.lit(False)).alias("f"))
-    return rows.groupBy("k").applyInPandasWithState(fold, f"key {kind}, longest int", "run int, longest int", "update", GroupStateTimeout.NoTimeout)
+    rows = events.select(F.col(key).alias("k"), _place(events, order).alias("p"), F.coalesce(failed, F.lit(False)).alias("f"))
+    return rows.groupBy("k").applyInPandasWithState(fold, f"key {kind}, longest int, late int", "run int, longest int, last double, late int", "update", GroupStateTimeout.NoTimeout)
+
+
+def _place(df: DataFrame, order: str) -> Column:
+    """A place in an order of numbers or times as a number."""
+    kind = df.schema[order].dataType.typeName()
+    column = F.unix_micros(F.col(order).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(order)
+    return column.cast("double")
+
+
+def _in_order(rows: pd.DataFrame, last: float | None) -> tuple[pd.DataFrame, float | None]:
+    """The rows that don't stand before ``last``, in order, and the last place now."""
+    fresh = rows[rows["p"].notna() & (rows["p"] >= (float("-inf") if last is None else last))].sort_values("p", kind="stable")
+    return fresh, float(fresh["p"].iloc[-1]) if len(fresh) else last
 
 
 def threshold_skips(steps: DataFrame, key: str, order: str, distance: str, threshold: float) -> DataFrame:
     """``(key, order, skip)``: accumulate distances until the threshold, then compute and start again. The
-    first step of a key is always computed."""
+    first step of a key is always computed. A step that comes after later ones were decided has no place
+    in the sum: its ``skip`` is null."""
     kinds = events_types(steps, [key, order])
 
     def fold(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts)).sort_values("o")
-        skips = []
-        for d in rows["d"]:
-            total = 0.0 if total is None else total + (0.0 if pd.isna(d) else d)
-            skip = bool(skips or state.exists) and total < threshold
+        total, last = state.get if state.exists else (None, None)
+        rows = pd.concat(list(parts)).reset_index(drop=True)
+        fresh, last = _in_order(rows, last)
+        skips = pd.Series([None] * len(rows), dtype=object)
+        for i, d in fresh["d"].items():
+            first = total is None
+            total = 0.0 if first else total + (0.0 if pd.isna(d) else d)
+            skip = not first and total < threshold
             total = total if skip else 0.0
-            skips.append(skip)
-        state.update((total,))
-        yield pd.DataFrame({"key": name[0], "o": rows["o"].to_numpy(), "skip": skips})
+            skips[i] = skip
+        state.update((total, last))
+        yield pd.DataFrame({"key": name[0], "o": rows["o"].to_numpy(), "skip": skips.astype("boolean")})
 
-    rows = steps.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(distance).cast("double").alias("d"))
-    return rows.groupBy("k").applyInPandasWithState(fold, f"key {kinds[0]}, o {kinds[1]}, skip boolean", "total double", "append", GroupStateTimeout.NoTimeout)
+    rows = steps.select(F.col(key).alias("k"), F.col(order).alias("o"), _place(steps, order).alias("p"), F.col(distance).cast("double").alias("d"))
+    return rows.groupBy("k").applyInPandasWithState(fold, f"key {kinds[0]}, o {kinds[1]}, skip boolean", "total double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
 def events_types(df: DataFrame, columns: list[str]) -> list[str]:
@@ -80,9 +100,18 @@ def append_metrics(df: DataFrame, path: str, checkpoint: str):
 
 
 def run_available(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is available into a table of the session and return that (for bounded tests and queries)."""
-    df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+    """Run a stream over what is available and return what it put out, for bounded runs. Every micro-batch is
+    written as files under the checkpoint's folder, in place of an earlier attempt at the same one, so the
+    output never passes through the driver."""
+    path = f"{checkpoint}-out/{name}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = df.sparkSession
+    write(spark.createDataFrame([], df.schema), -1)  # a stream without rows has a result, too
+    return spark.read.schema(df.schema).option("basePath", path).parquet(f"{path}/batch=*").select(df.columns)
 
 
 def upsert(path_of: str, key: str):

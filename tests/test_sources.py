@@ -19,10 +19,13 @@ def test_jsonl_round_trip(spark, tmp_path):
 
 
 def test_json_array(spark, tmp_path):
-    path = tmp_path / "a.json"
+    path = tmp_path / "a"
     df = spark.createDataFrame([("t", "S1", "T1", "C1", "s", "en"), ("u", None, "T1", "C1", "s", "en")], schema.CURATED)
-    assert files.write_json_array(df, str(path)) == 2
-    assert len(json.loads(path.read_text())) == 2
+    files.write_json_array(df.coalesce(1), str(path))
+    (part,) = path.glob("part-*")
+    assert [r["text"] for r in json.loads(part.read_text())] == ["t", "u"]
+    files.write_json_array(df.limit(0), str(tmp_path / "none"))
+    assert files.read_json_array(spark, str(tmp_path / "none")).count() == 0
     assert files.read_json_array(spark, str(path)).where("subject is null").count() == 1
 
 
@@ -100,6 +103,10 @@ def test_registry_isolates_failures(spark):
     sources.add("bad", lambda s: s.read.parquet("/nowhere"))
     df, failed = sources.harvest(spark)
     assert [tuple(r) for r in df.collect()] == [("t", "good", "de")] and list(failed) == ["bad"]
+    sources.add("second", lambda s: s.read.parquet("/nowhere"), lambda s: s.createDataFrame([], "text string"), lambda s: s.createDataFrame([("u",)], "text string"))
+    assert [r["text"] for r in sources.read(spark, "second").collect()] == ["u"]
+    with pytest.raises(LookupError):
+        sources.read(spark, "unknown")
 
 
 def test_url_source(spark, tmp_path):
@@ -124,3 +131,29 @@ def test_vector_bundle_and_moments(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "r")).count() == 2
     names = spark.createDataFrame([("checkpoint-9",), ("checkpoint-10",), ("best",)], "name string")
     assert [r["name"] for r in files.latest(names).collect()] == ["checkpoint-10"]
+
+
+def test_a_bad_page_ends_only_its_shard(spark, tmp_path):
+    spark.createDataFrame([(str(i),) for i in range(50)], "text string").coalesce(1).write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([(str(i), "x" * 99) for i in range(5000)], "text string, source string").coalesce(1).write.parquet(str(tmp_path / "b"))
+    (part,) = (tmp_path / "b").glob("*.parquet")
+    data = bytearray(part.read_bytes())
+    data[4:200] = bytes(196)
+    part.write_bytes(data)
+    (tmp_path / "b" / f".{part.name}.crc").unlink(missing_ok=True)
+    rows, bad = files.read_parquet_shards(spark, [str(tmp_path / "a"), str(tmp_path / "b")], ["text"])
+    assert rows.count() >= 50 and not bad
+
+
+def test_manifest_is_written_and_versions_drop_what_was_derived(spark, tmp_path):
+    folder = tmp_path / "f"
+    folder.mkdir()
+    for name in ("b.bin", "a.json", "skip.txt"):
+        files.write_bytes(spark, str(folder / name), name.encode())
+    files.write_manifest(files.listing(spark, str(folder)), ["*.json", "*.bin"], str(tmp_path / "m"))
+    found = files.read_manifest(spark, str(tmp_path / "m"))
+    assert [r["path"] for r in found.collect()] == ["a.json", "b.bin"]
+    assert {r["status"] for r in files.verify_manifest(found, files.listing(spark, str(folder))).collect()} == {"ok"}
+    (tmp_path / "index").mkdir()
+    files.replace_version(spark.range(2), str(tmp_path / "v"), "1", [str(tmp_path / "index")])
+    assert not (tmp_path / "index").exists() and (tmp_path / "v" / "1").exists()

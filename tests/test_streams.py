@@ -45,3 +45,31 @@ def test_late_rows_are_dropped_from_closed_windows(spark, tmp_path):
     df = streams.windowed_counts(stream(spark, tmp_path, rows, "ts timestamp_ntz, kind string, value double", 1), "ts", ["kind"], F.window("ts", "1 day"), "1 hour")
     got = streams.run_available(df, "windows", "append", str(tmp_path / "c")).orderBy("start").collect()
     assert [r["n"] for r in got] == [2, 1]
+
+
+def later(spark, tmp_path, batches, shape):
+    """A stream of the batches, one micro-batch each."""
+    folder = tmp_path / "in"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(str(folder))
+        for part in folder.glob("part-*"):
+            if not part.name.startswith("part-0000x"):
+                part.rename(folder / f"part-0000x{i}.parquet")
+    return spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(folder))
+
+
+def test_rows_that_come_late_are_not_folded_as_newest(spark, tmp_path):
+    shape = "k string, i int, f boolean, d double"
+    batches = [[("u", 1, True, 1.0), ("u", 5, True, 1.0)], [("u", 3, False, 9.0), ("u", 5, True, 1.0), ("u", None, True, 1.0)], [("u", 6, True, 1.0)]]
+    source = later(spark, tmp_path, batches, shape)
+    found = streams.run_available(streams.failure_streaks(source, "k", "i", F.col("f")), "late", "update", str(tmp_path / "c"))
+    assert max((r["longest"], r["late"]) for r in found.collect()) == (4, 2)
+    skips = streams.run_available(streams.threshold_skips(source, "k", "i", "d", 2.5), "skips", "append", str(tmp_path / "d")).collect()
+    assert sorted((str(r["o"]), r["skip"]) for r in skips if r["o"] in (1, 6)) == [("1", False), ("6", False)]
+    assert [r["skip"] for r in skips if r["o"] in (3, None)] == [None, None]
+
+
+def test_a_stream_without_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema("k string, i int").parquet(str(tmp_path / "in"))
+    assert streams.run_available(source, "none", "append", str(tmp_path / "c")).count() == 0

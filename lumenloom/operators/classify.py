@@ -87,3 +87,44 @@ def hybrid_style(text: Column, keyword: Column, sentence: Column, caption_best:
 
 def hybrid_camera(keyword: Column, best: Column, gap: Column) -> Column:
     return F.when(keyword != "C1", keyword).otherwise(F.when((best != "C1") & (gap > MARGIN), best).otherwise("C1"))
+
+
+def mapped_subject(category: Column, source: Column, by_source: dict[tuple[str, str], str], by_category: dict[str, str]) -> Column:
+    """The code of a category in a source's own map, else in the common one; null if neither has it."""
+    own = F.create_map(*[F.lit(x) for (s, c), code in by_source.items() for x in (f"{s}\0{c}", code)])
+    common = F.create_map(*[F.lit(x) for kv in by_category.items() for x in kv])
+    key = F.concat(F.coalesce(source, F.lit("")), F.lit("\0"), F.coalesce(category, F.lit("")))
+    return F.coalesce(F.element_at(own, key), F.element_at(common, F.coalesce(category, F.lit(""))))
+
+
+def zero_shot(rows: DataFrame, text: str, vector: str, caption_vector: str, axes: dict[str, tuple[DataFrame, str, int]], rules: dict[str, list[str]]) -> DataFrame:
+    """``rows`` with subject, style and camera by the hybrid rules, in one pass over the rows.
+
+    ``axes``: for each of the three the labels' centroids (ord, centroid), the letter of its codes and the
+    ord of its default; a code is the letter and ord + 1. The caption's vector counts where the text is a
+    caption. Null texts have no keyword and no caption; a null vector leaves an axis to the keywords.
+    """
+    from lumenloom.operators.vectors import scored
+
+    out = rows
+    for axis, (labels, letter, default) in axes.items():
+        for which, column in (("best", vector), ("caption", caption_vector)):
+            if axis == "camera" and which == "caption":
+                continue
+            out = scored(out, column, labels)
+            best = F.array_max("scores")
+            own = F.element_at(F.filter("scores", lambda x: x["back"] == -default), 1)["score"]  # noqa: B023
+            out = out.withColumn(f"_{axis}_{which}", F.concat(F.lit(letter), (1 - best["back"]).cast("string")))
+            if which == "best":
+                out = out.withColumn(f"_{axis}_gap", best["score"] - own)
+            out = out.drop("scores")
+    t = F.coalesce(F.col(text), F.lit(""))
+    sentence = T.caption_sentence(t)
+    captioned = lambda axis: F.when(sentence.isNotNull(), F.col(f"_{axis}_caption"))
+    near = lambda axis: (F.col(f"_{axis}_best"), F.col(f"_{axis}_gap"))
+    made = {
+        "subject": hybrid_subject(subject(t, F.lit(None).cast("string"), rules), captioned("subject"), *near("subject")),
+        "style": hybrid_style(t, style(t), F.coalesce(sentence, F.lit("")), captioned("style"), *near("style")),
+        "camera": hybrid_camera(camera(t), *near("camera")),
+    }
+    return out.withColumns(made).select(*rows.columns, *made)

@@ -79,6 +79,54 @@ def guided(positive: Column, negative: Column, scale: float) -> Column:
     return F.zip_with(positive, negative, lambda p, n: p + scale * (p - n))
 
 
+def guided_capped(positive: Column, negative: Column, scale: float, cap: float) -> Column:
+    """Guidance whose norm is at most ``cap`` times that of the positive part; no cap if that is 0."""
+    from lumenloom.operators.vectors import norm
+
+    out = guided(positive, negative, scale)
+    if cap <= 0:
+        return out
+    most, own = norm(positive) * cap, norm(out)
+    return F.when(own > most, F.transform(out, lambda x: x * (most / own))).otherwise(out)
+
+
+def discrete_logit_normal(normal: Column, steps: int) -> Column:
+    """A step of a schedule from a standard normal number: its sigmoid's place among the steps."""
+    return F.floor(F.least(F.greatest(steps / (1 + F.exp(-normal)), F.lit(0.0)), F.lit(steps - 1.0)))
+
+
+def student_step(key: Column, step: Column, timesteps: list[int], warmup: int, seed: int = 42) -> Column:
+    """A timestep drawn by weights that depend on the training step: the last two evenly during the warm-up,
+    then the first seven times in ten and the others evenly."""
+    from lumenloom.operators.sampling import weighted_pick
+
+    n = len(timesteps)
+    early = list(zip(timesteps[-2:], [0.5, 0.5][-n:], strict=True))
+    late = [(timesteps[0], 0.7), *[(t, 0.3 / max(1, n - 1)) for t in timesteps[1:]]]
+    return F.when(step < warmup, weighted_pick(key, early, seed)).otherwise(weighted_pick(key, late, seed))
+
+
+def relative_l1(now: Column, before: Column) -> Column:
+    """The mean absolute difference of two vectors against the mean absolute element of the earlier one."""
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))) / F.size(v)
+    apart = F.zip_with(now, before, lambda a, b: a.cast("double") - b.cast("double"))
+    return mean(apart) / (mean(before) + 1e-6)
+
+
+def polynomial(x: Column, coefficients: list[float]) -> Column:
+    """The coefficients from the highest power to the constant, by Horner's rule."""
+    out = F.lit(0.0)
+    for c in coefficients:
+        out = out * x + c
+    return out
+
+
+def clip_threshold(norm: Column, most: Column, step: Column, start: int, abnormal: float = 5.0, least: float = 10.0) -> Column:
+    """The clipping threshold: beyond the start, a norm abnormally far above it lowers it, by ``least`` times at most."""
+    ratio = norm / most
+    return F.when((ratio > abnormal) & (step > start), most / F.least(ratio, F.lit(least))).otherwise(most)
+
+
 def hinge(real: Column, fake: Column) -> Column:
     """Mean hinge loss of a discriminator: an aggregate."""
     return F.avg(F.greatest(F.lit(0.0), 1 - real)) + F.avg(F.greatest(F.lit(0.0), 1 + fake))

@@ -293,6 +293,18 @@ def patches(image: Column, height: int, width: int, size: int = 2) -> Column:
     return F.transform(grid, patch)
 
 
+def unpatched(cut: Column, height: int, width: int, size: int = 2) -> Column:
+    """The row-major image whose ``patches`` these are."""
+    per = width // size
+
+    def pixel(q: Column) -> Column:
+        row, column = F.floor(q / width), q % width
+        patch = F.floor(row / size) * per + F.floor(column / size)
+        return F.element_at(F.element_at(cut, (patch + 1).cast("int")), ((row % size) * size + column % size + 1).cast("int"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), pixel)
+
+
 def pixels(v: Column) -> Column:
     """[-1, 1] to 0..255, halves to even."""
     return F.transform(v, lambda x: F.bround(F.least(F.greatest(x.cast("double") / 2 + 0.5, F.lit(0.0)), F.lit(1.0)) * 255).cast("int"))

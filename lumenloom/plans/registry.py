@@ -24,7 +24,7 @@ def query(sql: str | None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from lumenloom.plans import corpus, extras, numbers, storage  # noqa: F401
+    from lumenloom.plans import corpus, extras, models, numbers, storage  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -78,6 +78,7 @@ def tokens(text: Column, lang: Column) -> Column:
     return F.when(lang == "zh", grams).otherwise(words(F.lower(text)))
 
 
+# Fixed value: the opening of a descriptive caption.
 CAPTION = r"(?is)^(?:the|this)\s+image\s+(?:displays?|shows?|features?|captures?|depicts?|presents?|is)\s+(.*)$"
 
 
@@ -116,11 +117,15 @@ def listed_words(text: Column, listed: list[str]) -> Column:
     return F.size(F.filter(words(F.lower(text)), lambda w: F.array_contains(F.array(*[F.lit(x) for x in listed]), w))).cast("bigint")
 
 
+# Fixed value: the number before a list's item.
+LIST_NUMBER = r"^\d+[\.\)\-]\s*"
+
+
 def generated_lines(text: Column) -> Column:
     """The lines of a generated answer: trimmed, blank lines and comments dropped, list numbers removed."""
     lines = F.transform(F.split(text, "\n"), strip)
     kept = F.filter(lines, lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
-    return F.transform(kept, lambda x: F.regexp_replace(x, r"^\d+[\.\)\-]\s*", ""))
+    return F.transform(kept, lambda x: F.regexp_replace(x, LIST_NUMBER, ""))
 
 
 def slug(text: Column, most: int = 60) -> Column:

@@ -9,6 +9,7 @@ from lumenloom import schema
 from lumenloom.functions import text as T
 from lumenloom.operators import classify as C
 from lumenloom.operators import dedup, filters, report, sampling
+from lumenloom.operators.components import connected_components
 from lumenloom.operators.skew import join_skewed
 from lumenloom.plans.registry import query
 from lumenloom.session import read_table
@@ -19,11 +20,14 @@ STEXT = STRIP.format(t="text")
 WORDS = r"len(list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <> ''))"
 WTEXT = WORDS.format(t="text")
 URLS = "len(regexp_extract_all(text, 'https?://'))"
-PHRASES = "stock photo|getty images|shutterstock|alamy|dreamstime|istock|adobe stock|123rf"
+PHRASES = "|".join(T.BOILERPLATE)
 SHARE = rf"(length(regexp_replace({STEXT}, '[^\p{{L}}\s]', '', 'g')) / greatest(length({STEXT}), 1))"
 QUALITY = rf"""coalesce({STEXT} <> '' AND (CASE WHEN lang = 'zh' THEN length({STEXT}) >= 15 ELSE {WTEXT} BETWEEN 8 AND 200 END)
   AND {URLS} < 2 AND NOT regexp_matches(lower(text), '{PHRASES}') AND {SHARE} >= 0.7, false)"""
 HASH = "md5(concat(row_id, ':{seed}'))"
+# Words that count as visual detail.
+VISUAL = ["red", "blue", "green", "golden", "marble", "wooden", "glass", "dramatic", "soft", "ambient", "neon", "sunset", "shadow", "reflection", "texture", "metallic", "matte"]
+VISUAL_SQL = ",".join(f"'{w}'" for w in VISUAL)
 
 
 def _meta(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,15 +79,13 @@ def text_profile(spark, folder):
 @query(r"""
 SELECT row_id, len(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]+')))::BIGINT AS proper,
   len(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[0-9]+')))::BIGINT AS numbers,
-  len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w IN ('red','blue','green','golden','marble','wooden','glass','dramatic','soft','ambient','neon','sunset','shadow','reflection','texture','metallic','matte')))::BIGINT AS visual
-FROM metadata_10""")
+  len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w IN (@visual)))::BIGINT AS visual
+FROM metadata_10""".replace("@visual", VISUAL_SQL))
 def specificity(spark, folder):
     t = F.col("text")
     return _meta(spark, folder).select("row_id", T.proper_nouns(t).alias("proper"), T.numbers(t).alias("numbers"), T.listed_words(t, VISUAL).alias("visual"))
 
 
-# Words that count as visual detail.
-VISUAL = ["red", "blue", "green", "golden", "marble", "wooden", "glass", "dramatic", "soft", "ambient", "neon", "sunset", "shadow", "reflection", "texture", "metallic", "matte"]
 #: Source priors are a parameter; sources that aren't named count 0.3.
 PRIORS = {"denseleaf": 0.75, "recapgrove": 0.5, "promptwell": 0.6, "shareview": 0.8, "handnotes": 1.0}
 
@@ -100,11 +102,11 @@ def quality_score(text, source, priors):
 @query(r"""
 WITH p AS (SELECT row_id, source, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n,
   len(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]+') OR regexp_full_match(w, '[0-9]+'))) AS s,
-  len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w IN ('red','blue','green','golden','marble','wooden','glass','dramatic','soft','ambient','neon','sunset','shadow','reflection','texture','metallic','matte'))) AS v
+  len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w IN (@visual))) AS v
   FROM metadata_10 WHERE text IS NOT NULL)
 SELECT row_id, round((CASE WHEN n BETWEEN 15 AND 60 THEN 0.3::DOUBLE WHEN n BETWEEN 10 AND 80 THEN 0.15 ELSE 0 END)
   + 0.2::DOUBLE * (CASE source WHEN 'denseleaf' THEN 0.75::DOUBLE WHEN 'recapgrove' THEN 0.5 WHEN 'promptwell' THEN 0.6 WHEN 'shareview' THEN 0.8 WHEN 'handnotes' THEN 1.0 ELSE 0.3 END)
-  + 0.25::DOUBLE * least(v / 5.0::DOUBLE, 1) + 0.25::DOUBLE * least(s / 4.0::DOUBLE, 1), 6) AS score FROM p""")
+  + 0.25::DOUBLE * least(v / 5.0::DOUBLE, 1) + 0.25::DOUBLE * least(s / 4.0::DOUBLE, 1), 6) AS score FROM p""".replace("@visual", VISUAL_SQL))
 def quality_scores(spark, folder):
     rows = _meta(spark, folder).where("text is not null")
     return rows.select("row_id", F.round(quality_score(F.col("text"), F.coalesce("source", F.lit("")), PRIORS), 6).alias("score"))
@@ -557,13 +559,41 @@ c AS (SELECT i.item_id, i.text, coalesce(c.component, -1 - i.item_id) AS g FROM
 SELECT item_id FROM c QUALIFY row_number() OVER (PARTITION BY g ORDER BY length(text) DESC, item_id) = 1""")
 def near_dup_survivors(spark, folder):
     """Components of similar texts; the longest of each survives, the smallest id among equals."""
-    from lumenloom.operators.components import connected_components
-
     items = read_table(spark, folder, "benchmark_stage").select("item_id", "text")
     found = connected_components(dedup.word_pairs(items, "item_id", "text"), "id_a", "id_b")
     return dedup.survivors(items, found.select(F.col("vertex").alias("id"), "component"), "item_id", "text").select("item_id")
 
 
+_ITEMS = r"""
+low AS (SELECT raw_id, lower(text) AS t FROM raw_harvest WHERE text IS NOT NULL),
+w AS (SELECT DISTINCT raw_id, t, unnest(list_distinct(list_concat(
+  regexp_extract_all(regexp_replace(t, '[\x{4e00}-\x{9fff}]+', ' ', 'g'), '[\p{L}\p{N}]+'),
+  flatten(list_transform(regexp_extract_all(t, '[\x{4e00}-\x{9fff}]+'), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END))))) AS item FROM low),
+s AS (SELECT raw_id, t, count(*) AS n FROM w GROUP BY 1, 2),
+o AS (SELECT a.raw_id AS a, b.raw_id AS b, a.t AS ta, b.t AS tb, count(*) AS o FROM w a JOIN w b ON a.item = b.item GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"""
+WITH RECURSIVE {_ITEMS},
+links AS (SELECT DISTINCT a, b FROM o JOIN s x ON x.raw_id = a AND x.t = ta JOIN s y ON y.raw_id = b AND y.t = tb WHERE o * 1000 >= 700 * (x.n + y.n - o)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT a AS raw_id, min(b) AS first_id FROM reach GROUP BY a""")
+def near_dup_groups(spark, folder):
+    """Near-duplicates over the raw harvest, without loss: each id with the smallest one of its group."""
+    groups = dedup.alike_groups(_raw(spark, folder), "raw_id", "text")
+    # an id that was delivered with several texts ties their groups together
+    tied = groups.groupBy("id").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    ties = connected_components(tied.where("low <> high").select("low", "high").unionByName(_middle(groups, tied)), "low", "high")
+    placed = groups.join(ties.select(F.col("vertex").alias("component"), F.col("component").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("group")).distinct()
+    first = placed.groupBy("group").agg(F.min("id").alias("first_id"))
+    return join_skewed(placed, first, ["group"]).groupBy("id").agg(F.min("first_id").alias("first_id")).select(F.col("id").alias("raw_id"), "first_id")
+
+
+def _middle(groups: DataFrame, tied: DataFrame) -> DataFrame:
+    """The further groups of an id that is in more than two."""
+    return groups.join(tied.where("low <> high"), "id").where("component <> low").select("low", F.col("component").alias("high"))
+
+
 @query(None)
 def banded_near_dups(spark, folder):
     """Near-duplicates over the raw harvest, without loss: ids and their component."""

@@ -125,13 +125,35 @@ def mmr_selection(spark, folder):
     return vectors.mmr(_vectors(spark, folder), "vec_id", "label", "embedding", 5)
 
 
+@query(f"""
+WITH sizes AS (SELECT label, count(*) AS size FROM embeddings GROUP BY label), total AS (SELECT count(*) AS n FROM embeddings),
+a AS (SELECT label, CASE WHEN n <= 40 THEN size ELSE least((least(2, size) + 20 * size / n::DOUBLE)::DOUBLE, size) END AS alloc FROM sizes CROSS JOIN total),
+m AS ({_mmr_sql(6)})
+SELECT m.cell, m.id, m.rank FROM m JOIN a ON a.label = m.cell WHERE m.rank <= floor(a.alloc)""")
+def weighted_selection(spark, folder):
+    """Rows by weighted allocation to the cells, chosen within each by maximal marginal relevance."""
+    rows = _vectors(spark, folder)
+    alloc = sampling.weighted_allocation(rows, ["label"], 40, 2, 10).select(F.col("label").alias("cell"), "alloc")
+    chosen = vectors.mmr(rows, "vec_id", "label", "embedding", int(alloc.agg(F.max("alloc")).collect()[0][0] or 0))
+    return chosen.join(F.broadcast(alloc), "cell").where("rank <= alloc").select("cell", "id", "rank")  # a row a cell
+
+
 @query(None)
 def kmeans_clusters(spark, folder):
     rows = _vectors(spark, folder)
     return vectors.kmeans(rows, "vec_id", "embedding", rows.count())
 
 
-@query(None)
+@query(f"""
+WITH RECURSIVE v AS (SELECT label, vec_id, embedding, ('0x' || left(md5(concat(vec_id, ':42')), 7))::BIGINT / 268435456.0::DOUBLE AS score, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+near AS (SELECT a.label, a.i, list(b.i) FILTER (b.score <= a.score) AS lower, list(b.i) FILTER (b.score > a.score) AS higher FROM v a JOIN v b ON a.label = b.label AND a.i < b.i WHERE {_DOT.format(a='a.embedding', b='b.embedding')} > 0.3 GROUP BY 1, 2),
+r(label, i, gone) AS (
+  SELECT DISTINCT label, 0::BIGINT, []::BIGINT[] FROM v
+  UNION ALL SELECT r.label, v.i, CASE WHEN list_contains(r.gone, v.i) OR n.i IS NULL THEN r.gone
+    ELSE list_concat(r.gone, list_concat(coalesce(n.lower, []), CASE WHEN len(list_filter(coalesce(n.higher, []), lambda x: NOT list_contains(r.gone, x))) > 0 THEN [v.i] ELSE [] END)) END
+  FROM r JOIN v ON v.label = r.label AND v.i = r.i + 1 LEFT JOIN near n ON n.label = v.label AND n.i = v.i),
+last AS (SELECT label, arg_max(gone, i) AS gone FROM r GROUP BY label)
+SELECT vec_id AS id FROM v JOIN last USING (label) WHERE NOT list_contains(gone, v.i)""")
 def greedy_survivors(spark, folder):
     rows = _vectors(spark, folder).select(F.col("label").alias("cluster"), F.col("vec_id").alias("id"), T.hash_uniform(F.col("vec_id")).alias("score"), F.col("embedding").alias("vector"))
     return greedy_within(rows, 0.3)

@@ -53,9 +53,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     write_table(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumenloom_path = path
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return out
 
 
+#: Tables that ``materialize`` has written and nobody has deleted, by application.
+_written: dict[str, set[str]] = {}
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete every intermediate table of the session that is still there, and say how many there were.
+
+    For the end of a job: lazy results that read such tables must have been written or collected.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, set())
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Write ``df``, in place of what is there; the write's shuffle files are deleted when it is done."""
     with _shuffles_deleted(df.sparkSession):
@@ -81,8 +102,8 @@ def discard(df: DataFrame) -> None:
     path = getattr(df, "_lumenloom_path", None)
     if path:
         spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, path)
+        _written.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -161,7 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_report": P5_REPORT, "p6_found": P6_FOUND, "p7_documents": P7_DOCUMENTS, "p7_updated_documents": P7_DOCUMENTS.replace("TRUE", "split = 'train'"), "p8_decoded": P8_DECODED}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_overlap_report": P2_OVERLAP, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_report": P5_REPORT, "p6_found": P6_FOUND, "p7_documents": P7_DOCUMENTS, "p7_updated_documents": P7_DOCUMENTS.replace("TRUE", "split = 'train'"), "p8_decoded": P8_DECODED}
 
 
 _ITEMS = r"""
@@ -181,6 +181,11 @@ P2_FOUND = f"""
 WITH {_ITEMS},
 p AS (SELECT a.row_id AS a, b.row_id AS b, count(*) AS o FROM w a JOIN w b ON a.item = b.item AND a.split IN ('val', 'test') AND b.split = 'train' GROUP BY 1, 2)
 SELECT least(a, b) AS row_id_a, greatest(a, b) AS row_id_b FROM p JOIN s x ON x.row_id = a JOIN s y ON y.row_id = b WHERE o * 10 >= 7 * (x.n + y.n - o)"""
+P2_OVERLAP = f"""
+WITH {_ITEMS},
+p AS (SELECT a.row_id AS a, b.row_id AS b, count(*) AS o FROM w a JOIN w b ON a.item = b.item AND a.split IN ('val', 'test') AND b.split = 'train' GROUP BY 1, 2),
+found AS (SELECT a, b FROM p JOIN s x ON x.row_id = a JOIN s y ON y.row_id = b WHERE o * 10 >= 7 * (x.n + y.n - o))
+SELECT m.split, regexp_replace(lower(m.source), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS source, count(DISTINCT a) AS overlapping, count(*) AS pairs FROM found JOIN metadata_10 m ON m.row_id = a GROUP BY 1, 2"""
 _BARE = r"regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]', '', 'g')"
 _PIECES = r"list_filter(regexp_split_to_array(text, '[;|\n\r]'), lambda x: regexp_matches(x, '\S'))"
 P6_FOUND = f"""

@@ -212,3 +212,89 @@ def test_skewed_join(spark, monkeypatch, how, hot_rows):
     found = skew.join_skewed(rows, table, ["k"], how)
     assert sorted(map(str, found.collect())) == sorted(map(str, rows.join(table, "k", how).select(found.columns).collect()))
     assert skew.join_skewed(rows.limit(0), table, ["k"], how).count() == 0
+
+
+def test_exact_row_is_an_error_without_one_match(spark):
+    schedule = spark.createDataFrame([(0, 1.0), (1, 0.5), (1, 0.4), (2, 0.0)], "i int, sigma double")
+    rows = spark.createDataFrame([(1, 0), (2, 2)], "id int, key int")
+    assert sorted((r["id"], r["sigma"]) for r in runlog.exact_row(rows, schedule, "key", "i").collect()) == [(1, 1.0), (2, 0.0)]
+    for key in (99, 1, None):  # none, two, no key
+        with pytest.raises(Exception, match="schedule rows for"):
+            runlog.exact_row(spark.createDataFrame([(1, key)], "id int, key int"), schedule, "key", "i").collect()
+    assert runlog.exact_row(rows.limit(0), schedule, "key", "i").count() == 0
+
+
+def test_tables_of_other_sizes_are_not_aligned(spark):
+    a, b = spark.range(5).toDF("a"), spark.range(10, 15).toDF("b")
+    assert sorted(map(tuple, sampling.aligned(a, b, ["a"], ["b"]).collect())) == [(i, 10 + i) for i in range(5)]
+    with pytest.raises(ValueError, match="aligned"):
+        sampling.aligned(a, b.limit(3), ["a"], ["b"])
+
+
+def brute_mmd(a, b, width):
+    def k(x, y):
+        return (x @ y.T / width + 1) ** 3
+
+    def own(x):
+        return (k(x, x).sum() - np.trace(k(x, x))) / (len(x) * (len(x) - 1))
+
+    return own(a) + own(b) - 2 * k(a, b).mean()
+
+
+def test_discrepancy_by_moments_and_by_subsets(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 5))
+    rows = [(i, v[i].tolist(), i % 2 == 0, 0) for i in range(60)] + [(100, [1.0] * 5, True, 1), (101, None, True, 0)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>, side boolean, s int").repartition(4)
+    found = {r["subset"]: r["mmd"] for r in vectors.poly_mmd(df, "v", F.col("side"), F.col("s"), 5).collect()}
+    assert abs(found[0] - brute_mmd(v[::2], v[1::2], 5)) < 1e-9 and found[1] is None
+    whole = vectors.subset_mmd(df.where("s = 0"), "id", "v", F.col("side"), 5, subsets=3, size=50).collect()
+    assert len(whole) == 3 and all(abs(r["mmd"] - brute_mmd(v[::2], v[1::2], 5)) < 1e-9 for r in whole)
+    assert vectors.poly_mmd(df.limit(0), "v", F.col("side"), F.col("s"), 5).count() == 0
+
+
+def test_pairs_of_a_large_cluster_meet_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(40, 4))
+    rows = [(i, 0 if i < 30 else 1, v[i].tolist()) for i in range(40)] + [(50, None, [1.0] * 4), (51, 0, None)]
+    df = spark.createDataFrame(rows, "id bigint, c int, v array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    expected = {(i, j) for i in range(40) for j in range(i + 1, 40) if (i < 30) == (j < 30) and unit[i] @ unit[j] > 0.2}
+    for block in (4096, 7):
+        monkeypatch.setattr(vectors, "CLUSTER_BLOCK", block)
+        found = [(r["id_a"], r["id_b"]) for r in vectors.cluster_pairs(df, "id", "c", "v", 0.2).collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_selection_has_no_cap_and_takes_all_of_a_small_cell(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 3))
+    rows = [(i, 0 if i < 57 else 1, v[i].tolist()) for i in range(60)] + [(None, 0, [0.0] * 3), (99, None, [0.0] * 3)]
+    got = vectors.mmr(spark.createDataFrame(rows, "id bigint, c int, v array<double>"), "id", "c", "v", 4).collect()
+    mine = sorted((r["rank"], r["id"]) for r in got if r["cell"] == 0)
+    part = v[:57]
+    near = part @ (part.mean(0) / np.linalg.norm(part.mean(0)))
+    taken = [int(near.argmax())]
+    while len(taken) < 4:
+        score = 0.5 * near - 0.5 * (part @ part[taken].T).max(1)
+        score[taken] = -np.inf
+        taken.append(int(score.argmax()))
+    assert mine == [(i + 1, t) for i, t in enumerate(taken)]
+    assert sorted(r["id"] for r in got if r["cell"] == 1) == [57, 58, 59]
+
+
+def test_sweep_deletes_what_is_left(spark):
+    from pathlib import Path
+
+    from lumenloom.session import discard, materialize, sweep
+
+    tables = [materialize(spark.range(3), "left") for _ in range(3)]
+    discard(tables[0])
+    assert sweep(spark) >= 2 and not any(Path(t._lumenloom_path.removeprefix("file:")).exists() for t in tables)
+    assert sweep(spark) == 0
+
+
+def test_patches_come_back(spark):
+    df = spark.createDataFrame([(list(range(24)),)], "v array<int>")
+    cut = vectors.patches(F.col("v"), 4, 6)
+    assert df.select(vectors.unpatched(cut, 4, 6).alias("v")).collect()[0]["v"] == list(range(24))

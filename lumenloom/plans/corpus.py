@@ -334,9 +334,7 @@ def words_by_slice(spark, folder):
 WITH d AS (SELECT * FROM metadata_10 QUALIFY row_number() OVER (PARTITION BY lower({STEXT}) ORDER BY row_id) = 1), q AS (SELECT * FROM d WHERE {QUALITY})
 SELECT 'input' AS stage, count(*) AS kept FROM metadata_10 UNION ALL SELECT 'deduplicated', count(*) FROM d UNION ALL SELECT 'filtered', count(*) FROM q""")
 def stage_accounting(spark, folder):
-    rows = _meta(spark, folder).select("row_id", "text", "lang")
-    deduped = dedup.exact_dedup(rows)
-    return report.stage_counts({"input": rows, "deduplicated": deduped, "filtered": deduped.where(filters.quality(F.col("text"), F.col("lang")))})
+    return report.dedup_accounting(_meta(spark, folder), F.md5(dedup.exact_key(F.col("text"))), "row_id", filters.quality(F.col("text"), F.col("lang")))
 
 
 # --- samples and splits ---

@@ -14,7 +14,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import text as T
-from lumenloom.operators import report, runlog, sampling, vectors
+from lumenloom.operators import generate, report, runlog, sampling, vectors
 from lumenloom.plans.numbers import FOLD, _run, _schedule, _stream
 from lumenloom.plans.registry import query
 from lumenloom.session import read_table
@@ -147,20 +147,62 @@ def text_embeddings(spark, folder):
     return read_table(spark, folder, "metadata_10").select("row_id", "text").mapInArrow(hashing_embedder(), "row_id bigint, embedding array<float>")
 
 
-@query(None)
-def gap_prompts(spark, folder):
-    """Template prompts for the coverage's gaps: a deterministic stand-in for a generating model, 25 a batch."""
+_GAPS = """
+g AS (SELECT s.code AS subject, t.code AS style, s.ord AS so, t.ord AS sto, lower(s.label) AS sl, lower(t.label) AS tl FROM taxonomy s CROSS JOIN taxonomy t WHERE s.axis = 'subject' AND t.axis = 'style'),
+c AS (SELECT g.*, count(m.row_id) AS n FROM g LEFT JOIN metadata_10 m ON m.subject = g.subject AND m.style = g.style GROUP BY ALL),
+need AS (SELECT *, 100 - n AS need FROM c WHERE n < 100 ORDER BY need DESC, so, sto LIMIT 20),
+m AS (SELECT subject, style, sl, tl, unnest(range(1, least(need, 25) + 1)) AS number FROM need),
+u AS (SELECT *, ('0x' || left(md5(concat(subject, '-', style, '-', number, ':42')), 7))::BIGINT / 268435456.0::DOUBLE AS u FROM m)"""
+_GAP_CAMERA = "CASE " + " ".join(f"WHEN u < {0.7 + i * 0.3 / 7!r}::DOUBLE THEN 'C{i + 1}'" for i in range(7)) + " ELSE 'C8' END"
+
+
+def _gap_rows(spark, folder):
+    """The cells of the coverage's gaps with their labels, one row for each prompt wanted, 25 a cell at most."""
     gaps = report.gaps(report.coverage_grid(read_table(spark, folder, "metadata_10"), read_table(spark, folder, "taxonomy")), 100)
     names = read_table(spark, folder, "taxonomy")
     label = lambda axis, c: F.broadcast(names.where(F.col("axis") == axis).select(F.col("code").alias(c), F.lower("label").alias(f"{c}_label")))
     rows = gaps.join(label("subject", "subject"), "subject").join(label("style", "style"), "style")
     each = F.explode(F.sequence(F.lit(1), F.least(F.col("need"), F.lit(25)).cast("int"))).alias("number")
-    made = rows.select("subject", "style", "subject_label", "style_label", each)
+    return rows.select("subject", "style", "subject_label", "style_label", each)
+
+
+@query(f"WITH {_GAPS} SELECT subject, style, {_GAP_CAMERA} AS camera, number || '. ' || sl || ' in the manner of ' || tl AS text FROM u")
+def gap_prompts(spark, folder):
+    """Template prompts for the coverage's gaps: a deterministic stand-in for a generating model, 25 a batch."""
+    made = _gap_rows(spark, folder)
     key = F.concat_ws("-", "subject", "style", F.col("number").cast("string"))
     camera = sampling.weighted_pick(key, [("C1", 0.7), *[(f"C{i}", 0.3 / 7) for i in range(2, 9)]])
     return made.select("subject", "style", camera.alias("camera"), F.format_string("%d. %s in the manner of %s", "number", "subject_label", "style_label").alias("text"))
 
 
+@query(f"WITH {_GAPS} SELECT subject, style, lang, replace(replace(CASE WHEN lang = 'zh' THEN '{{a}}，以{{b}}的风格' ELSE '{{a}} in the manner of {{b}}' END, '{{a}}', sl), '{{b}}', tl) AS text FROM (SELECT *, CASE WHEN number > least(need, 25) - floor(least(need, 25) * 0.3) THEN 'zh' ELSE 'en' END AS lang FROM m JOIN need USING (subject, style, sl, tl))")
+def gap_prompts_by_language(spark, folder):
+    """Three tenths of a cell's prompts in Chinese, asked of a model that fails now and then and is asked again."""
+    made = _gap_rows(spark, folder)
+    window = Window.partitionBy("subject", "style")  # 25 rows at most
+    rows = made.withColumn("most", F.count(F.lit(1)).over(window))
+    rows = rows.withColumn("lang", F.when(F.col("number") > F.col("most") - F.floor(F.col("most") * 0.3), "zh").otherwise("en"))
+    asked = rows.select("subject", "style", "lang", F.to_json(F.struct("subject_label", "style_label", "lang")).alias("request"))
+    return generate.generated(asked, "request", template_model, "text", pause=0.0).select("subject", "style", "lang", "text")
+
+
+def template_model():
+    """A model that fills templates; every third call fails, as one behind a network would."""
+    import json
+
+    calls = [0]
+
+    def answer(request: str) -> str:
+        calls[0] += 1
+        if calls[0] % 3 == 0:
+            raise TimeoutError("try again")
+        r = json.loads(request)
+        form = "{}，以{}的风格" if r["lang"] == "zh" else "{} in the manner of {}"
+        return form.format(r["subject_label"], r["style_label"])
+
+    return answer
+
+
 @query("""
 WITH p AS (SELECT row_id, (row_number() OVER (ORDER BY row_id) - 1) // 64 AS batch FROM metadata_10)
 SELECT batch::BIGINT AS batch, list(row_id ORDER BY row_id) AS ids, count(*) AS n FROM p GROUP BY batch HAVING count(*) = 64""")

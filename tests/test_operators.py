@@ -298,3 +298,30 @@ def test_patches_come_back(spark):
     df = spark.createDataFrame([(list(range(24)),)], "v array<int>")
     cut = vectors.patches(F.col("v"), 4, 6)
     assert df.select(vectors.unpatched(cut, 4, 6).alias("v")).collect()[0]["v"] == list(range(24))
+
+
+def test_generation_asks_again(spark):
+    from lumenloom.operators import generate
+
+    calls = []
+
+    def answer(request):
+        calls.append(request)
+        if request == "never" or calls.count(request) < 3:
+            raise ValueError
+        return request.upper()
+
+    assert [generate.ask(answer, r, 3, 0.0) for r in ("late", "never", None)] == ["LATE", None, None]
+    assert calls.count("never") == 3
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, r string")
+    assert sorted(map(str, (tuple(r) for r in generate.generated(df, "r", lambda: str.upper, "text").collect()))) == ["(1, 'a', 'A')", "(2, None, None)"]
+
+
+def test_accounting_of_empty_and_repeated_rows(spark):
+    from lumenloom.operators import report
+
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b")], "id int, k string")
+    got = {r["stage"]: r["kept"] for r in report.dedup_accounting(df, F.col("k"), "id", F.col("k") != "b").collect()}
+    assert got == {"input": 4, "deduplicated": 3, "filtered": 1}
+    got = {r["stage"]: r["kept"] for r in report.dedup_accounting(df.limit(0), F.col("k"), "id", F.lit(True)).collect()}
+    assert got == {"input": 0, "deduplicated": 0, "filtered": 0}

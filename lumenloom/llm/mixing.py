@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions.text import bare
-from lumenloom.llm.thresholds import FIRST_WIDTH, bucket, end_of, narrowed, place
+from lumenloom.llm.thresholds import FIRST_WIDTH, bucket, draw, end_of, narrowed, place
 
 REPORT = (
     "mix_id string, source string, target_permille int, max_repeats int, budget bigint, wanted bigint, have bigint, "
@@ -24,7 +24,7 @@ REPORT = (
 
 def sized(rows: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """Records with their size in code points and hash bucket; null texts have no size and are left out."""
-    hashed = F.xxhash64(F.lit(7), F.col(id_col).cast("bigint"))
+    hashed = draw(F.col(id_col), 7)
     return rows.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), bare(F.col(source_col)).alias("name"), F.char_length(text_col).cast("bigint").alias("size"), hashed.alias("hash")
     ).withColumn("bucket", bucket(F.col("hash")))

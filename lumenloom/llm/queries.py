@@ -161,7 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_overlap_report": P2_OVERLAP, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_report": P5_REPORT, "p6_found": P6_FOUND, "p7_documents": P7_DOCUMENTS, "p7_updated_documents": P7_DOCUMENTS.replace("TRUE", "split = 'train'"), "p8_decoded": P8_DECODED}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_overlap_report": P2_OVERLAP, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_report": P5_REPORT, "p5_mix": P5_MIX, "p5_shares": P5_SHARES, "p6_found": P6_FOUND, "p7_documents": P7_DOCUMENTS, "p7_updated_documents": P7_DOCUMENTS.replace("TRUE", "split = 'train'"), "p8_decoded": P8_DECODED}
 
 
 _ITEMS = r"""
@@ -225,6 +225,15 @@ plan AS (
   LEFT JOIN have h ON h.name = regexp_replace(lower(p.source), '[^\\p{L}\\p{N}]', '', 'g'))
 """
 P5_FOUND = _MIX + "SELECT mix_id, source FROM plan WHERE have * max_repeats * 1000 < target_permille * budget"
+_MIXED = _MIX + """,
+goals AS (SELECT mix_id, regexp_replace(lower(source), '[^\\p{L}\\p{N}]', '', 'g') AS name, have, least(target_permille * budget // 1000, have * max_repeats) AS goal FROM plan WHERE have > 0),
+r AS (SELECT row_id, regexp_replace(lower(source), '[^\\p{L}\\p{N}]', '', 'g') AS name, length(text) AS size, left(md5(concat(row_id, ':7')), 15) AS draw FROM metadata_10 WHERE split = 'train' AND text IS NOT NULL),
+w AS (SELECT g.*, r.row_id, r.size, sum(r.size) OVER (PARTITION BY g.mix_id, g.name ORDER BY r.draw, r.row_id, r.size ROWS UNBOUNDED PRECEDING) AS run FROM goals g JOIN r USING (name)),
+mix AS (SELECT mix_id, name, row_id, size, goal // have + CASE WHEN goal % have > 0 AND run <= goal % have THEN 1 ELSE 0 END AS copies FROM w)
+"""
+P5_MIX = _MIXED + "SELECT mix_id, row_id, copies::BIGINT AS copies FROM mix WHERE copies > 0"
+P5_SHARES = _MIXED + """, s AS (SELECT mix_id, name AS source, count(*) AS records, sum(size * copies)::BIGINT AS size FROM mix WHERE copies > 0 GROUP BY 1, 2)
+SELECT mix_id, source, records, size, size * 1000.0::DOUBLE / sum(size) OVER (PARTITION BY mix_id) AS permille FROM s"""
 P5_REPORT = _MIX + "SELECT mix_id, source, budget, target_permille * budget // 1000 AS wanted, have FROM plan"
 P7_DOCUMENTS = f"""
 SELECT {_BARE.format(x='source')} AS source, f.lang AS lang, upper(trim(coalesce(subject, ''))) AS subject, count(*) AS documents

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenloom.llm.thresholds import FIRST_WIDTH, bucket, end_of, narrowed, place
+from lumenloom.llm.thresholds import FIRST_WIDTH, bucket, draw, end_of, narrowed, place
 from lumenloom.session import materialize
 
 #: Rounds of the proportional fitting.
@@ -52,7 +52,7 @@ class Plans:
 def reservoirs(rows: DataFrame, id_col: str, plans: Plans) -> DataFrame:
     """The rows' ids with their category (a code on each axis, '' for one that no plan names) and priority, written once."""
     cells = [F.when(code(F.col(axis)).isin(plans.codes[axis]), code(F.col(axis))).otherwise("").alias(f"c{i}") for i, axis in enumerate(plans.axes)]
-    priority = F.xxhash64(F.lit(42), F.col(id_col).cast("bigint"))
+    priority = draw(F.col(id_col), 42)
     return materialize(rows.select(F.col(id_col).alias("id"), *cells, priority.alias("priority")), "reservoirs")
 
 

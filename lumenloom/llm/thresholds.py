@@ -1,6 +1,6 @@
 """Draws by hash threshold: where a budget ends is found from histograms, and only that end is looked at closely.
 
-A row's place is the upper 36 bits of its hash. A histogram over the upper 12 of them tells in which
+A row's draw is 60 bits of an md5 digest, the same in any engine; its place is the upper 36 of them. A histogram over the upper 12 of them tells in which
 bucket a budget ends. While that bucket holds more rows than one task ranks, a second and a third
 histogram over the next 12 bits narrow it, so the rows ranked are a 4,096th, a 16-millionth or less of
 their category, whatever the category's size.
@@ -19,13 +19,19 @@ BUCKETS, FIRST_WIDTH = 1 << 12, 1 << 24
 EDGE_ROWS = 50_000
 
 
-def place(hash_: Column) -> Column:
-    return F.shiftrightunsigned(hash_, 28)
+def draw(key: Column, seed: int) -> Column:
+    """60 bits of the digest of a row's key; a null key has a draw like any other."""
+    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
-def bucket(hash_: Column) -> Column:
+def place(drawn: Column) -> Column:
+    return F.shiftright(drawn, 24)
+
+
+def bucket(drawn: Column) -> Column:
     """The bucket of the first histogram."""
-    return F.shiftrightunsigned(hash_, 52).cast("int")
+    return F.shiftright(drawn, 48).cast("int")
 
 
 def end_of(buckets: np.ndarray, amounts: np.ndarray, rows: np.ndarray, goal: int, width: int) -> tuple[int, int, int, int]:

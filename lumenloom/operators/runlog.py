@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import text as T
+from lumenloom.operators.skew import broadcast_small, small
 
 
 def running_best(df: DataFrame, run: str, order: list[str], metric: str) -> DataFrame:
@@ -142,7 +143,7 @@ def nearest_row(left: DataFrame, right: DataFrame, key: str, other: str, order:
     equals. The right side is a schedule, some tens of rows: it travels as one row, nothing is shuffled."""
     row = F.struct(*[F.col(c) for c in right.columns])
     table = right.agg(F.collect_list(F.struct(F.col(other).alias("at"), F.col(order).alias("o"), row.alias("r"))).alias("_rows"))
-    apart = F.transform("_rows", lambda c: F.struct(F.abs(F.col(key) - c["at"]).alias("d"), c["o"].alias("o"), c["r"].alias("r")))
+    apart = F.transform(small(F.col("_rows"), "schedule"), lambda c: F.struct(F.abs(F.col(key) - c["at"]).alias("d"), c["o"].alias("o"), c["r"].alias("r")))
     return left.crossJoin(F.broadcast(table)).withColumn("_best", F.array_min(apart)["r"]).select(*left.columns, "_best.*")
 
 
@@ -150,7 +151,7 @@ def exact_row(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFr
     """``left`` joined with the one row of ``right`` (a schedule, some tens of rows) whose ``other`` equals
     ``key``. A key without such a row, a null one included, or with several is an error, raised when the row is read."""
     table = right.groupBy(F.col(other).alias("_at")).agg(F.count(F.lit(1)).alias("_times"), F.first(F.struct(*[F.col(c) for c in right.columns])).alias("_row"))
-    joined = left.join(F.broadcast(table), F.col(key) == F.col("_at"), "left")
+    joined = left.join(broadcast_small(table, "schedule"), F.col(key) == F.col("_at"), "left")
     wrong = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     times = F.coalesce(F.col("_times"), F.lit(0))
     guard = F.when(times == 1, F.col("_row")).otherwise(F.raise_error(F.concat(F.lit("schedule rows for "), wrong, F.lit(": "), times.cast("string"))).cast(table.schema["_row"].dataType))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import text as T
+from lumenloom.operators.skew import broadcast_small
 
 #: Hash buckets of a stratum (two hex digits of the hash order).
 RANK_BUCKETS = 256
@@ -75,7 +76,7 @@ def stratified_sample(df: DataFrame, strata: list[str], key: str, n: int, seed:
     condition = same[0]
     for c in same[1:]:
         condition = condition & c
-    marked = ranked.join(F.broadcast(quota), condition).drop(*[quota[s] for s in strata])
+    marked = ranked.join(broadcast_small(quota, "quotas of strata"), condition).drop(*[quota[s] for s in strata])
     # chosen rows first, all in hash order: the first n
     order = marked.withColumn("_late", F.when(F.col("_rank") <= F.col("_quota"), 0).otherwise(1))
     return order.orderBy("_late", T.hash_order(F.col(key), seed + 1), key).limit(n).select(df.columns)

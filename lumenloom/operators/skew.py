@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a key that may meet in one task, and the most keys that are told to every task instead.
 HOT_ROWS, HOT_KEYS = 200_000, 100_000
 
 
+#: Rows of a table that goes to every task as one value (labels, a schedule, quotas of strata).
+SMALL_ROWS = 100_000
+
+
+def small(rows: Column, what: str) -> Column:
+    """An array that a whole table was put into, checked: more than SMALL_ROWS elements are an error when it is read."""
+    said = F.concat(F.lit(f"{what}: "), F.size(rows).cast("string"), F.lit(f" rows, at most {SMALL_ROWS} go to every task"))
+    return F.when(F.size(rows) <= SMALL_ROWS, rows).otherwise(F.raise_error(said))
+
+
+def broadcast_small(table: DataFrame, what: str) -> DataFrame:
+    """The table, marked for broadcast after a look at whether it is small."""
+    if table.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
+        raise ValueError(f"{what}: more than {SMALL_ROWS} rows, too many for every task")
+    return F.broadcast(table)
+
+
 def join_skewed(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with ``table``, which has at most one row a key; ``how`` is inner or left.
 

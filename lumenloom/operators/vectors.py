@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import text as T
+from lumenloom.operators.skew import broadcast_small, small
 from lumenloom.session import discard, materialize
 
 
@@ -54,7 +55,7 @@ def scored(df: DataFrame, vector: str, labels: DataFrame) -> DataFrame:
     labels (ord, centroid) are a taxonomy's axis, some tens of rows: they are put into one row, so scoring
     is a projection and no vector is shuffled."""
     table = labels.agg(F.collect_list(F.struct("ord", "centroid")).alias("_labels"))
-    pairs = F.transform("_labels", lambda c: F.struct(dot(F.col(vector), c["centroid"]).alias("score"), (-c["ord"]).alias("back")))
+    pairs = F.transform(small(F.col("_labels"), "labels"), lambda c: F.struct(dot(F.col(vector), c["centroid"]).alias("score"), (-c["ord"]).alias("back")))
     return df.crossJoin(F.broadcast(table)).withColumn("scores", pairs).drop("_labels")
 
 
@@ -208,7 +209,7 @@ def cluster_pairs(df: DataFrame, id_col: str, cluster: str, vector: str, above:
     quadratic in a cluster: see ``kmeans``. Null ids, clusters and vectors are in no pair."""
     rows = df.select(F.col(id_col).alias("id"), F.col(cluster).alias("c"), F.col(vector).alias("v")).where("id is not null and c is not null and v is not null")
     blocks = rows.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK).cast("int").alias("blocks"))
-    placed = rows.join(F.broadcast(blocks), "c").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))  # one row a cluster
+    placed = rows.join(broadcast_small(blocks, "clusters"), "c").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     cells = placed.select("id", "c", "v", "mine", other).select("id", "c", "v", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
 
@@ -255,7 +256,7 @@ def mmr(df: DataFrame, id_col: str, cell: str, vector: str, most: int, balance:
     centre = materialize(mean.select("cell", F.transform("centroid", lambda x: x / (norm(F.col("centroid")) + 1e-8)).alias("centre")), "centres")
     taken = centre.select("cell", "centre", F.array().cast("array<bigint>").alias("ids"), F.array().cast(f"array<{rows.schema['v'].dataType.simpleString()}>").alias("vectors"))
     for _ in range(most):
-        open_ = rows.join(F.broadcast(taken), "cell").where(~F.array_contains("ids", F.col("id")))
+        open_ = rows.join(broadcast_small(taken, "cells"), "cell").where(~F.array_contains("ids", F.col("id")))
         near = dot(F.col("v"), F.col("centre"))
         worst = F.array_max(F.transform("vectors", lambda t: dot(F.col("v"), t)))
         score = F.when(F.size("ids") == 0, near).otherwise(balance * near - (1 - balance) * worst)

@@ -325,3 +325,17 @@ def test_accounting_of_empty_and_repeated_rows(spark):
     assert got == {"input": 4, "deduplicated": 3, "filtered": 1}
     got = {r["stage"]: r["kept"] for r in report.dedup_accounting(df.limit(0), F.col("k"), "id", F.lit(True)).collect()}
     assert got == {"input": 0, "deduplicated": 0, "filtered": 0}
+
+
+def test_what_goes_to_every_task_is_small(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SMALL_ROWS", 3)
+    rows = spark.createDataFrame([(1, 0.2)], "id int, at double")
+    schedule = spark.createDataFrame([(i, i / 10) for i in range(4)], "i int, sigma double")
+    with pytest.raises(Exception, match="at most 3 go to every task"):
+        runlog.nearest_row(rows, schedule, "at", "sigma", "i").collect()
+    assert runlog.nearest_row(rows, schedule.limit(3), "at", "sigma", "i").count() == 1
+    with pytest.raises(ValueError, match="schedule"):
+        runlog.exact_row(rows, schedule, "id", "i")
+    many = spark.createDataFrame([(i, str(i)) for i in range(9)], "row_id int, s string")
+    with pytest.raises(ValueError, match="quotas"):
+        sampling.stratified_sample(many, ["s"], "row_id", 5)

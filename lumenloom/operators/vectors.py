@@ -44,8 +44,38 @@ def masked(rows: Column, mask: Column) -> Column:
 
 
 def centroids(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
-    """``by..., centroid``: mean vector of each group, element-wise, combined before the shuffle."""
-    long = df.select(*by, F.posexplode(vector).alias("_pos", "_x")).groupBy(*by, "_pos").agg(F.avg(F.col("_x").cast("double")).alias("_mean"))
+    """``by..., centroid``: mean vector of each group, element-wise. Every batch of rows becomes one row of
+    sums for each of its groups where it lies, so it is sums that are taken apart and shuffled, not vectors.
+    Null vectors and null elements count nowhere; null groups are groups; no rows give no rows (a null
+    centroid without ``by``)."""
+    rows = df.select(*by, F.col(vector).cast("array<double>").alias("_v")).where("_v is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(by))), strict=True)) if by else [()] * batch.num_rows
+            first: dict[tuple, int] = {}
+            for i, key in enumerate(keys):
+                first.setdefault(key, i)
+            number = {key: n for n, key in enumerate(first)}
+            lists = batch.column(len(by))
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            owner = np.repeat(np.array([number[k] for k in keys]), sizes)
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            there = flat.is_valid().to_numpy(zero_copy_only=False)
+            width = int(sizes.max(initial=0))
+            cell = owner * width + place
+            sums = np.bincount(cell[there], flat.to_numpy(zero_copy_only=False)[there], len(first) * width).reshape(len(first), width)
+            counts = np.bincount(cell[there], minlength=len(first) * width).reshape(len(first), width).astype(float)
+            held = np.bincount(cell, minlength=len(first) * width).reshape(len(first), width).astype(float)
+            at = pa.array(list(first.values()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(by))), pa.array(sums.tolist(), pa.list_(pa.float64())), pa.array(counts.tolist(), pa.list_(pa.float64())), pa.array(held.tolist(), pa.list_(pa.float64()))], names=[*by, "_sums", "_counts", "_held"])
+
+    shape = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by), "_sums array<double>", "_counts array<double>", "_held array<double>"])
+    each = rows.mapInArrow(run, shape).select(*by, F.posexplode(F.arrays_zip("_sums", "_counts", "_held")).alias("_pos", "_x")).where("_x._held > 0")
+    long = each.groupBy(*by, "_pos").agg((F.sum("_x._sums") / F.nullif(F.sum("_x._counts"), F.lit(0.0))).alias("_mean"))
     whole = long.groupBy(*by) if by else long.groupBy()
     return whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_mean"))), lambda s: s["_mean"]).alias("centroid"))
 

@@ -229,7 +229,8 @@ def newest_version(spark, folder):
     files.replace_version(rows.withColumn("subject", F.upper(F.trim("subject"))), path, "v-2", [f"{path}-index"])
     names = spark.createDataFrame([(p.rpartition("/")[2],) for p in files.files_below(spark, path)], "name string")
     newest = files.latest(names).collect()[0]["name"]
-    stale = any("-index" in p for p in files.files_below(spark, working_dir(spark)) if p.startswith(path))
+    index = path.rpartition("/")[2] + "-index"
+    stale = any(p.rpartition("/")[2] == index for p in files.files_below(spark, working_dir(spark)))
     return spark.read.parquet(f"{path}/{newest}").withColumn("stale", F.lit(stale))
 
 

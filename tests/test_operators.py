@@ -339,3 +339,12 @@ def test_what_goes_to_every_task_is_small(spark, monkeypatch):
     many = spark.createDataFrame([(i, str(i)) for i in range(9)], "row_id int, s string")
     with pytest.raises(ValueError, match="quotas"):
         sampling.stratified_sample(many, ["s"], "row_id", 5)
+
+
+def test_centroids_of_ragged_and_null_vectors(spark):
+    rows = [("a", [1.0, None, 3.0]), ("a", [3.0, 4.0]), ("a", None), (None, [7.0]), ("b", [])]
+    df = spark.createDataFrame(rows, "k string, v array<float>").repartition(3)
+    got = {r["k"]: r["centroid"] for r in vectors.centroids(df, "v", ["k"]).collect()}
+    assert got == {"a": [2.0, 4.0, 3.0], None: [7.0]}
+    assert vectors.centroids(df, "v", []).collect()[0]["centroid"] == [11 / 3, 4.0, 3.0]
+    assert vectors.centroids(df.limit(0), "v", ["k"]).count() == 0

@@ -369,8 +369,9 @@ def threshold_fold(spark, folder):
 
 
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of parts: a pattern of paths takes both, a plain path only folders."""
     kinds = read_table(spark, folder, name).schema
-    return spark.readStream.schema(kinds).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(kinds).parquet(f"{folder}/{name}.parque[t]")
 
 
 def _run(df: DataFrame, mode: str) -> DataFrame:

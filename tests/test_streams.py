@@ -1,9 +1,13 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lumenloom.streaming import streams
 
+TINY = "/root/testdata/sf0.001"
+
 
 def stream(spark, tmp_path, rows, shape, parts=3):
     folder = str(tmp_path / "in")
@@ -73,3 +77,11 @@ def test_a_stream_without_rows(spark, tmp_path):
     (tmp_path / "in").mkdir()
     source = spark.readStream.schema("k string, i int").parquet(str(tmp_path / "in"))
     assert streams.run_available(source, "none", "append", str(tmp_path / "c")).count() == 0
+
+
+@pytest.mark.parametrize(("name", "table"), [("metrics_stream", "eval_results"), ("streamed_tumbling", "events"), ("streamed_dedup", "events")])
+def test_a_stream_of_a_table_in_parts(spark, tmp_path, name, table):
+    spark.read.parquet(f"{TINY}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    query = entry.queries()[name]
+    expected = sorted(map(str, query(spark, TINY).collect()))
+    assert expected and sorted(map(str, query(spark, str(tmp_path)).collect())) == expected

@@ -14,7 +14,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import text as T
-from lumenloom.operators import generate, report, runlog, sampling, vectors
+from lumenloom.operators import edits, generate, report, runlog, sampling, vectors
 from lumenloom.plans.numbers import FOLD, _run, _schedule, _stream
 from lumenloom.plans.registry import query
 from lumenloom.session import read_table
@@ -101,26 +101,8 @@ def balanced_sample(spark, folder):
 
 @query("SELECT a.item_id AS id_a, b.item_id AS id_b, levenshtein(a.text, b.text)::INT AS edits FROM benchmark_stage a JOIN benchmark_stage b ON a.item_id < b.item_id AND abs(length(a.text) - length(b.text)) <= 0.1 * greatest(length(a.text), length(b.text)) WHERE levenshtein(a.text, b.text) < 0.1 * greatest(length(a.text), length(b.text))".replace("length(a.text) - length(b.text)", "length(a.text)::INT - length(b.text)::INT"))
 def edit_distance_pairs(spark, folder):
-    """Pairs within a tenth of their length in edits. Candidates share a pre-hashed piece: of k + 1 equal
-    pieces of the shorter text one is untouched, so pairs are joined on pieces, not on all pairs."""
-    rows = read_table(spark, folder, "benchmark_stage").where("text is not null").select("item_id", "text", F.length("text").alias("n"))
-    # every text lists its pieces for each size class that a partner may have; a class fixes piece length and place
-    size = F.greatest(F.lit(1), F.floor(F.log(F.greatest(F.col("n"), F.lit(2))) / float(np.log(1.1))))
-    classes = F.explode(F.array(size - 2, size - 1, size, size + 1, size + 2)).alias("c")
-    keyed = rows.select("item_id", "text", "n", classes).withColumn("base", F.floor(F.pow(F.lit(1.1), F.col("c"))))
-    pieces = F.ceil(F.col("base") * 1.25 * 0.1 + 1).cast("int")
-    keyed = keyed.withColumn("len", F.greatest(F.lit(1), F.floor(F.col("base") * 0.7 / pieces)).cast("int")).withColumn("pieces", pieces)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - F.col("len") + 1)), lambda i: F.xxhash64(F.substring(F.col("text"), i, F.col("len"))))
-    probes = keyed.select("item_id", "n", "c", F.explode(F.array_distinct(grams)).alias("g"))
-    at = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda i: F.xxhash64(F.substring(F.col("text"), i * F.col("len") + 1, F.col("len"))))
-    anchors = keyed.where(F.col("c") == F.greatest(F.lit(1), F.floor(F.log(F.greatest(F.col("n"), F.lit(2))) / float(np.log(1.1))))).select("item_id", "n", "c", F.explode(F.array_distinct(at)).alias("g"))
-    a, b = anchors.alias("a"), probes.alias("b")
-    near = F.abs(F.col("a.n") - F.col("b.n")) <= 0.1 * F.greatest("a.n", "b.n")
-    met = a.join(b, (F.col("a.c") == F.col("b.c")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.item_id") != F.col("b.item_id")) & near)
-    pairs = met.select(F.least("a.item_id", "b.item_id").alias("id_a"), F.greatest("a.item_id", "b.item_id").alias("id_b")).distinct()
-    left, right = rows.select(F.col("item_id").alias("id_a"), F.col("text").alias("ta")), rows.select(F.col("item_id").alias("id_b"), F.col("text").alias("tb"))
-    edits = F.levenshtein("ta", "tb")
-    return pairs.join(left, "id_a").join(right, "id_b").withColumn("edits", edits).where(F.col("edits") < 0.1 * F.greatest(F.length("ta"), F.length("tb"))).select("id_a", "id_b", "edits")
+    """Pairs within a tenth of their length in edits."""
+    return edits.pairs_within_a_tenth(read_table(spark, folder, "benchmark_stage"), "item_id", "text")
 
 
 def hashing_embedder(width: int = 64):

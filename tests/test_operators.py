@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenloom.operators import dedup, runlog, sampling, skew, vectors
+from lumenloom.operators import dedup, edits, runlog, sampling, skew, vectors
 from lumenloom.operators.components import connected_components
 from lumenloom.session import working_dir
 
@@ -348,3 +349,30 @@ def test_centroids_of_ragged_and_null_vectors(spark):
     assert got == {"a": [2.0, 4.0, 3.0], None: [7.0]}
     assert vectors.centroids(df, "v", []).collect()[0]["centroid"] == [11 / 3, 4.0, 3.0]
     assert vectors.centroids(df.limit(0), "v", ["k"]).count() == 0
+
+
+def test_edit_pairs_are_all_pairs_whatever_the_blocks(spark, monkeypatch):
+    """A phrase that all texts share gives no candidates; the number of blocks changes nothing."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdefghij é中"), int(rng.integers(1, 90)))) for _ in range(60)]
+    texts += [t[: len(t) // 2] + "x" * int(rng.integers(0, 4)) + t[len(t) // 2 + int(rng.integers(0, 5)) :] for t in texts for _ in range(2)]
+    texts += ["the image shows a caption in the corner " + "".join(rng.choice(list("abcdefghij"), 30)) for _ in range(300)] + ["", "", None, texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])], "id int, text string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    some = [i for i, t in enumerate(texts) if t and not t.startswith("the image")]
+    near = [(i, j) for i in some for j in some if i < j and abs(len(texts[i]) - len(texts[j])) * 10 < max(len(texts[i]), len(texts[j]))]
+    expected = {(i, j, d) for i, j in near if (d := distance(texts[i], texts[j])) * 10 < max(len(texts[i]), len(texts[j]))}
+    assert len(expected) > 40
+    for rows in (2048, 40):
+        monkeypatch.setattr(edits, "BLOCK_ROWS", rows)
+        assert {tuple(r) for r in edits.pairs_within_a_tenth(df, "id", "text").collect()} == expected
+    phrase = [pa.Table.from_pydict({"id": range(300), "text": texts[-304:-4], "side": [0] * 300, "low": [1] * 300, "high": [1] * 300, "i": [0] * 300, "j": [0] * 300})]
+    assert sum(len(t) for t in edits._near(phrase[0])) < 100  # of 44,850 pairs

@@ -177,3 +177,51 @@ def test_templates_that_hold_a_third_of_all_rows(spark, monkeypatch):
         monkeypatch.setattr(simjoin, "LIST_LIMIT", limit)
         found = near_duplicate_groups(frame(spark, rows), "row_id", "text").collect()
         assert {(g, i, n) for g, i, n in found} == {(0, i, 3) for i in range(4)}
+
+
+@pytest.mark.parametrize("across", [False, True])
+@pytest.mark.parametrize(("permille", "limit", "blockwise", "held", "one_word"), [(700, 20_000, 256, 1_000_000, 19), (700, 20_000, 4, 1_000_000, 19), (700, 12, 4, 10, 0), (700, 12, 256, 300, 19), (300, 40, 4, 1_000_000, 19), (900, 12, 6, 100, 19)])
+def test_comparer_finds_every_pair(prompts, monkeypatch, across, permille, limit, blockwise, held, one_word):
+    import numpy as np
+    import pyarrow as pa
+
+    from lumenloom.functions.itemsets import item_sets, new_memory
+    from lumenloom.operators import simjoin
+
+    for name, value in {"BLOCKWISE": blockwise, "HELD_MEMBERS": held, "ONE_WORD": one_word, "BLOCK": 5, "COLUMNS": 40, "PAIR_STEP": 50}.items():
+        monkeypatch.setattr(simjoin, name, value)
+    texts = list({frozenset(items(t)): t for _, t, _ in prompts[:400] if t and len(set(items(t))) >= 5}.values())
+    sets = item_sets(texts, new_memory())
+    hashes, side = sets.identity(), np.arange(len(texts)) % 3 // 2 if across else np.zeros(len(texts), int)
+    names, counts = np.unique(sets.flat, return_counts=True)
+    lists = simjoin.PrefixLists(names[counts > 3], counts[counts > 3], len(texts), permille, limit)
+    batch = pa.RecordBatch.from_arrays([pa.array(hashes), sets.blobs(), pa.array(side)], names=["key", "blob", "side"])
+    compare = simjoin._across if across else simjoin._comparer
+    met = list(compare(permille, limit)(simjoin._keyed(lists, 0, 1, 3, across)([batch])))
+    long = [(k, b) for m in met for k, b in zip(m["key"].to_pylist(), m["blob"].to_pylist(), strict=True) if k is not None]
+    assert limit > 100 or long or permille == 900
+    if long:
+        cells = pa.RecordBatch.from_arrays([pa.array([k for k, _ in long]), pa.array([b for _, b in long], pa.binary()), pa.array([3] * len(long))], names=["key", "blob", "blocks"])
+        parts = sorted(((c["bucket"][0].as_py(), c) for c in simjoin._grid(across)([cells])), key=lambda c: c[0])
+        met += list(compare(permille, None)(c for _, c in parts))
+    found = {(a, b) for m in met for a, b, k in zip(m["a"].to_pylist(), m["b"].to_pylist(), m["key"].to_pylist(), strict=True) if k is None}
+    wanted = {(i, j) for i in range(len(texts)) for j in range(len(texts)) if i != j and alike(texts[i], texts[j], permille) and (not across or side[i] < side[j])}
+    if across:
+        sides = dict(zip(hashes.tolist(), side.tolist(), strict=True))
+        assert all(sides[a] < sides[b] for a, b in found)
+        assert {(int(hashes[i]), int(hashes[j])) for i, j in wanted} <= found
+    else:
+        assert {(min(int(hashes[i]), int(hashes[j])), max(int(hashes[i]), int(hashes[j]))) for i, j in wanted} <= found
+    assert wanted
+
+
+def test_short_lists_leave_out_sizes_that_do_not_fit():
+    import numpy as np
+
+    from lumenloom.operators import simjoin
+
+    compare = simjoin._comparer(700, None)
+    n = np.array([10] * 50 + [100] * 50, np.uint16)
+    place = compare.place(np.full(100, 77, np.uint64), n)
+    rows, begin, end = compare.windows(place, n, np.array([14] * 50 + [142] * 40 + [90] * 10, np.uint16))
+    assert len(rows) == 90 and (end[:50] == 50).all() and (begin == rows + 1).all() and (end[50:] == 100).all()

@@ -15,11 +15,9 @@ takes the rest. At low thresholds, where that needs more items than there are, a
 from the beginning are segments of their own as it takes. Matches count at allowed positions only (displaced by no more than the deletions and
 insertions left), pass a parity sketch, and are verified by dynamic programming in a band.
 
-The evaluation records are the query set: they are taken in blocks of bounded size, the segment indexes
-of a few blocks are broadcast at a time, and the training records stream past them where they lie; no
-training record is shuffled, whatever the skew of items or copies. A wave's findings are written and its
-broadcast is destroyed before the next begins, so neither the plan nor the memory grows with the
-evaluation splits; the number of scans does.
+The evaluation records are the query set: up to WAVE_BLOCKS blocks of them are indexed and broadcast, and
+the training records stream past them where they lie. Scans would multiply with more evaluation records:
+those meet the training records in the lists of problem 1 (``HeavyLight``), compared across only.
 """
 
 from __future__ import annotations
@@ -34,14 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.functions.itemsets import ItemSets, most_differences, required_overlap
-from lumenloom.operators.simjoin import COPY, SET, digest, frequent_items
+from lumenloom.llm.near_dup import HeavyLight
+from lumenloom.operators import simjoin
+from lumenloom.operators.simjoin import COPY, SET, digest, frequent_items, linked
 from lumenloom.session import materialize
 
 EVAL, TRAIN = 1, 2
 #: Evaluation records of a block: bounds the broadcast index (about 1 KB a record) whatever the table.
 BLOCK_RECORDS = 32_768
-#: Blocks whose indexes are broadcast together.
-WAVE_BLOCKS = 4
+#: Blocks whose indexes are broadcast, all together; more evaluation records than that meet the training records in lists.
+WAVE_BLOCKS = 2
+#: The longest list, as a multiple of ``LIST_LIMIT``.
+LONGEST = 5
 #: Slots of a block's index, and bits of the bitmap before it, as powers of two.
 SLOT_BITS = 21
 BITMAP_BITS = 25
@@ -281,20 +283,26 @@ def alike_across(digested: DataFrame, permille: int) -> DataFrame:
     sets = digested.where(F.col("kind") == SET)
     evaluation = sets.where(F.col("tag") == EVAL).select("key", "blob").dropDuplicates(["key"])
     training = sets.where(F.col("tag") == TRAIN).select("key", "blob")
-    blocks = -(-evaluation.count() // BLOCK_RECORDS)
+    evaluations = evaluation.count()
+    blocks = -(-evaluations // BLOCK_RECORDS)
+    if blocks > WAVE_BLOCKS:
+        # a list is compared across only: it may be the longer, the smaller the share of one side
+        share = min(evaluations / max(rows, 1), 0.5)
+        limit = int(simjoin.LIST_LIMIT * min(LONGEST, 0.5 / (share * (1 - share))))
+        links = linked(digested, HeavyLight(frequent, counts, rows, permille, limit), permille, (EVAL, TRAIN), limit)
+        return links.selectExpr("a", "b", "shared / (size_a + size_b - shared) as likeness")
     number = F.pmod(F.xxhash64("key"), F.lit(blocks))
     shape = "a bigint, b bigint, likeness double"
-    found = spark.createDataFrame([], shape)
-    for wave in range(0, blocks, WAVE_BLOCKS):
-        indexes = []
-        for block in range(wave, min(wave + WAVE_BLOCKS, blocks)):
-            mine = evaluation.where(number == block).toArrow()
-            if mine.num_rows:
-                indexes.append(Block(mine.column(0).to_numpy(), ItemSets.of_blobs(mine.column(1)), order, permille))
-        if indexes:
-            shared = spark.sparkContext.broadcast((indexes, order))
-            found = found.unionByName(materialize(training.mapInArrow(_against(shared, permille), shape), "across"))
-            shared.destroy()
+    indexes = []
+    for block in range(blocks):
+        mine = evaluation.where(number == block).toArrow()
+        if mine.num_rows:
+            indexes.append(Block(mine.column(0).to_numpy(), ItemSets.of_blobs(mine.column(1)), order, permille))
+    if not indexes:
+        return spark.createDataFrame([], shape)
+    shared = spark.sparkContext.broadcast((indexes, order))
+    found = materialize(training.mapInArrow(_against(shared, permille), shape), "across")
+    shared.destroy()
     return found.distinct()
 
 

@@ -53,8 +53,8 @@ def light_boundary(permille: int, list_length: float, bands: int) -> int:
 class HeavyLight:
     """The list keys of a batch of sets; frozen statistics, so all tasks agree."""
 
-    def __init__(self, frequent: np.ndarray, counts: np.ndarray, rows: int, permille: int):
-        self.permille, self.lists = permille, PrefixLists(frequent, counts, rows, permille)
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray, rows: int, permille: int, limit: int | None = None):
+        self.permille, self.lists = permille, PrefixLists(frequent, counts, rows, permille, limit)
         self.light = light_boundary(permille, min(rows, LIST_GOAL), LISTS)
 
     def __call__(self, sets: ItemSets, wave: int = 0, waves: int = 1) -> Entries:

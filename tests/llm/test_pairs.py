@@ -225,3 +225,20 @@ def test_short_lists_leave_out_sizes_that_do_not_fit():
     place = compare.place(np.full(100, 77, np.uint64), n)
     rows, begin, end = compare.windows(place, n, np.array([14] * 50 + [142] * 40 + [90] * 10, np.uint16))
     assert len(rows) == 90 and (end[:50] == 50).all() and (begin == rows + 1).all() and (end[50:] == 100).all()
+
+
+@pytest.mark.parametrize(("permille", "limit"), [(700, 20_000), (700, 12), (300, 40), (900, 12)])
+def test_many_evaluation_records_need_no_scan_a_block(spark, prompts, monkeypatch, permille, limit):
+    from lumenloom.llm import cross_split
+    from lumenloom.operators import simjoin
+
+    def scan(*_):
+        raise AssertionError("the training records are scanned for a broadcast")
+
+    monkeypatch.setattr(cross_split, "BLOCK_RECORDS", 10)
+    monkeypatch.setattr(cross_split, "_against", scan)
+    monkeypatch.setattr(simjoin, "LIST_LIMIT", limit)
+    some = prompts[:300] + [(50_000 + i, t, "train" if s in ("val", "test") else "val") for i, t, s in prompts[:20]]
+    found = [(a, b) for a, b, _ in cross_split_pairs(frame(spark, some).repartition(3), "row_id", "text", "split", permille).collect()]
+    evals, trains = [r for r in some if r[2] in ("val", "test")], [r for r in some if r[2] == "train"]
+    assert len(found) == len(set(found)) and set(found) == {(e[0], t[0]) for e in evals for t in trains if alike(e[1], t[1], permille)}
